@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 BLANKS = "[\\t\\n\\u000b\\f\\r\\u001c-\\u001f \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
-SPLIT_FACTOR = float((1 << 27) + 1)
 
 
 def to_double(text: Column, default: float | None = 0.0) -> Column:
@@ -19,30 +18,25 @@ def to_double(text: Column, default: float | None = 0.0) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Decimal text with ``digits`` places, rounded from the exact binary value, ties to even.
+    """Decimal text with ``digits`` places (at most 4), rounded from the exact binary value, ties to even.
 
-    ``format_string`` rounds the shortest decimal text half up, which differs on
-    values such as 2.25 or 0.15.  The error of ``value * 10^digits`` is computed
-    exactly by splitting the factors, so ties and near-ties fall on the right side.
+    ``format_string`` rounds the shortest decimal text half up, which differs where
+    that text ends in a half, such as 2.25 or 1.005.  Close to a half the value is
+    therefore moved to the right side before it is formatted; on the half itself the
+    exact error of the scaled value decides (the value is split at float precision,
+    so both partial products are exact).
     """
-    x = F.abs(value.cast("double"))
-    scale = F.lit(float(10**digits))
+    x = value.cast("double")
+    scale = float(10**digits)
     product = x * scale
-    x_high = x * SPLIT_FACTOR - (x * SPLIT_FACTOR - x)
-    s_high = scale * SPLIT_FACTOR - (scale * SPLIT_FACTOR - scale)
-    x_low, s_low = x - x_high, scale - s_high
-    error = ((x_high * s_high - product) + x_high * s_low + x_low * s_high) + x_low * s_low
-    whole = F.floor(product)
-    rest = product - whole
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    units = whole + F.when(up, 1).otherwise(0)
-    text = (units.cast("decimal(20,0)") / F.lit(10**digits).cast("decimal(20,0)")).cast(
-        f"decimal(38,{digits})"
-    ).cast("string")
-    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
-    return F.when(x * scale < 4.0e15, F.concat(sign, text)).otherwise(
-        F.format_string(f"%.{digits}f", value.cast("double"))
-    )
+    past_half = F.pmod(product, F.lit(1.0)) - 0.5
+    high = x.cast("float").cast("double")
+    error = (high * scale - product) + (x - high) * scale
+    # An odd whole part breaks an exact tie upwards: what is added is far below any error.
+    tie_up = error + (F.pmod(product, F.lit(2.0)) - 1.0) * 1e-300 > 0
+    step = F.when((past_half > 0) | ((past_half == 0) & tie_up), 0.25).otherwise(-0.25)
+    moved = (product - past_half + step) / scale
+    return F.format_string(f"%.{digits}f", F.when(F.abs(past_half) < 0.001, moved).otherwise(x))
 
 
 def two_digits(value: Column) -> Column:

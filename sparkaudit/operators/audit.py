@@ -121,6 +121,7 @@ def percentile_grade(
     tie: Sequence[str] = ("path",),
     bands: list[tuple[float, str]] = M.GRADE_BANDS,
     partition_by: Sequence[str] = (),
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add percentile (rank / n * 100, ascending) and grade among the scoreable rows.
 
@@ -129,7 +130,7 @@ def percentile_grade(
     """
     keyed = df.withColumn("_score", F.coalesce(F.col(score), F.lit(float("nan"))))
     numbered = ranked(
-        keyed, ["_score", *tie], partition_by, "_rank", "_n", M.is_scoreable(F.col("_score"))
+        keyed, ["_score", *tie], partition_by, "_rank", "_n", M.is_scoreable(F.col("_score")), sized_by
     )
     finite, infinite = M.is_scoreable(F.col("_score")), F.col("_score") == float("inf")
     alone = F.col("_n") < 2

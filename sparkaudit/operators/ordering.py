@@ -41,13 +41,14 @@ def _key(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def cut_points(df: DataFrame, order: Sequence[str]) -> list:
+def cut_points(df: DataFrame, order: Sequence[str], sized_by: DataFrame | None = None) -> list:
     """Ascending cut points of the order key; none when the table fits in one segment.
 
-    Two small jobs over the key columns: a count, then the sample.
+    Two small jobs: a count, then a sample of the key columns.  ``sized_by`` names a
+    cheaper table of about the same length to count, such as the source ``df`` is made from.
     """
     keys = df.select(*order)
-    n = keys.count()
+    n = (keys if sized_by is None else sized_by).count()
     segments = min(MAX_SEGMENTS, -(-n // rows_per_segment(df)))
     if segments <= 1:
         return []
@@ -125,6 +126,7 @@ def ranked(
     name: str = "rank",
     total: str | None = None,
     counted: Column | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """1-based dense row number in ascending ``order``, per group or over the whole table.
 
@@ -133,7 +135,7 @@ def ranked(
     """
     by = list(by)
     tally = F.count_if(F.lit(True) if counted is None else counted)
-    cuts = cut_points(df, order)
+    cuts = cut_points(df, order, sized_by)
     if not cuts:
         out = df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
         return out.withColumn(total, tally.over(W.partitionBy(*by))) if total else out

@@ -16,6 +16,14 @@ TEXT_COLUMNS = [
 ]
 
 
+AUDIT_COLUMNS = [
+    "path", "filename", "size_bytes", "size_mb", "codec", "codec_factor", "width", "height", "resolution",
+    "duration_s", "duration_hms", "fps", "bitrate_bps", "bitrate_fmt", "raw_efficiency", "norm_efficiency",
+    "vmaf_mean", "vmaf_reference", "percentile", "grade", "format_name", "audio_codecs", "corrupt",
+    "corrupt_reason",
+]
+
+
 def audit_rows(df: DataFrame, *extra: Column) -> DataFrame:
     """The 24 report columns, formatted as text."""
     c = F.col
@@ -70,24 +78,24 @@ def audit_text_lines(
     counts = df.agg(
         F.count_if(~F.col("corrupt")).alias("good"), F.count_if(F.col("corrupt")).alias("bad")
     )
-    head = counts.select(
-        F.lit(0).alias("section"),
-        F.array(
-            F.lit(title), F.lit(rule), F.lit(""),
-            F.concat(F.lit("Valid files ("), F.col("good"), F.lit(f") — sorted by {sort_by} ({turn})")),
-            F.lit("NormEff = codec-normalised efficiency (H.264 baseline). Lower is more efficient."),
-            F.lit("Grade   = percentile rank within this library."),
-            F.lit(""), F.lit(thin), F.lit(columns), F.lit(thin),
-        ).alias("lines"),
+    head = F.array(
+        F.lit(title), F.lit(rule), F.lit(""),
+        F.concat(F.lit("Valid files ("), F.col("good"), F.lit(f") — sorted by {sort_by} ({turn})")),
+        F.lit("NormEff = codec-normalised efficiency (H.264 baseline). Lower is more efficient."),
+        F.lit("Grade   = percentile rank within this library."),
+        F.lit(""), F.lit(thin), F.lit(columns), F.lit(thin),
     )
-    bad_head = counts.filter("bad > 0").select(
-        F.lit(2).alias("section"),
-        F.array(
-            F.lit(""), F.lit(rule),
-            F.concat(F.lit("CORRUPT / UNREADABLE FILES ("), F.col("bad"), F.lit(")")), F.lit(thin),
-        ).alias("lines"),
+    bad_title = F.concat(F.lit("CORRUPT / UNREADABLE FILES ("), F.col("bad"), F.lit(")"))
+    bad_head = F.when(F.col("bad") > 0, F.array(F.lit(""), F.lit(rule), bad_title, F.lit(thin)))
+    heads = counts.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("section"), head.alias("lines")),
+                F.struct(F.lit(2).alias("section"), bad_head.alias("lines")),
+            )
+        )
     )
-    cell = {name: F.col(name) for name in audit_rows(df).columns}
+    cell = {name: F.col(name) for name in AUDIT_COLUMNS}
     line = F.concat_ws(
         "  ",
         X.pad_left(cell["norm_efficiency"], 8),
@@ -105,22 +113,20 @@ def audit_text_lines(
     )
     keys = [k.alias(f"_k{i}") for i, k in enumerate(sort_keys(sort_by))]
     names = [f"_k{i}" for i in range(len(keys))]
-    good = audit_rows(df.filter(~F.col("corrupt")), *keys).select(
-        F.lit(1).alias("section"), F.array(line).alias("lines"), "path", *names
+    bad_lines = F.array(
+        F.concat(F.lit("  [CORRUPT] "), F.col("path")),
+        F.concat(F.lit("            Reason: "), F.col("corrupt_reason")),
+        F.concat(F.lit("            Size:   "), X.fmt_size(F.col("size_bytes"))),
+        F.lit(""),
     )
-    bad = df.filter(F.col("corrupt")).select(
-        F.lit(3).alias("section"),
-        F.array(
-            F.concat(F.lit("  [CORRUPT] "), F.col("path")),
-            F.concat(F.lit("            Reason: "), F.col("corrupt_reason")),
-            F.concat(F.lit("            Size:   "), X.fmt_size(F.col("size_bytes"))),
-            F.lit(""),
-        ).alias("lines"),
+    is_bad = F.col("corrupt") == "yes"
+    rows = audit_rows(df, *keys).select(
+        F.when(is_bad, 3).otherwise(1).alias("section"),
+        F.when(is_bad, bad_lines).otherwise(F.array(line)).alias("lines"),
         "path",
+        *[F.when(~is_bad, F.col(n)).alias(n) for n in names],
     )
-    parts = good
-    for other in (head, bad_head, bad):
-        parts = parts.unionByName(other, allowMissingColumns=True)
+    parts = rows.unionByName(heads, allowMissingColumns=True)
     turned = [F.col(n).desc() if desc else F.col(n).asc() for n in names]
     return parts.select("*", F.posexplode("lines").alias("line_no", "line")).orderBy(
         "section", *turned, F.split("path", "/"), "line_no"

@@ -44,11 +44,19 @@ def read_probe_payloads(
     """Probe JSON text to typed columns; blank, malformed or missing text gives ``has_payload`` false."""
     text = F.col(payload)
     valid = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{")
+    # A generator, not a projection: later filters on the parsed fields stay above it
+    # instead of being pushed down as further copies of the parser.
     parsed = df.select(
         F.col(path).alias("path"),
         F.col(size).cast("bigint").alias("size_bytes"),
-        F.coalesce(valid, F.lit(False)).alias("has_payload"),
-        F.from_json(F.when(valid, text), PAYLOAD).alias("p"),
+        F.inline(
+            F.array(
+                F.struct(
+                    F.coalesce(valid, F.lit(False)).alias("has_payload"),
+                    F.from_json(F.when(valid, text), PAYLOAD).alias("p"),
+                )
+            )
+        ),
     ).withColumn("v", M.first_video_stream(F.col("p.streams")))
     has_video = F.col("v").isNotNull()
     return parsed.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkaudit.functions.text import season_ep_label
+
 # File name extensions of episode files.
 EPISODE_EXTENSIONS = ["mkv", "mp4", "avi", "m4v", "mov", "wmv", "mpg", "mpeg", "ts", "m2ts", "vob", "divx"]
 
@@ -87,3 +89,8 @@ def report_ok(missing_count: Column, lookup_error: Column) -> Column:
 
 def name_matches(name: Column, text: str) -> Column:
     return F.contains(F.lower(name), F.lit(text.lower()))
+
+
+__all__ = [
+    "episode_of", "episodes_of", "is_aired", "name_matches", "report_ok", "season_ep_label", "season_of", "status_text", "stem",
+]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkaudit.functions.text import season_ep_label
+from sparkaudit.functions.text import bind, season_ep_label
 
 # File name extensions of episode files.
 EPISODE_EXTENSIONS = ["mkv", "mp4", "avi", "m4v", "mov", "wmv", "mpg", "mpeg", "ts", "m2ts", "vob", "divx"]
@@ -18,16 +18,21 @@ EPISODE_SINGLE = [r"(?i)s(\d+)e(\d+)", r"(\d+)[xX](\d+)", r"(?<!\d)(\d)(\d{2})(?
 PAIRS = "array<struct<season:int,episode:int>>"
 
 
+def _number(digits: Column) -> Column:
+    """Digits to int, 0 for none; no cast here can fail, as failing casts are costly per row."""
+    return F.concat(F.lit("0"), F.substring(F.ltrim(digits, F.lit("0")), 1, 9)).cast("int")
+
+
 def _group(text: Column, pattern: str, index: int) -> Column:
-    """Group of the first match as an int; null without a match."""
-    return F.regexp_extract(text, pattern, index).try_cast("int")
+    """Number in a group of the first match, 0 without a match."""
+    return _number(F.regexp_extract(text, pattern, index))
 
 
 def season_of(folder: Column) -> Column:
     """Season number of a folder name, null when it names none."""
-    named = F.coalesce(_group(folder, SEASON_DIR, 1), _group(folder, SEASON_DIR, 2))
-    bare = F.when(F.trim(folder).rlike(r"^\d+$"), F.trim(folder).try_cast("int"))
-    return F.when(folder.rlike(SEASON_DIR), named).otherwise(bare)
+    named = _number(F.concat(F.regexp_extract(folder, SEASON_DIR, 1), F.regexp_extract(folder, SEASON_DIR, 2)))
+    bare = F.trim(folder)
+    return F.when(folder.rlike(SEASON_DIR), named).when(bare.rlike(r"^\d+$"), _number(bare))
 
 
 def stem(name: Column) -> Column:
@@ -36,7 +41,7 @@ def stem(name: Column) -> Column:
 
 
 def _in_bounds(season: Column, episode: Column) -> Column:
-    return F.coalesce((season > 0) & (season < 100) & (episode > 0) & (episode < 300), F.lit(False))
+    return (season > 0) & (season < 100) & (episode > 0) & (episode < 300)
 
 
 def episodes_of(name: Column) -> Column:
@@ -45,7 +50,10 @@ def episodes_of(name: Column) -> Column:
     Only the first match of each pattern is looked at; the next pattern is tried
     when its numbers are out of bounds.
     """
-    text = stem(name)
+    return bind(stem(name), _episodes_of_stem)
+
+
+def _episodes_of_stem(text: Column) -> Column:
     season, first, last = (_group(text, EPISODE_RANGE, i) for i in (1, 2, 3))
     ranged = _in_bounds(season, first) & _in_bounds(season, last) & (last >= first)
     found = F.when(

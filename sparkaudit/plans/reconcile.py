@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,12 @@ class Reconciled:
     extra: DataFrame
     remote: DataFrame
     local: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def unpersist(self) -> None:
+        """Give back the storage of the tables kept while the report is built."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def _remote_of(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -42,20 +49,22 @@ def _listed(remote: DataFrame, name: str) -> DataFrame:
     return remote.groupBy(SHOW).agg(F.count(F.lit(1)).alias(name))
 
 
-def _text(value: str | None):
-    return F.lit(value).cast("string")
+def _keep(df: DataFrame) -> DataFrame:
+    """Parsed once, read by several branches; lost blocks are rebuilt from their source."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def reconcile_one(
     local: DataFrame, hits: DataFrame, episodes: DataFrame, as_of: str, source: str = CATALOG_A
 ) -> Reconciled:
     """One catalog.  ``hits`` and ``episodes`` are what the sources of that catalog return."""
+    local, episodes = _keep(local), _keep(episodes)
     shows = local.groupBy(SHOW).agg(F.count(F.lit(1)).alias("local_episodes"))
     if source == CATALOG_A:
         candidates = R.pick_candidate(hits, R.aired_count(episodes, as_of), R.local_episode_count(local))
     else:
         candidates = hits.filter(F.col("rank") == 1)
-    remote = _remote_of(candidates, episodes)
+    remote = _keep(_remote_of(candidates, episodes))
     found = (
         shows.join(candidates.select(SHOW, "id", "title", "status", F.lit(True).alias("_hit")), SHOW, "left")
         .join(_listed(remote, "remote_episodes"), SHOW, "left")
@@ -78,7 +87,7 @@ def reconcile_one(
         F.lit(source).alias("source_used"),
         "local_episodes", "remote_episodes", error.alias("lookup_error"),
     )
-    return _compare(reports, local, remote, as_of)
+    return _compare(reports, local, remote, as_of, (local, episodes, remote))
 
 
 def reconcile_both(
@@ -90,13 +99,15 @@ def reconcile_both(
     as_of: str,
 ) -> Reconciled:
     """Both catalogs, the better match per show; a tie goes to catalog B when it lists episodes."""
+    local, episodes_a, episodes_b = _keep(local), _keep(episodes_a), _keep(episodes_b)
     shows = local.groupBy(SHOW).agg(F.count(F.lit(1)).alias("local_episodes"))
-    first_a = R.pick_candidate(hits_a, R.aired_count(episodes_a, as_of), R.local_episode_count(local))
+    first_a = _keep(R.pick_candidate(hits_a, R.aired_count(episodes_a, as_of), R.local_episode_count(local)))
     first_b = hits_b.filter(F.col("rank") == 1)
-    remote_a, remote_b = _remote_of(first_a, episodes_a), _remote_of(first_b, episodes_b)
+    remote_a, remote_b = _keep(_remote_of(first_a, episodes_a)), _keep(_remote_of(first_b, episodes_b))
     chosen = R.choose_catalog(
         R.match_scores(local, remote_a, as_of), R.match_scores(local, remote_b, as_of)
     ).select(SHOW, "chosen", "n_a", "n_b")
+    chosen = _keep(chosen)
     side = chosen.select(SHOW, "chosen")
     remote = (
         remote_a.withColumn("_side", F.lit("a"))
@@ -118,12 +129,15 @@ def reconcile_both(
         F.when(is_b, F.col("n_b")).when(is_a, F.col("n_a")).otherwise(0).alias("remote_episodes"),
         F.when(F.col("chosen").isNull(), NO_MATCH[BOTH]).alias("lookup_error"),
     )
-    return _compare(reports, local, remote, as_of)
+    kept = (local, episodes_a, episodes_b, first_a, remote_a, remote_b, chosen)
+    return _compare(reports, local, remote, as_of, kept)
 
 
-def _compare(reports: DataFrame, local: DataFrame, remote: DataFrame, as_of: str) -> Reconciled:
+def _compare(
+    reports: DataFrame, local: DataFrame, remote: DataFrame, as_of: str, kept: tuple[DataFrame, ...]
+) -> Reconciled:
     """Two-way difference; shows with a lookup error have no remote rows and no extras."""
     missing = R.missing_from_local(remote, local, as_of)
     usable = reports.filter(F.col("lookup_error").isNull()).select(SHOW)
     extra = R.extra_in_local(local, remote).join(usable, SHOW, "left_semi")
-    return Reconciled(R.with_outcome(reports, missing, extra), missing, extra, remote, local)
+    return Reconciled(R.with_outcome(reports, missing, extra), missing, extra, remote, local, kept)

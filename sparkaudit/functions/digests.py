@@ -4,8 +4,6 @@ They are made inside functions so that they travel to the executors by value and
 need no installed package there.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 from pyspark.sql import Column

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions.text import BLANKS
 from sparkaudit.operators.ordering import ranked
-from sparkaudit.sources.lines import numbered_lines, offset_in_file
+from sparkaudit.sources.lines import numbered_lines, offsets_in_file
 
 TOKEN_LENGTH = 5
 COLUMNS = 16
@@ -36,7 +36,7 @@ def lattice_cells(tokens: DataFrame, by: str, idx: str, cols: int = COLUMNS) ->
 
 def _file_tokens(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).withColumn("_tokens", tokens_of(F.col("value")))
-    placed = offset_in_file(lines.withColumn("_n", F.size("_tokens")), "_n")
+    placed = offsets_in_file(lines, {"offset": F.size("_tokens")})
     return placed.select("file", "offset", F.posexplode("_tokens").alias("_pos", "token")).select(
         F.col("file").alias("lattice_id"), (F.col("offset") + F.col("_pos")).alias("idx"), "token"
     )

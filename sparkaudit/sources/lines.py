@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,17 +24,25 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def offset_in_file(lines: DataFrame, amount: str, name: str = "offset") -> DataFrame:
-    """Sum of ``amount`` over all earlier lines of the same file.
+def offsets_in_file(lines: DataFrame, amounts: Mapping[str, Column]) -> DataFrame:
+    """Add, per name, the sum of its amount over all earlier lines of the same file.
 
     Summed inside each split, then over the splits of a file (one row per split).
     """
     within = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     splits = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+
+    def before(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    counted = lines.withColumns({f"_n_{name}": amount for name, amount in amounts.items()})
     bases = (
-        lines.groupBy("file", "block")
-        .agg(F.sum(amount).alias("_n"))
-        .select("file", "block", F.coalesce(F.sum("_n").over(splits), F.lit(0)).alias("_base"))
+        counted.groupBy("file", "block")
+        .agg(*[F.sum(f"_n_{name}").alias(f"_n_{name}") for name in amounts])
+        .select("file", "block", *[before(f"_n_{name}", splits).alias(f"_base_{name}") for name in amounts])
+    )
+    placed = counted.withColumns({f"_in_{name}": before(f"_n_{name}", within) for name in amounts})
+    joined = placed.join(bases, ["file", "block"])
+    return joined.select(
+        *lines.columns, *[(F.col(f"_base_{name}") + F.col(f"_in_{name}")).alias(name) for name in amounts]
     )
-    summed = lines.withColumn("_in", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return summed.join(bases, ["file", "block"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in")

@@ -157,7 +157,7 @@ def mesh_lines(spark: SparkSession, d: str) -> DataFrame:
         .otherwise("# note")
     )
     return table(spark, d, "orders").select(
-        c.alias("file"), F.lit(0).cast("bigint").alias("block"), k.alias("line"), value.alias("value")
+        c.alias("file"), F.floor(k / 1000).alias("block"), k.alias("line"), value.alias("value")
     )
 
 

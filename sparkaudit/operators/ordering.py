@@ -32,6 +32,16 @@ SEGMENT = "_segment"
 IS_ROW = "_is_row"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than cores to all cores, ahead of costly work per row.
+
+    A file of a single row group is one task however many cores wait.  A table with
+    enough splits is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows_per_segment(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get("spark.sparkaudit.rowsPerSegment", None)
     return int(conf) if conf else ROWS_PER_SEGMENT

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkaudit.functions import media as M
 from sparkaudit.functions import text as X
 from sparkaudit.operators import audit as A
+from sparkaudit.operators.ordering import spread
 from sparkaudit.plans.audit import audit_probes
 from sparkaudit.queries import table
 from sparkaudit.sinks.audit import audit_rows, audit_text_lines
@@ -119,7 +120,7 @@ CODECS = ["h264", "HEVC", "av1", "vp9", "mpeg2video", "mystery", "prores", "mjpe
 
 def order_probes(spark: SparkSession, d: str) -> DataFrame:
     """Landed probe payloads, one per order, with every kind of broken file among them."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     case = key % 97
     rate = F.col("o_totalprice").cast("string")
@@ -371,8 +372,10 @@ def attach_quality(spark, d):
 
 
 def formatters(spark, d):
-    li = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    li = spread(
+        table(spark, d, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+        )
     )
     size = (F.col("l_extendedprice") * F.col("l_partkey") * 10).cast("bigint")
     rate = F.col("l_extendedprice") * F.col("l_quantity") - 20000.0

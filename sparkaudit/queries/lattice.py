@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from sparkaudit.functions.numeric import draw_integer
 from sparkaudit.operators import lattice as L
 from sparkaudit.operators import sampling as P
+from sparkaudit.operators.ordering import spread
 from sparkaudit.plans.lattice import WEIGHTS, analyse, with_seed
 from sparkaudit.queries import table
-from sparkaudit.sources.lattices import lattice_cells, synthetic_token, tokens_of, words_of, token_pool
+from sparkaudit.sources.lattices import lattice_cells, synthetic_token, text_lattices, token_pool, tokens_of, words_of
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def doc_tokens(spark: SparkSession, d: str, length: int | None = None) -> DataFrame:
     """Every token of every document with its place."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.select(
+    return documents(spark, d).select(
         F.col("doc_id").alias("lattice_id"), F.posexplode(tokens_of(F.col("text"), length)).alias("idx", "token")
     )
 
 
 def doc_cells(spark: SparkSession, d: str, length: int | None = None) -> DataFrame:
-    return lattice_cells(doc_tokens(spark, d, length), "lattice_id", "idx")
+    docs = documents(spark, d).withColumnRenamed("doc_id", "lattice_id")
+    return text_lattices(docs, "lattice_id", "text", length)
 
 
 def _tokens_sql(where: str) -> str:
@@ -53,11 +58,12 @@ def _rounded(df: DataFrame, name: str = "entropy") -> DataFrame:
 
 
 def lattices(spark, d):
-    return doc_cells(spark, d, 5)
+    """Cut from the long token table, as the tokens of many files are."""
+    return lattice_cells(doc_tokens(spark, d, 5), "lattice_id", "idx")
 
 
 def frequencies(spark, d):
-    return L.token_frequencies(doc_tokens(spark, d), ["token"][:0])
+    return L.token_frequencies(doc_tokens(spark, d))
 
 
 def entropy_row(spark, d):
@@ -124,7 +130,7 @@ def pool(spark, d):
 
 
 def words(spark, d):
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "[ \n]")).alias("value"))
+    lines = documents(spark, d).select(F.explode(F.split("text", "[ \n]")).alias("value"))
     return words_of(lines).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

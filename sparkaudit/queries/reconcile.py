@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions import episodes as E
 from sparkaudit.operators import reconcile as R
+from sparkaudit.operators.ordering import spread
 from sparkaudit.operators.pages import contiguous_pages
 from sparkaudit.plans.reconcile import Reconciled, reconcile_both, reconcile_one
 from sparkaudit.queries import table
@@ -29,6 +30,11 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """Payload rows, dealt to all cores before they are written and parsed as text."""
+    return spread(df)
+
+
 def remote_rows(spark: SparkSession, d: str) -> DataFrame:
     airdate = F.date_format("l_shipdate", "yyyy-MM-dd")
     return lines(spark, d).select(
@@ -205,7 +211,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
         text("extra clip ", F.col("l_orderkey"), ".mkv"),
     ]
     kind = (F.col("l_orderkey") % SHAPES + 1).cast("int")
-    return lines(spark, d).select("l_orderkey", s, F.element_at(F.array(*forms), kind).alias("name"))
+    return landed(lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", s, F.element_at(F.array(*forms), kind).alias("name"))
 
 
 FILE_NAMES_SQL = """
@@ -296,7 +302,7 @@ SCAN_SQL = f"""
 
 def flat_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Catalog A: documents of one episode each, keyed by part; some are specials or carry a null type."""
-    li = lines(spark, d)
+    li = landed(lines(spark, d).drop("l_suppkey", "l_returnflag"))
     kind = F.when(F.col("l_quantity") < 25, "").when(F.col("l_quantity") < 45, ',"type":"regular"')
     kind = kind.when(F.col("l_quantity") < 48, ',"type":"special"').otherwise(',"type":null')
     airdate = F.when(F.col("l_linenumber") == 6, "null").otherwise(
@@ -321,27 +327,31 @@ def catalog_flat(spark, d):
 
 
 def paged_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Catalog B: page documents keyed by supplier; a chain ends where (supplier + page) % 5 = 4."""
+    """Catalog B: page documents keyed by part; a chain ends where (part + page) % 5 = 4."""
     page = F.col("l_linenumber") - 1
-    end = (F.col("l_suppkey") + page) % 5 == 4
+    end = (F.col("l_partkey") + page) % 5 == 4
     doc = text(
         '{"data":{"episodes":[{"seasonNumber":', F.when(F.col("l_quantity") == 1, 0).otherwise(F.col("l_linenumber")),
         ',"number":', F.col("l_quantity").cast("int"), ',"name":"B', F.col("l_orderkey"), '","aired":"',
         F.date_format("l_shipdate", "yyyy-MM-dd"), '"}]},"links":{"next":', F.when(end, "null").otherwise('"more"'), "}}",
     )
-    lost = (F.col("l_suppkey") % 11 == 3) & (page == 2)
-    return lines(spark, d).select(
-        F.col("l_suppkey").alias("series_id"), page.alias("page"), F.when(~lost, doc).alias("payload")
+    lost = (F.col("l_partkey") % 11 == 3) & (page == 2)
+    return landed(lines(spark, d).drop("l_suppkey", "l_returnflag")).select(
+        F.col("l_partkey").alias("series_id"), page.alias("page"), F.when(~lost, doc).alias("payload")
     )
 
 
 PAGED_SQL = """
-  SELECT l_suppkey AS series_id, l_linenumber AS season, l_quantity::INT AS episode, 'B' || l_orderkey AS name,
+  SELECT l.l_partkey AS series_id, l_linenumber AS season, l_quantity::INT AS episode, 'B' || l_orderkey AS name,
          strftime(l_shipdate, '%Y-%m-%d') AS airdate
-  FROM lineitem l
-  WHERE l_quantity <> 1 AND NOT EXISTS (
-    SELECT 1 FROM range(0, 7) p(page) WHERE page < l.l_linenumber - 1 AND (l.l_suppkey + page) % 5 = 4)
-  AND NOT (l_suppkey % 11 = 3 AND l_linenumber >= 3)
+  FROM lineitem l JOIN (
+    SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY page) - 1 = page AS dense,
+           coalesce(bool_and((l_partkey + page) % 5 <> 4) OVER (PARTITION BY l_partkey ORDER BY page
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached
+    FROM (SELECT DISTINCT l_partkey, l_linenumber - 1 AS page FROM lineitem
+          WHERE NOT (l_partkey % 11 = 3 AND l_linenumber = 3))) p
+  ON p.l_partkey = l.l_partkey AND page = l_linenumber - 1
+  WHERE dense AND reached AND l_quantity <> 1
 """
 
 
@@ -370,7 +380,7 @@ PAGES_SQL = """
 
 def search_flat(spark: SparkSession, d: str) -> DataFrame:
     """Catalog A hits, up to seven per order, landed as one document each."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    o = landed(table(spark, d, "orders").select("o_orderkey", "o_custkey"))
     count = (F.col("o_custkey") % 8).cast("int")
 
     def hit(i):
@@ -380,14 +390,14 @@ def search_flat(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.struct(series.alias("id"), text("P", series).alias("name"), status.alias("status")).alias("show"))
 
     hits = F.transform(F.slice(F.array(*[F.lit(i) for i in range(7)]), 1, count), hit)
-    landed = o.select(text("order ", F.col("o_orderkey")).alias("show_name"), F.to_json(hits).alias("payload"))
-    return S.read_search_flat(landed)
+    found = o.select(text("order ", F.col("o_orderkey")).alias("show_name"), F.to_json(hits).alias("payload"))
+    return S.read_search_flat(found)
 
 
 def search_paged(spark: SparkSession, d: str) -> DataFrame:
     """Catalog B hits: no document, an empty list, or two hits of which the first counts."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    series = F.col("o_custkey") % 100
+    o = landed(table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    series = (F.col("o_orderkey") * 11 + 5) % 2000
     status = F.when(F.col("o_custkey") % 2 == 0, '{"name":"Ended"}').otherwise('"Continuing"')
     tv_id = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(text('"tvdb_id":"', series, '",'))
     name = F.when(F.col("o_orderkey") % 7 == 0, '"translations":{"eng":"Eng"}').otherwise(text('"name":"B', series, '"'))
@@ -402,9 +412,9 @@ SEARCH_FLAT_SQL = """
          CASE WHEN (o_orderkey + i) % 6 = 0 THEN 'In Development' WHEN (o_orderkey + i) % 6 > 1 THEN 'Running' END AS status
   FROM (SELECT o_orderkey, unnest(range(0, o_custkey % 8)) AS i FROM orders)
 """
-SEARCH_PAGED_SQL = """
-  SELECT 'order ' || o_orderkey AS show_name, 1::BIGINT AS rank, o_custkey % 100 AS id,
-         CASE WHEN o_orderkey % 7 = 0 THEN 'Eng' ELSE 'B' || (o_custkey % 100) END AS title,
+SEARCH_PAGED_SQL = f"""
+  SELECT 'order ' || o_orderkey AS show_name, 1::BIGINT AS rank, (o_orderkey * 11 + 5) % 2000 AS id,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'Eng' ELSE 'B' || ((o_orderkey * 11 + 5) % 2000) END AS title,
          CASE WHEN o_custkey % 2 = 0 THEN 'Ended' ELSE 'Continuing' END AS status
   FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions.symbols import symbols_of, words_of
 from sparkaudit.operators import timeline as K
+from sparkaudit.operators.ordering import spread
 from sparkaudit.operators.transcripts import assemble_transcripts, gap_sessions
 from sparkaudit.queries import table
 from sparkaudit.sources.timelines import read_alignments
@@ -111,7 +112,7 @@ RUN_STARTS_SQL = f"""
 def alignment_payloads(spark, d):
     """Alignment documents of the conversation texts; ends are one shorter than the characters."""
     chars = F.split("text", "")
-    docs = table(spark, d, "conversations").select(
+    docs = spread(table(spark, d, "conversations")).select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.to_json(
             F.struct(
@@ -143,7 +144,7 @@ ALIGNMENT_SQL = """
 
 
 def words_to_symbols(spark, d):
-    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    words = spread(table(spark, d, "conversations")).select("conv_id", "turn", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
     return words.withColumn("symbols", F.array_join(symbols_of(F.col("word")), ""))
 
 
@@ -156,7 +157,7 @@ SYMBOLS_SQL = """
 
 
 def symbol_schedule(spark, d):
-    frames = K.symbol_schedule(table(spark, d, "conversations"), ["conv_id", "turn"])
+    frames = K.symbol_schedule(spread(table(spark, d, "conversations")), ["conv_id", "turn"])
     return frames.withColumn("t", F.round("t", 6))
 
 

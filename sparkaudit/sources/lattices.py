@@ -34,6 +34,18 @@ def lattice_cells(tokens: DataFrame, by: str, idx: str, cols: int = COLUMNS) ->
     )
 
 
+def text_lattices(
+    df: DataFrame, by: str, text: str, length: int | None = TOKEN_LENGTH, cols: int = COLUMNS
+) -> DataFrame:
+    """One lattice per text row, as :func:`lattice_cells` but cut inside the row: no shuffle."""
+    held = df.select(F.col(by), F.inline(F.array(F.struct(tokens_of(F.col(text), length).alias("_t")))))
+    rows = F.greatest(F.lit(1), F.floor(F.size("_t") / cols))
+    kept = F.slice("_t", F.lit(1), (rows * cols).cast("int"))
+    return held.select(by, F.posexplode(kept).alias("idx", "token")).select(
+        by, F.floor(F.col("idx") / cols).cast("int").alias("r"), (F.col("idx") % cols).cast("int").alias("c"), "token"
+    )
+
+
 def _file_tokens(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).withColumn("_tokens", tokens_of(F.col("value")))
     placed = offsets_in_file(lines, {"offset": F.size("_tokens")})

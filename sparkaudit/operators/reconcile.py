@@ -56,28 +56,28 @@ def match_scores(
 ) -> DataFrame:
     """Per show of the local table: known, matched, n_remote and score = matched / known.
 
-    Both sides are reduced to one row per (show, season, episode) before the join, so a
-    repeated episode costs nothing downstream.
+    Local and remote rows are counted together per (show, season, episode), so the match
+    needs no join: one shuffle of partly summed rows, then a small one per show.
     """
     keys = [show, "season", "episode"]
-    counted = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
-    listed = remote.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_listed"), F.bool_or(is_aired(F.col("airdate"), as_of)).alias("_hit")
+    aired = is_aired(F.col("airdate"), as_of)
+    both = local.select(*keys, F.lit(1).alias("_file"), F.lit(0).alias("_hit")).unionByName(
+        remote.select(*keys, F.lit(0).alias("_file"), aired.cast("int").alias("_hit"))
     )
-    known = F.when(F.col("episode") != 0, F.col("_copies")).otherwise(0)
-    per_show = (
-        counted.join(listed.filter("_hit").select(*keys, "_hit"), keys, "left")
-        .groupBy(show)
-        .agg(
-            F.sum(known).alias("known"),
-            F.sum(F.when(F.col("_hit"), known).otherwise(0)).alias("matched"),
-        )
+    per_key = both.groupBy(*keys).agg(
+        F.sum("_file").alias("_files"),
+        F.count_if(F.col("_file") == 0).alias("_listed"),
+        F.max("_hit").alias("_hit"),
     )
-    sizes = listed.groupBy(show).agg(F.sum("_listed").alias("n_remote"))
-    score = F.coalesce(F.try_divide("matched", "known"), F.lit(0.0))
-    return per_show.join(sizes, show, "left").select(
-        show, "known", "matched", F.coalesce("n_remote", F.lit(0)).alias("n_remote"), score.alias("score")
+    known = F.when(F.col("episode") != 0, F.col("_files")).otherwise(0)
+    per_show = per_key.groupBy(show).agg(
+        F.sum("_files").alias("_files"),
+        F.sum(known).alias("known"),
+        F.sum(known * F.col("_hit")).alias("matched"),
+        F.sum("_listed").alias("n_remote"),
     )
+    score = F.coalesce(F.try_divide("matched", "known"), F.lit(0.0))
+    return per_show.filter(F.col("_files") > 0).select(show, "known", "matched", "n_remote", score.alias("score"))
 
 
 def match_local_remote(

@@ -225,7 +225,7 @@ def order_statistics(
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     place = (F.col("_n") - 1) * F.lit(float(share))
     near = F.col("_rank") - 1
-    picked = _attach_group(numbered, sizes, by).filter(
+    picked = attach_group(numbered, sizes, by).filter(
         (near == F.floor(place)) | (near == F.ceil(place))
     )
     low, high = F.min(value), F.max(value)
@@ -233,14 +233,9 @@ def order_statistics(
     return picked.groupBy(*by).agg((low + (high - low) * fraction).alias(name))
 
 
-def _attach_group(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join one row per group to the rows of the group; a single row is a scalar subquery."""
+def attach_group(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join one row per group to the rows of the group; a single row is one scalar subquery."""
     if by:
         return df.join(per_group, list(by), "left")
-    out = df
-    for column in per_group.columns:
-        out = out.withColumn(column, per_group.select(column).scalar())
-    return out
-
-
-attach_group = _attach_group
+    whole = per_group.select(F.struct(*per_group.columns)).scalar()
+    return df.withColumn("_whole", whole).select(*df.columns, "_whole.*")

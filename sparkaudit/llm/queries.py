@@ -46,6 +46,41 @@ URL_SQL = r"""WITH u AS (
   SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
 
 
+def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.mixing import MIX, with_copies
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    mix = F.col(MIX)
+    return with_copies(docs).select(
+        "doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"),
+        (mix["copies"] * mix["size"]).alias("taken"), "source", mix["copies"].alias("copies"),
+    )
+
+
+def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.nearest import nearest
+
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+NEAREST_SQL = """WITH v AS (
+    SELECT DISTINCT vec_id, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  p AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           sqrt(list_reduce(list_transform(list_zip(q.embedding::DOUBLE[], c.embedding::DOUBLE[]),
+                lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.embedding) = len(q.embedding)
+    WHERE q.vec_id % 100 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM p)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
+    "op9_mixing": (op9_mixing, None),
+    "op10_nearest": (op10_nearest, NEAREST_SQL),
 }

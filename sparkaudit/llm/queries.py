@@ -46,6 +46,25 @@ URL_SQL = r"""WITH u AS (
   SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
 
 
+def op5_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.substring import repeated_units
+
+    return repeated_units(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.language import identified, in_part, trained
+
+    docs = table(spark, d, "documents")
+    held_out = in_part(F.col("doc_id"), 4, 2)
+    model = trained(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    found = F.col("language")
+    return identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), found["lang"].alias("lang_pred"), found["score"].alias("score"),
+        found["rejected"].alias("rejected"),
+    )
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     from sparkaudit.llm.mixing import MIX, with_copies
 
@@ -81,6 +100,8 @@ NEAREST_SQL = """WITH v AS (
 
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
+    "op5_substring_dedup": (op5_substring_dedup, None),
+    "op7_language": (op7_language, None),
     "op9_mixing": (op9_mixing, None),
     "op10_nearest": (op10_nearest, NEAREST_SQL),
 }

@@ -46,6 +46,12 @@ URL_SQL = r"""WITH u AS (
   SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
 
 
+def op4_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.jaccard import similar_components
+
+    return similar_components(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op5_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     from sparkaudit.llm.substring import repeated_units
 
@@ -100,6 +106,7 @@ NEAREST_SQL = """WITH v AS (
 
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
+    "op4_jaccard_join": (op4_jaccard_join, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op7_language": (op7_language, None),
     "op9_mixing": (op9_mixing, None),

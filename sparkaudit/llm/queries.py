@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import bounded_batches
+from sparkaudit.llm.common import bounded_batches, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,21 @@ URL_SQL = r"""WITH u AS (
   SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
 
 
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.archive import converted, read_warc
+
+    folder = shared_folder(spark)
+    converted(table(spark, d, "pages"), folder, "page_id", "url", "html")
+    read = read_warc(spark, folder, payloads=False)
+    kept = read.filter(F.col("record_type") == "response").select(
+        F.col("record_id").alias("refers_to"), F.col("key").alias("to")
+    )
+    return read.join(kept, "refers_to", "left").select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("to").alias("refers_to"),
+        "record_id", "url", "date",
+    )
+
+
 def op4_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     from sparkaudit.llm.jaccard import similar_components
 
@@ -106,6 +121,7 @@ NEAREST_SQL = """WITH v AS (
 
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
+    "op3_warc": (op3_warc, None),
     "op4_jaccard_join": (op4_jaccard_join, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op7_language": (op7_language, None),

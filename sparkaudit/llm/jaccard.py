@@ -56,9 +56,12 @@ HELD = 4_000_000
 DOCS_PER_RANGE = 1 << 16
 BROADCAST_IDS = 500_000
 
-FACTS = "doc_id long, n long, high long, low long, part int, packed binary"
+FACTS = "doc_id long, n long, high long, low long, bits binary, part int, packed binary"
 KIND = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("part", pa.int32()), ("packed", pa.binary())]
+    [
+        *((c, pa.int64()) for c in ("doc_id", "n", "high", "low")),
+        ("bits", pa.binary()), ("part", pa.int32()), ("packed", pa.binary()),
+    ]
 )
 
 
@@ -67,6 +70,25 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
     return int(high), int(low)
 
 
+def set_bits(grams: np.ndarray) -> bytes:
+    """A bitmap of two to four bits for each n-gram, a power of two in all, by the n-grams' lowest bits."""
+    size = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def overlap_at_most(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
+    """Upper bound of two sets' overlap: a bit that one has alone stands for an n-gram that it has alone."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):  # fold the longer one
+        if len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _packed(sorted_hashes: np.ndarray) -> bytes:
     steps = np.diff(sorted_hashes, prepend=np.uint32(0)).astype(np.uint32)
     return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
@@ -91,17 +113,18 @@ def facts(docs: DataFrame, doc_id: str, text: str, n: int, parts: int) -> DataFr
             cuts = np.searchsorted(part, np.arange(parts + 1))
             runs = [(i, _packed(every[cuts[i] : cuts[i + 1]])) for i in range(parts) if cuts[i] < cuts[i + 1]]
             none = [None] * len(runs)
-            columns = [none, none, none, none, [r[0] for r in runs], [r[1] for r in runs]]
+            columns = [none, none, none, none, none, [r[0] for r in runs], [r[1] for r in runs]]
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, KIND)], schema=KIND)
 
         for batch in batches:
-            sizes, highs, lows = [], [], []
+            sizes, highs, lows, bits = [], [], [], []
             for words in word_hashes(batch.column(1)):
                 grams = shingles(words, n)
                 high, low = _signature(grams) if len(grams) else (None, None)
                 sizes.append(len(grams))
                 highs.append(high)
                 lows.append(low)
+                bits.append(set_bits(grams) if len(grams) else None)
                 if len(grams):
                     held.append((grams >> np.uint64(32)).astype(np.uint32))
                     size += len(grams)
@@ -109,7 +132,7 @@ def facts(docs: DataFrame, doc_id: str, text: str, n: int, parts: int) -> DataFr
                     yield sent()
                     held, size = [], 0
             none = [None] * len(sizes)
-            columns = [batch.column(0), sizes, highs, lows, none, none]
+            columns = [batch.column(0), sizes, highs, lows, bits, none, none]
             yield pa.record_batch(
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, KIND)], schema=KIND
             )
@@ -220,6 +243,23 @@ def sizes_allow(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def bounded_pairs(pairs: DataFrame, known_facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sizes and bitmaps leave possible."""
+
+    @F.arrow_udf("boolean")
+    def possible(n_a: pa.Array, a: pa.Array, n_b: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for n, x, m, y in zip(n_a.to_pylist(), a.to_pylist(), n_b.to_pylist(), b.to_pylist()):
+            most = overlap_at_most(n, x, m, y)
+            out.append(100 * most >= percent * (n + m - most))
+        return pa.array(out, pa.bool_())
+
+    rows = known_facts.filter(F.col("n") > 0)
+    one = rows.select(F.col("doc_id").alias("u"), F.col("n").alias("n_a"), F.col("bits").alias("a"))
+    two = rows.select(F.col("doc_id").alias("v"), F.col("n").alias("n_b"), F.col("bits").alias("b"))
+    return pairs.join(one, "u").join(two, "v").filter(possible("n_a", "a", "n_b", "b")).select("u", "v").distinct()
+
+
 def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose overlap over all columns is large enough."""
     one = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
@@ -293,7 +333,7 @@ def similar_components(
     posts = landed(postings(docs, doc_id, text, n, percent, common))
     alone = posts.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     posts = landed(posts.join(alone.select("gram"), "gram", "left_semi"))
-    sets = landed(sets_of(docs, doc_id, text, n, posts.select("node").distinct()))
+    rows = known_facts.filter(F.col("part").isNull())
 
     links, found = None, None
     for turn in range(ROUNDS + 1):
@@ -301,13 +341,16 @@ def similar_components(
         if turn:
             spread = landed(spread)
         pairs = leader_pairs(spread, turn, percent) if turn < ROUNDS else remaining_pairs(spread, percent)
+        pairs = landed(bounded_pairs(pairs, rows, percent))
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = landed(sets_of(docs, doc_id, text, n, ends))
         new = landed(products(pairs, sets, percent))
         if links is not None and new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
         found = landed(components(links))
 
-    rows = known_facts.filter(F.col("part").isNull()).select("doc_id", "n", "high", "low")
+    rows = rows.select("doc_id", "n", "high", "low")
     same = (
         rows.filter(F.col("high").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("high", "low")

@@ -86,6 +86,18 @@ def op7_language(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.secrets import KINDS, of_kind, scanned, span_text
+
+    found = F.col("secrets")
+    base = F.filter(found, lambda s: s["kind"] < 3)
+    counts = [F.size(of_kind(found, k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return scanned(docs).select(
+        "doc_id", *counts[:3], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(found).alias("spans"), counts[3],
+    )
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     from sparkaudit.llm.mixing import MIX, with_copies
 
@@ -125,6 +137,7 @@ QUERIES = {
     "op4_jaccard_join": (op4_jaccard_join, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op7_language": (op7_language, None),
+    "op8_secrets": (op8_secrets, None),
     "op9_mixing": (op9_mixing, None),
     "op10_nearest": (op10_nearest, NEAREST_SQL),
 }

@@ -73,6 +73,13 @@ def op5_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return repeated_units(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.decontaminate import leaks
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return leaks(docs, table(spark, d, "benchmark")).drop("text_hash")
+
+
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     from sparkaudit.llm.language import identified, in_part, trained
 
@@ -136,6 +143,7 @@ QUERIES = {
     "op3_warc": (op3_warc, None),
     "op4_jaccard_join": (op4_jaccard_join, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
+    "op6_decontamination": (op6_decontamination, None),
     "op7_language": (op7_language, None),
     "op8_secrets": (op8_secrets, None),
     "op9_mixing": (op9_mixing, None),

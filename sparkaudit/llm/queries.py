@@ -46,6 +46,20 @@ URL_SQL = r"""WITH u AS (
   SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
 
 
+def op2_language_model(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.language import in_part
+    from sparkaudit.llm.language_model import scored, trained
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = in_part(F.col("doc_id"), 7, 2)
+    model = trained(docs.filter(~held_out))
+    lm = F.col("lm")
+    return scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), lm["n_tokens"].alias("n_tokens"), lm["n_known"].alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), lm["base_score"].alias("base_score"), lm["score"].alias("score"),
+    )
+
+
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     from sparkaudit.llm.archive import converted, read_warc
 
@@ -140,6 +154,7 @@ NEAREST_SQL = """WITH v AS (
 
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
+    "op2_language_model": (op2_language_model, None),
     "op3_warc": (op3_warc, None),
     "op4_jaccard_join": (op4_jaccard_join, None),
     "op5_substring_dedup": (op5_substring_dedup, None),

@@ -1,10 +1,74 @@
-"""Corpus pipeline: the stages are added as their operators are built."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Language identification drops texts that it rejects, the n-gram Jaccard join keeps one
+document of each group of near copies, benchmark decontamination drops documents that hold
+benchmark passages, secrets are replaced by a mark, and the mix repeats or leaves out documents so that
+each source comes near its target.  A group's smallest id stays; of rows that repeat it, all do if they are
+equal in every column but no others.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkaudit.llm.common import bounded_batches, landed
+from sparkaudit.llm.decontaminate import without_leaks
+from sparkaudit.llm.jaccard import similar_components
+from sparkaudit.llm.language import identified, trained
+from sparkaudit.llm.mixing import mixed_documents
+from sparkaudit.llm.secrets import redacted
+
+#: No SQL can express a trained classifier or a seeded mix: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified with enough confidence; null, empty and letterless texts go."""
+    bounded_batches(spark)
+    name = "_language"
+    model = trained(docs.select("doc_id", "text", "lang"))
+    return identified(docs, model, name=name).filter(~F.col(f"{name}.rejected")).drop(name)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the least id."""
+    bounded_batches(spark)
+    # Only ids that are not their group's least are moved; a row without id is in no group.
+    rest = similar_components(docs.select("doc_id", "text")).filter(F.col("doc_id") != F.col("component_id"))
+    gone = landed(rest.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified benchmark passage."""
+    bounded_batches(spark)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
+    out = redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixed_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("mix", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = landed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

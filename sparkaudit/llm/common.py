@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session, wherever it is not installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkaudit_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / "sparkaudit.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in package.rglob("*.py"):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sparkaudit_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
+    """Settings of a session that runs these operators: bounded Arrow batches, the package on all workers."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -12,15 +12,16 @@ known to be connected needs no product.  That is what keeps large groups of near
 copies from their square: in each of ``ROUNDS`` rounds every posting list names
 ``LEADERS`` leaders, all its members meet these alone, and links found join components.
 Afterwards only pairs of *different* components on a posting list are left; all of them
-are taken, so no link between different texts is lost.
+are taken, in products of blocks of ``TILE`` members, so no link between different texts is
+lost.
 
 The order needs to know which n-grams are common.  Counts of all n-grams of all
 documents are made exact on 32-bit hashes: tasks send sorted, packed runs per range of
 hashes and each range is merged in one task (their number follows the number of documents).  Counts
 of common n-grams, ``COMMON`` of them at most by a rising bound, and a bitmap of fixed
-size of those that occur at all twice go to the tasks.  Both only choose an order and
-leave out columns that a single document has: wherever they are coarse the result stays
-the same.
+size of those that occur at all twice go to the tasks.  They choose the order, leave out columns
+that a single document has, and tell how many of a set's n-grams any partner can have,
+which bounds overlaps once more.  Wherever they are coarse the result stays the same.
 
 Defined results: a text of fewer words than n is its whole sequence as one n-gram;
 texts without words, null ones included, have no n-grams and are linked with nothing;
@@ -37,7 +38,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.llm.common import fits, landed
@@ -55,6 +56,8 @@ HELD = 4_000_000
 #: Documents for each range of hashes that one task merges.
 DOCS_PER_RANGE = 1 << 16
 BROADCAST_IDS = 500_000
+#: Members of a posting list in one block of a product.
+TILE = 1024
 
 FACTS = "doc_id long, n long, high long, low long, bits binary, part int, packed binary"
 KIND = pa.schema(
@@ -71,8 +74,8 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def set_bits(grams: np.ndarray) -> bytes:
-    """A bitmap of two to four bits for each n-gram, a power of two in all, by the n-grams' lowest bits."""
-    size = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    """A bitmap of at least two bits for each n-gram, a power of two in all, by the n-grams' lowest bits."""
+    size = max(1024, 1 << int(2 * len(grams) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(grams & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -181,26 +184,32 @@ def common_grams(packed: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray,
     return kept["hashes"].to_numpy(np.uint32), kept["counts"].to_numpy(np.int64), bitmap
 
 
-def first_columns(grams: np.ndarray, percent: int, hashes: np.ndarray, counts: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """The n-grams by which a set must be found, without those that no other document has."""
+def first_columns(grams: np.ndarray, percent: int, hashes: np.ndarray, counts: np.ndarray, bitmap: np.ndarray) -> tuple:
+    """The n-grams by which a set must be found, and how many of its n-grams other documents may have.
+
+    None at all when too many of its n-grams are its own for any partner.
+    """
     h = (grams >> np.uint64(32)).astype(np.uint32)
+    bit = ((h.astype(np.uint64) * np.uint64(BITMAP)) >> np.uint64(32)).astype(np.int64)
+    shared = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+    common = int(shared.sum())
+    if 100 * common < percent * len(grams):
+        return grams[:0], common
     count = np.zeros(len(grams), dtype=np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         count = np.where(hashes[at] == h, counts[at], 0)
     least = -(-percent * len(grams) // 100)
     first = np.lexsort((grams, count))[: len(grams) - least + 1]
-    bit = ((h[first].astype(np.uint64) * np.uint64(BITMAP)) >> np.uint64(32)).astype(np.int64)
-    shared = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-    return grams[first[shared > 0]]
+    return grams[first[shared[first] > 0]], common
 
 
-POSTS = "gram long, doc_id long, n long, high long, low long"
-POST_KIND = pa.schema([(c, pa.int64()) for c in ("gram", "doc_id", "n", "high", "low")])
+POSTS = "gram long, doc_id long, n long, common long, high long, low long"
+POST_KIND = pa.schema([(c, pa.int64()) for c in ("gram", "doc_id", "n", "common", "high", "low")])
 
 
 def postings(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, common: tuple) -> DataFrame:
-    """(gram, node, n) of each distinct set's first columns; the node is the least id that has the set."""
+    """(gram, node, n, common) of each distinct set's first columns; the node is the least id that has the set."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +219,10 @@ def postings(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, comm
                 grams = shingles(words, n)
                 if key is None or not len(grams):
                     continue
-                columns = first_columns(grams, percent, *shared.value)
+                columns, common_ = first_columns(grams, percent, *shared.value)
                 if len(columns):
                     out.append(columns)
-                    each.append((len(columns), key, len(grams), *_signature(grams)))
+                    each.append((len(columns), key, len(grams), common_, *_signature(grams)))
             if not out:
                 continue
             facts_ = np.repeat(np.array([e[1:] for e in each], dtype=np.int64), [e[0] for e in each], axis=0)
@@ -221,7 +230,11 @@ def postings(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, comm
             yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], schema=POST_KIND)
 
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, POSTS)
-    return rows.groupBy("gram", "high", "low").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")).select("gram", "node", "n")
+    # Rows of one signature agree in n and common.
+    sets = rows.groupBy("gram", "high", "low").agg(
+        F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("common").alias("common")
+    )
+    return sets.select("gram", "node", "n", "common")
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, n: int, nodes: DataFrame) -> DataFrame:
@@ -239,8 +252,10 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, n: int, nodes: DataFrame) -
     return rows.mapInArrow(run, "node long, grams array<long>")
 
 
-def sizes_allow(a, b, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def sizes_allow(n_a: Column, common_a: Column, n_b: Column, common_b: Column, percent: int) -> Column:
+    """No more than what others may have of either set can overlap."""
+    most = F.least(common_a, common_b)
+    return 100 * most >= percent * (n_a + n_b - most)
 
 
 def bounded_pairs(pairs: DataFrame, known_facts: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +296,7 @@ def _pair(a: str, b: str) -> list:
 
 def leader_pairs(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every member of a posting list that spans components, with some leaders of the list from other components."""
-    who = F.struct("node", "n", "component")
+    who = F.struct("node", "n", "common", "component")
     leaders = F.array(*[F.min_by(who, F.xxhash64("node", F.lit(turn * LEADERS + i))) for i in range(LEADERS)])
     lists = (
         posts.groupBy("gram")
@@ -291,36 +306,78 @@ def leader_pairs(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     )
     met = posts.join(lists, "gram").withColumn("leader", F.explode("leaders"))
     apart = (F.col("leader.component") != F.col("component")) & (F.col("leader.node") != F.col("node"))
-    return (
-        met.filter(apart & sizes_allow(F.col("leader.n"), F.col("n"), percent))
-        .select(*_pair("node", "leader.node"))
-        .distinct()
-    )
-
-
-def remaining_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a posting list that lie in different components and that sizes allow."""
-    groups = posts.groupBy("gram", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    mixed = groups.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    groups = groups.join(mixed.select("gram"), "gram", "left_semi")
-    one = groups.select("gram", *[F.col(c).alias(f"{c}_1") for c in ("component", "small", "large")])
-    two = groups.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("component", "small", "large")])
-    meets = (
-        (F.col("component_1") < F.col("component_2"))
-        & (100 * F.col("large_1") >= percent * F.col("small_2"))
-        & (100 * F.col("large_2") >= percent * F.col("small_1"))
+    possible = sizes_allow(F.col("leader.n"), F.col("leader.common"), F.col("n"), F.col("common"), percent)
+    return met.filter(apart & possible).select(*_pair("node", "leader.node")).distinct()
+
+
+def _possible(row: int, rows: np.ndarray, n: np.ndarray, common: np.ndarray, bits: dict, percent: int) -> np.ndarray:
+    """Which of some rows a row may be similar to, by counts and bitmaps."""
+    most = np.minimum(common[rows], common[row])
+    rows = rows[100 * most >= percent * (n[rows] + n[row] - most)]
+    found = []
+    for size in {len(bits[r]) for r in rows.tolist()}:
+        some = rows[[len(bits[r]) == size for r in rows.tolist()]]
+        x, y = bits[row], np.stack([bits[r] for r in some.tolist()])
+        while len(x) != y.shape[1]:  # fold the longer one
+            if len(x) > y.shape[1]:
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            else:
+                y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+        lacks = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+        adds = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n[row] - lacks, n[some] - adds)
+        found.append(some[100 * most >= percent * (n[some] + n[row] - most)])
+    return np.concatenate(found) if found else rows[:0]
+
+
+def remaining_pairs(posts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a posting list that lie in different components and that counts and bitmaps allow.
+
+    A list that spans components is cut into blocks of about ``TILE`` members, and each pair of
+    blocks is one task's product.  A pair leaves it once, from the least n-gram that it shares.
+    """
+    lists = (
+        posts.groupBy("gram")
+        .agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"))
+        .filter("_a < _b")
+        .select("gram", F.ceil(F.col("_n") / TILE).cast("int").alias("blocks"))
     )
-    both = one.join(two, "gram").filter(meets).select("gram", "component_1", "component_2")
-    left = posts.select("gram", F.col("component").alias("component_1"), F.col("node").alias("x"), F.col("n").alias("nx"))
-    right = posts.select("gram", F.col("component").alias("component_2"), F.col("node").alias("y"), F.col("n").alias("ny"))
-    return (
-        both.join(left, ["gram", "component_1"])
-        .join(right, ["gram", "component_2"])
-        .filter(sizes_allow(F.col("nx"), F.col("ny"), percent) & (F.col("x") != F.col("y")))
-        .select(*_pair("x", "y"))
-        .distinct()
+    members = posts.join(lists, "gram")
+    firsts = posts.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("firsts"))
+    bits = rows.filter(F.col("n") > 0).select(F.col("doc_id").alias("node"), "bits")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = (
+        members.join(firsts, "node")
+        .join(bits, "node")
+        .withColumns({"block": block, "other": other})
+        .select(
+            "gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "block", "node", "n", "common", "component", "firsts", "bits",
+        )
     )
 
+    def product(key: tuple, table: pa.Table) -> pa.Table:
+        gram, i, j = (k.as_py() for k in key)
+        node, n, common, component, side = (
+            table.column(c).to_numpy() for c in ("node", "n", "common", "component", "block")
+        )
+        bitmaps = {r: np.frombuffer(b, np.uint64) for r, b in enumerate(table.column("bits").to_pylist())}
+        shared = [frozenset(f) for f in table.column("firsts").to_pylist()]
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        pairs = []
+        for row in left.tolist():
+            rest = right[component[right] != component[row]]
+            if i == j:
+                rest = rest[node[rest] > node[row]]
+            for at in _possible(row, rest, n, common, bitmaps, percent).tolist():
+                if min(shared[row] & shared[at]) == gram:
+                    pairs.append((max(node[row], node[at]), min(node[row], node[at])))
+        u, v = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"u": pa.array(np.ascontiguousarray(u)), "v": pa.array(np.ascontiguousarray(v))})
+
+    return placed.groupBy("gram", "i", "j").applyInArrow(product, "u long, v long").distinct()
+
 
 def similar_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT
@@ -340,8 +397,11 @@ def similar_components(
         spread = _with_component(posts, found)
         if turn:
             spread = landed(spread)
-        pairs = leader_pairs(spread, turn, percent) if turn < ROUNDS else remaining_pairs(spread, percent)
-        pairs = landed(bounded_pairs(pairs, rows, percent))
+        if turn < ROUNDS:
+            pairs = bounded_pairs(leader_pairs(spread, turn, percent), rows, percent)
+        else:
+            pairs = remaining_pairs(spread, rows, percent)
+        pairs = landed(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         sets = landed(sets_of(docs, doc_id, text, n, ends))
         new = landed(products(pairs, sets, percent))

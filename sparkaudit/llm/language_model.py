@@ -357,6 +357,7 @@ def with_joined_base(rows: DataFrame, model: Model, doc_id: str, text: str, name
                 columns = [[d.as_py()] * len(some), [h.as_py()] * len(some), some.view(np.int64), n]
                 yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], schema=pa.schema(kinds))
 
+    d, h, found_ = (free_name(rows.columns, c) for c in ("_d", "_h", "_found"))
     key = [F.col(doc_id).cast("long").alias("_d"), F.xxhash64(F.col(text)).alias("_h")]
     once = rows.select(*key, F.col(text).alias("_t")).groupBy("_d", "_h").agg(F.first("_t").alias("_t"))
     counts = model.words.select(F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select(
@@ -366,15 +367,17 @@ def with_joined_base(rows: DataFrame, model: Model, doc_id: str, text: str, name
     found = (
         once.mapInArrow(run, "_d long, _h long, _w long, _n long")
         .join(counts, "_w", "left")
-        .groupBy("_d", "_h")
+        .groupBy(F.col("_d").alias(d), F.col("_h").alias(h))
         .agg(
-            F.sum(F.col("_n") * F.log10((c + 1.0) / F.lit(model.tokens + model.distinct + 1.0))).alias("_base"),
-            F.sum(F.when(c > 0, F.col("_n")).otherwise(0)).alias("_known"),
+            F.struct(
+                F.sum(F.col("_n") * F.log10((c + 1.0) / F.lit(model.tokens + model.distinct + 1.0))).alias("base"),
+                F.sum(F.when(c > 0, F.col("_n")).otherwise(0)).alias("known"),
+            ).alias(found_)
         )
     )
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text)) == F.col(h))
     facts = F.struct(
-        F.col(name)["n_tokens"].alias("n_tokens"), F.col("_known").alias("n_known"),
-        F.col("_base").alias("base_score"), F.col(name)["score"].alias("score"),
+        F.col(name)["n_tokens"].alias("n_tokens"), F.col(found_)["known"].alias("n_known"),
+        F.col(found_)["base"].alias("base_score"), F.col(name)["score"].alias("score"),
     )
-    return rows.join(found, same, "left").withColumn(name, facts).drop("_d", "_h", "_base", "_known")
+    return rows.join(found, same, "left").withColumn(name, facts).drop(d, h, found_)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import WORD, landed
+from sparkaudit.llm.common import WORD, free_name, landed
 from sparkaudit.operators.ordering import ranked
 
 WEIGHTS = (1, 2, 3)
@@ -182,23 +182,25 @@ def mixed(
 
 
 def with_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", name: str = MIX, **how
 ) -> DataFrame:
     """The rows of ``docs`` with one more column: a struct of size, source_size, target and copies."""
     items = mixed(docs, doc_id, text, source, **how)
+    d, s, n = (free_name(docs.columns, c) for c in ("_d", "_s", "_n"))
     facts = items.select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"),
-        F.struct("size", "source_size", "target", "copies").alias(MIX),
+        F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n),
+        F.struct("size", "source_size", "target", "copies").alias(name),
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).eqNullSafe(F.col("_s"))
-    return docs.join(facts, same & (n_words(F.col(text)) == F.col("_n"))).drop("_d", "_s", "_n")
+    same = F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s))
+    return docs.join(facts, same & (n_words(F.col(text)) == F.col(n))).drop(d, s, n)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each row as often as the mix takes it."""
+    mix = free_name(docs.columns, MIX)
     return (
-        with_copies(docs, **how)
-        .filter(F.col(MIX)["copies"] > 0)
-        .withColumn(MIX, F.explode(F.sequence(F.lit(1), F.col(MIX)["copies"])))
-        .drop(MIX)
+        with_copies(docs, name=mix, **how)
+        .filter(F.col(mix)["copies"] > 0)
+        .withColumn(mix, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mix)["copies"])))
+        .drop(mix)
     )

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import fits, lower_ascii
+from sparkaudit.llm.common import fits, free_name, lower_ascii
 
 BROADCAST_RULES = 200_000
 PREFIX_HEX = 8
@@ -90,8 +90,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     table = index.select("rule", "verdict", F.col("_full").alias("_rule_full"), "_short")
     if fits(index, BROADCAST_RULES):
         table = F.broadcast(table)
-    placed = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    addresses = placed.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct()
+    host, path, whole, chosen = (free_name(pages.columns, c) for c in ("_host", "_path", "_address", "_best"))
+    placed = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    addresses = placed.select(F.col(host).alias("host"), F.col(path).alias("path")).distinct()
     best = (
         expanded(addresses, index)
         .join(table, "_short")
@@ -101,21 +102,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
             F.max_by(
                 F.struct("rule", "verdict"),
                 F.struct(F.length("rule"), F.length(F.substring_index("rule", "/", 1)), "rule"),
-            ).alias("_best")
+            ).alias(chosen)
         )
         # Joined by the whole address rather than by its two parts: both sides are dealt anew for the
         # join, and such a join's large partitions can be split.
-        .select(F.concat("host", "path").alias("_address"), "_best")
+        .select(F.concat("host", "path").alias(whole), chosen)
     )
     kept = [c for c in pages.columns if c.lower() not in OUTPUTS]
     return (
-        placed.withColumn("_address", F.concat("_host", "_path"))
-        .join(best, "_address", "left")
+        placed.withColumn(whole, F.concat(host, path))
+        .join(best, whole, "left")
         .select(
             *kept,
-            F.col("_host").alias("host"),
-            F.col("_path").alias("path"),
-            F.col("_best.rule").alias("rule"),
-            F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"),
+            F.col(host).alias("host"),
+            F.col(path).alias("path"),
+            F.col(chosen)["rule"].alias("rule"),
+            F.coalesce(F.col(chosen)["verdict"], F.lit(default)).alias("verdict"),
         )
     )

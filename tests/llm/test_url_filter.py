@@ -31,11 +31,11 @@ def rules_of(spark, rows=Q.URL_RULES):
 def test_judged(spark, monkeypatch, bound):
     monkeypatch.setattr(U, "BROADCAST_RULES", bound)
     rows = [(i, u, "kept", "old") for i, (u, *_) in enumerate(URLS)] * 2
-    pages = spark.createDataFrame(rows, "page_id int, url string, rules string, Host string")
+    pages = spark.createDataFrame(rows, "page_id int, url string, _Address string, Host string")
     got = U.judge_urls(pages, rules_of(spark)).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r["url"], r["host"], r["path"], r["rule"], r["verdict"]) == URLS[r["page_id"]] and r["rules"] == "kept"
+        assert (r["url"], r["host"], r["path"], r["rule"], r["verdict"]) == URLS[r["page_id"]] and r["_Address"] == "kept"
 
 
 def test_precedence_and_odd_rules(spark):

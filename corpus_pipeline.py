@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import bounded_batches, landed
+from sparkaudit.llm.common import bounded_batches, free_name, landed
 from sparkaudit.llm.decontaminate import without_leaks
 from sparkaudit.llm.jaccard import similar_components
 from sparkaudit.llm.language import identified, trained
@@ -26,7 +26,7 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified with enough confidence; null, empty and letterless texts go."""
     bounded_batches(spark)
-    name = "_language"
+    name = free_name(docs.columns, "_language")
     model = trained(docs.select("doc_id", "text", "lang"))
     return identified(docs, model, name=name).filter(~F.col(f"{name}.rejected")).drop(name)
 
@@ -36,8 +36,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     # Only ids that are not their group's least are moved; a row without id is in no group.
     rest = similar_components(docs.select("doc_id", "text")).filter(F.col("doc_id") != F.col("component_id"))
-    gone = landed(rest.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = free_name(docs.columns, "_gone")
+    gone = landed(rest.select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def sorted_digests() -> Callable:
 
         import pandas as pd
 
-        current, state = None, None
+        current, state = object(), None
         for batch in batches:
             done = []
             for key, text in zip(batch["lattice_id"], batch["text"]):

@@ -46,10 +46,10 @@ def rotate_y(x: Column, y: Column, z: Column, degrees: float) -> tuple[Column, C
 
 
 def draw_integer(seed: int, *key: Column) -> Column:
-    """Uniform integer in [0, 2^32) that depends only on the seed and the key."""
+    """Uniform integer in [0, 2^60) that depends only on the seed and the key."""
     text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def draw_unit(seed: int, *key: Column) -> Column:
-    return draw_integer(seed, *key) / F.lit(float(1 << 32))
+    return draw_integer(seed, *key) / F.lit(float(1 << 60))

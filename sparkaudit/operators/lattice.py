@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkaudit.functions import numeric as N
 from sparkaudit.functions.digests import sorted_digests
@@ -75,17 +74,17 @@ def fingerprint(cells: DataFrame, by: str = "lattice_id") -> DataFrame:
     does so as a sorted stream with constant memory.  Use :func:`tree_fingerprint`
     where single lattices are too long for that.
     """
-    schema = T.StructType(
-        [T.StructField("lattice_id", cells.schema[by].dataType), T.StructField("fingerprint", T.StringType())]
-    )
+    kind = cells.schema[by].dataType
     ordered = (
         row_texts(cells, by)
         .withColumnRenamed(by, "lattice_id")
         .repartition("lattice_id")
         .sortWithinPartitions("lattice_id", "r")
-        .select("lattice_id", "text")
+        # As text the key keeps its value beside null keys.
+        .select(F.col("lattice_id").cast("string"), "text")
     )
-    return ordered.mapInPandas(sorted_digests(), schema).withColumnRenamed("lattice_id", by)
+    digests = ordered.mapInPandas(sorted_digests(), "lattice_id string, fingerprint string")
+    return digests.select(F.col("lattice_id").cast(kind).alias(by), "fingerprint")
 
 
 def tree_fingerprint(
@@ -93,8 +92,12 @@ def tree_fingerprint(
 ) -> DataFrame:
     """SHA-256 tree over the row texts: each level digests up to ``fan_in`` digests of the level below.
 
-    No task ever holds more than ``fan_in`` digests; ``levels`` levels cover fan_in ** levels rows.
+    No task ever holds more than ``fan_in`` digests.  There are ``levels`` levels, or as many more as the
+    longest lattice needs to end in one node.
     """
+    longest = (cells.agg(F.max("r")).first()[0] or 0) + 1
+    while fan_in**levels < longest:
+        levels += 1
     nodes = row_texts(cells, by).select(by, F.col("r").cast("bigint").alias("_i"), F.sha2("text", 256).alias("_d"))
     for _ in range(levels):
         parent = F.floor(F.col("_i") / fan_in).alias("_i")
@@ -138,12 +141,22 @@ def diagonal(cells: DataFrame, cols: int, offset: int = 0) -> DataFrame:
     return cells.filter(F.col("c") == F.pmod(F.col("r") + offset, F.lit(cols)))
 
 
-def validated_set(cells: DataFrame, updates: DataFrame, by: str = "lattice_id", length: int = 5) -> DataFrame:
-    """Replace the tokens of the updated cells; a token of the wrong length raises an error."""
+def validated_set(
+    cells: DataFrame, updates: DataFrame, by: str = "lattice_id", length: int = 5, order: str | None = None
+) -> DataFrame:
+    """Replace the tokens of the updated cells.
+
+    Of several updates of a cell the one last by ``order`` holds (without an order column, the
+    greatest token).  A token of the wrong length and a cell outside the lattice raise an error.
+    """
     fault = F.raise_error(F.concat(F.lit(f"token must be exactly {length} characters, got "), F.length("token"))).cast("string")
     checked = updates.select(
-        by, "r", "c", F.when(F.length("token") == length, F.col("token")).otherwise(fault).alias("_new")
+        by, "r", "c", F.when(F.length("token") == length, F.col("token")).otherwise(fault).alias("_new"),
+        (F.col(order) if order else F.lit(0)).alias("_order"),
     )
-    return cells.join(checked, [by, "r", "c"], "left").select(
-        by, "r", "c", F.coalesce("_new", "token").alias("token")
+    place = [by, "r", "c"]
+    last = checked.groupBy(*place).agg(F.max_by("_new", F.struct("_order", "_new")).alias("_new"))
+    outside = F.raise_error(F.lit("update outside the lattice")).cast("string")
+    return cells.withColumn("_is", F.lit(True)).join(last, place, "full_outer").select(
+        *place, F.when(F.col("_is").isNull(), outside).otherwise(F.coalesce("_new", "token")).alias("token")
     )

@@ -4,14 +4,15 @@ A plain ``Window.partitionBy(group)`` puts a whole group in one task, and an
 unpartitioned window puts the whole table there.  The operators below first
 cut the *order key* into ranges that hold about the same number of rows of the
 whole table.  A (group, range) cell can then never hold more rows than a range,
-however the rows are spread over the groups, so windows run per cell and only
-one small carry row per cell moves state from one cell to the next.  A table that
-is counted and found to fit in one range skips all that and uses the plain window.
-
-The cut points come from a sample picked by a hash of the key, so they depend
-on the data alone: a task that is run again after a lost executor puts every
-row in the same cell.  The sample size follows the number of ranges, not the
-number of rows.
+unless they share group and key, however the rows are spread over the groups, so
+windows run per cell and only one small carry row per cell moves state from one
+cell to the next.  Tables of every size go this way, in ``LEAST_SEGMENTS`` ranges at least.
+
+The cut points come from a sample picked by a hash of the whole row, so rows that
+share an order key are not sampled together, and a task that is run again after a
+lost executor puts every row in the same cell.  Sampled rows are counted per key
+before they reach the driver: a key that many rows share is one of them.  Their number follows
+the number of ranges, not the number of rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 ROWS_PER_SEGMENT = 1_000_000
-MAX_SEGMENTS = 1 << 14
+LEAST_SEGMENTS = 4
+#: Beyond so many ranges they grow evenly; windows stream through a sorted cell, so that costs time, not memory.
+MOST_SEGMENTS = 1 << 16
 SAMPLES_PER_SEGMENT = 24
 HASH_SPACE = 1 << 40
 
@@ -51,24 +54,30 @@ def _key(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def cut_points(df: DataFrame, order: Sequence[str], sized_by: DataFrame | None = None) -> list:
-    """Ascending cut points of the order key; none when the table fits in one segment.
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that a hash can take: all but those with maps or variants inside."""
+    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
 
-    Two small jobs: a count, then a sample of the key columns.  ``sized_by`` names a
-    cheaper table of about the same length to count, such as the source ``df`` is made from.
+
+def cut_points(df: DataFrame, order: Sequence[str]) -> list:
+    """Ascending, distinct cut points of the order key, at about equal numbers of rows.
+
+    Two small jobs: a count, then the sampled keys with their number of rows.
     """
-    keys = df.select(*order)
-    n = (keys if sized_by is None else sized_by).count()
-    segments = min(MAX_SEGMENTS, -(-n // rows_per_segment(df)))
-    if segments <= 1:
-        return []
+    n = df.count()
+    segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, -(-n // rows_per_segment(df))))
     wanted = segments * SAMPLES_PER_SEGMENT
-    position = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(HASH_SPACE))
-    sample = keys.filter(position < F.lit(int(HASH_SPACE * min(1.0, wanted / n))))
-    cuts = sample.agg(F.sort_array(F.collect_list(_key(order))).alias("sorted")).select(
-        F.filter("sorted", lambda _, i: i % SAMPLES_PER_SEGMENT == SAMPLES_PER_SEGMENT - 1)
-    )
-    return cuts.first()[0][: MAX_SEGMENTS - 1]
+    place = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(HASH_SPACE))
+    sample = df.filter(place < F.lit(int(HASH_SPACE * min(1.0, wanted / max(n, 1)))))
+    keys = sample.groupBy(_key(order).alias("key")).count().orderBy("key").collect()
+    step = sum(r["count"] for r in keys) / segments
+    cuts, seen, bound = [], 0, step
+    for r in keys:
+        if seen and seen >= bound:
+            cuts.append(r["key"])
+            bound = (seen // step + 1) * step
+        seen += r["count"]
+    return cuts
 
 
 def with_segment(df: DataFrame, order: Sequence[str], cuts: list | None = None) -> DataFrame:
@@ -116,7 +125,7 @@ def only_rows(df: DataFrame, *helpers: str) -> DataFrame:
 def earlier_cells(by: Sequence[str]) -> W:
     """Frame over the cells of a group that come before the present one.
 
-    It runs on the carry table, which has at most ``MAX_SEGMENTS`` rows per group.
+    It runs on the carry table, which has at most ``MOST_SEGMENTS`` rows per group.
     """
     return W.partitionBy(*(by or [F.lit(0)])).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
 
@@ -136,7 +145,6 @@ def ranked(
     name: str = "rank",
     total: str | None = None,
     counted: Column | None = None,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """1-based dense row number in ascending ``order``, per group or over the whole table.
 
@@ -145,11 +153,7 @@ def ranked(
     """
     by = list(by)
     tally = F.count_if(F.lit(True) if counted is None else counted)
-    cuts = cut_points(df, order, sized_by)
-    if not cuts:
-        out = df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
-        return out.withColumn(total, tally.over(W.partitionBy(*by))) if total else out
-    segmented = with_segment(df, order, cuts)
+    segmented = with_segment(df, order)
     group = W.partitionBy(*(by or [F.lit(0)]))
     carry = (
         segmented.groupBy(*by, SEGMENT)
@@ -172,11 +176,7 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``amount`` over all earlier rows of the group (0 for the first row)."""
     by = list(by)
-    cuts = cut_points(df, order)
-    if not cuts:
-        frame = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(amount).over(frame), F.lit(0)))
-    segmented = with_segment(df, order, cuts)
+    segmented = with_segment(df, order)
     carry = (
         segmented.groupBy(*by, SEGMENT)
         .agg(F.sum(amount).alias("_in_cell"))
@@ -195,10 +195,7 @@ def previous_value(
 ) -> DataFrame:
     """Value of the row just before, null for the first row of a group."""
     by = list(by)
-    cuts = cut_points(df, order)
-    if not cuts:
-        return df.withColumn(name, F.lag(value).over(W.partitionBy(*by).orderBy(*order)))
-    segmented = with_segment(df, order, cuts)
+    segmented = with_segment(df, order)
     carry = (
         segmented.groupBy(*by, SEGMENT)
         .agg(F.max_by(F.struct(value), _key(order)).alias("_tail"))
@@ -221,13 +218,10 @@ def order_statistics(
     aggregation buffer; this ranks the rows by range instead and keeps two of them.
     """
     by = list(by)
-    numbered = ranked(df.select(*by, value, *tie), [value, *tie], by, "_rank")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = ranked(df.select(*by, value, *tie), [value, *tie], by, "_rank", "_n")
     place = (F.col("_n") - 1) * F.lit(float(share))
     near = F.col("_rank") - 1
-    picked = attach_group(numbered, sizes, by).filter(
-        (near == F.floor(place)) | (near == F.ceil(place))
-    )
+    picked = numbered.filter((near == F.floor(place)) | (near == F.ceil(place)))
     low, high = F.min(value), F.max(value)
     fraction = F.max(place - F.floor(place))
     return picked.groupBy(*by).agg((low + (high - low) * fraction).alias(name))

@@ -47,8 +47,15 @@ def local_episode_count(local: DataFrame, by: Sequence[str] = (SHOW,)) -> DataFr
     return local.groupBy(*by).agg(F.count_if(F.col("episode") != 0).alias("local_count"))
 
 
-def aired_count(remote: DataFrame, as_of: str | Column, by: Sequence[str] = ("series_id",)) -> DataFrame:
-    return remote.groupBy(*by).agg(F.count_if(is_aired(F.col("airdate"), as_of)).alias("aired"))
+def aired_count(
+    remote: DataFrame, as_of: str | Column, by: Sequence[str] = ("series_id",), landed: DataFrame | None = None
+) -> DataFrame:
+    """Aired episodes per series.  ``landed`` names the series whose catalog was fetched: those without a row have 0."""
+    by = list(by)
+    rows = remote.select(*by, is_aired(F.col("airdate"), as_of).alias("_aired"))
+    if landed is not None:
+        rows = rows.unionByName(landed.select(*by, F.lit(False).alias("_aired")))
+    return rows.groupBy(*by).agg(F.count_if("_aired").alias("aired"))
 
 
 def match_scores(
@@ -111,6 +118,7 @@ def pick_candidate(hits: DataFrame, aired: DataFrame, local_counts: DataFrame, s
 
     ``hits``: show, rank, id, title, status; ``aired``: series_id, aired; ``local_counts``: show, local_count.
     A show without parsed local episodes takes its first hit, as does one whose counts are all unknown.
+    A series that landed without episodes counts 0; only one that never landed is unknown.
     The five-row limit per show is pushed below the shuffle as a group limit.
     """
     live = hits.filter(F.coalesce("status", F.lit("")) != "In Development")
@@ -134,10 +142,8 @@ def season_sets(local: DataFrame, parsed_only: bool = False) -> DataFrame:
 
 
 def repeated(label: Column, copies: Column) -> Column:
-    """A label once per copy; beyond a hundred copies once with its count."""
-    return F.when(copies <= 100, F.array_repeat(label, copies.cast("int"))).otherwise(
-        F.array(F.concat(label, F.lit(" ×"), copies.cast("string")))
-    )
+    """A label once per copy, however many there are."""
+    return F.array_repeat(label, copies.cast("int"))
 
 
 def missing_by_season(missing: DataFrame, local: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from sparkaudit.functions.numeric import draw_integer, draw_unit
 from sparkaudit.operators.ordering import ranked
 from sparkaudit.sources.lattices import synthetic_token
 
-TOP_LIMIT = 100_000
-
 
 def draw_from_pool(df: DataFrame, seed: int, key: Sequence[str], pool: DataFrame, name: str = "token") -> DataFrame:
     """Add one pool token per row, drawn with replacement: an equi-join on the drawn index."""
@@ -22,15 +20,6 @@ def draw_from_pool(df: DataFrame, seed: int, key: Sequence[str], pool: DataFrame
     return drawn.join(pool.withColumnRenamed("token", name), "pool_index").drop("pool_index")
 
 
-def lattice_frame(spark: SparkSession, count: int, rows: int, cols: int) -> DataFrame:
-    cells = spark.range(count * rows * cols)
-    return cells.select(
-        F.floor(F.col("id") / (rows * cols)).alias("lattice_id"),
-        F.floor(F.col("id") % (rows * cols) / cols).cast("int").alias("r"),
-        (F.col("id") % cols).cast("int").alias("c"),
-    )
-
-
 def generate_lattices(
     spark: SparkSession,
     count: int,
@@ -41,7 +30,17 @@ def generate_lattices(
     pool_size: int = 2048,
 ) -> DataFrame:
     """Lattices of drawn tokens; without a pool the synthetic tokens are computed, not joined."""
-    frame = lattice_frame(spark, count, rows, cols)
+    frame = spark.range(count).withColumnRenamed("id", "lattice_id")
+    return generate_for(frame, rows, cols, seed, pool, pool_size)
+
+
+def generate_for(
+    lattices: DataFrame, rows: int = 16, cols: int = 16, seed: int = 0, pool: DataFrame | None = None, pool_size: int = 2048
+) -> DataFrame:
+    """The same for the lattices of a table with ``lattice_id``."""
+    place = F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1)))
+    cells = lattices.select("lattice_id", place.alias("_i"))
+    frame = cells.select("lattice_id", F.floor(F.col("_i") / cols).cast("int").alias("r"), (F.col("_i") % cols).alias("c"))
     if pool is not None:
         return draw_from_pool(frame, seed, ["lattice_id", "r", "c"], pool)
     index = draw_integer(seed, F.col("lattice_id"), F.col("r"), F.col("c")) % pool_size
@@ -73,8 +72,6 @@ def mutate_cells(
 def sample_n(df: DataFrame, key: Sequence[str], seed: int, n: int) -> DataFrame:
     """``n`` rows without replacement, all of them when there are fewer."""
     keyed = df.withColumn("_draw", draw_integer(seed, *[F.col(k) for k in key]))
-    if n <= TOP_LIMIT:
-        return keyed.orderBy("_draw", *key).limit(n).drop("_draw")
     return ranked(keyed, ["_draw", *key], name="_rank").filter(F.col("_rank") <= n).drop("_draw", "_rank")
 
 

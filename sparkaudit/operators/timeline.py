@@ -149,7 +149,7 @@ def alignment_keyframes(
     heard = F.when((group == 0) | (e - s < SHORTEST), 0).otherwise(group)
     base = rows.select(*by, F.col(pos).alias("pos"), s.alias("_s"), e.alias("_e"), heard.alias("_group"),
                        *(["last_end"] if "last_end" in rows.columns else []))
-    seen = O.previous_value(base, "_group", ["pos"], by, "_before")
+    seen = O.previous_value(base.filter(F.col("pos").isNotNull()), "_group", ["pos"], by, "_before")
     before, g = F.coalesce("_before", F.lit(-1)), F.col("_group")
     rest = F.when((g == 0) & (before != 0), _frame(F.col("_s"), 0, 0.0))
     onset = F.when((g != 0) & (before != g), _frame(F.col("_s"), g, 0.0))
@@ -161,7 +161,7 @@ def alignment_keyframes(
     frames = F.filter(F.array(rest, onset, *spoken), lambda x: x.isNotNull())
     body = seen.select(*by, "pos", F.posexplode(frames).alias("step", "_k"))
     last = F.max("last_end") if "last_end" in base.columns else F.max_by("_e", "pos")
-    closing = base.groupBy(*by).agg((F.max("pos") + 1).alias("pos"), last.alias("_e")).select(
+    closing = base.groupBy(*by).agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("pos"), last.alias("_e")).select(
         *by, "pos", F.lit(0).alias("step"), _frame(F.col("_e") + FINAL_REST, 0, 0.0).alias("_k")
     )
     return body.unionByName(closing).select(
@@ -169,6 +169,14 @@ def alignment_keyframes(
     )
 
 
+def playable(frames: DataFrame, emotion: str = "neutral") -> DataFrame:
+    """Built keyframes with every field that :func:`interpolate_at` reads: a tie-break, a plain emotion, a still head."""
+    seq = F.col("seq") if "seq" in frames.columns else F.col("pos").cast("bigint") * 8 + F.col("step")
+    still = {c: F.lit(0.0) for c in ("emotion_blend", "head_yaw", "head_pitch", "head_roll")}
+    fields = {"seq": seq.cast("bigint"), "emotion_a": F.lit(emotion), "emotion_b": F.lit(emotion), **still}
+    return frames.withColumns({name: value for name, value in fields.items() if name == "seq" or name not in frames.columns})
+
+
 def symbol_schedule(texts: DataFrame, by: Sequence[str], text: str = "text", start_offset: float = 0.3) -> DataFrame:
     """Paced keyframes of a text: four per symbol, a gap per word, a closing rest.
 

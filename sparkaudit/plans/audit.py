@@ -34,7 +34,7 @@ def audit_probes(
     else:
         files = files.withColumn("vmaf_mean", F.lit(None).cast("double")).withColumn("vmaf_reference", F.lit(""))
     rankable = F.when(~F.col("corrupt"), F.col("norm_efficiency"))
-    ranked = A.percentile_grade(files.withColumn("_rankable", rankable), "_rankable", sized_by=probes)
+    ranked = A.percentile_grade(files.withColumn("_rankable", rankable), "_rankable")
     return ranked.drop("_rankable")
 
 

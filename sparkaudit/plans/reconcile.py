@@ -55,13 +55,16 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def reconcile_one(
-    local: DataFrame, hits: DataFrame, episodes: DataFrame, as_of: str, source: str = CATALOG_A
+    local: DataFrame, hits: DataFrame, episodes: DataFrame, as_of: str, source: str = CATALOG_A,
+    landed: DataFrame | None = None,
 ) -> Reconciled:
-    """One catalog.  ``hits`` and ``episodes`` are what the sources of that catalog return."""
+    """One catalog.  ``hits`` and ``episodes`` are what the sources of that catalog return, ``landed`` its fetched series."""
     local, episodes = _keep(local), _keep(episodes)
     shows = local.groupBy(SHOW).agg(F.count(F.lit(1)).alias("local_episodes"))
     if source == CATALOG_A:
-        candidates = R.pick_candidate(hits, R.aired_count(episodes, as_of), R.local_episode_count(local))
+        candidates = R.pick_candidate(
+            hits, R.aired_count(episodes, as_of, landed=landed), R.local_episode_count(local)
+        )
     else:
         candidates = hits.filter(F.col("rank") == 1)
     remote = _keep(_remote_of(candidates, episodes))
@@ -97,11 +100,13 @@ def reconcile_both(
     hits_b: DataFrame,
     episodes_b: DataFrame,
     as_of: str,
+    landed_a: DataFrame | None = None,
 ) -> Reconciled:
     """Both catalogs, the better match per show; a tie goes to catalog B when it lists episodes."""
     local, episodes_a, episodes_b = _keep(local), _keep(episodes_a), _keep(episodes_b)
     shows = local.groupBy(SHOW).agg(F.count(F.lit(1)).alias("local_episodes"))
-    first_a = _keep(R.pick_candidate(hits_a, R.aired_count(episodes_a, as_of), R.local_episode_count(local)))
+    aired = R.aired_count(episodes_a, as_of, landed=landed_a)
+    first_a = _keep(R.pick_candidate(hits_a, aired, R.local_episode_count(local)))
     first_b = hits_b.filter(F.col("rank") == 1)
     remote_a, remote_b = _keep(_remote_of(first_a, episodes_a)), _keep(_remote_of(first_b, episodes_b))
     chosen = R.choose_catalog(

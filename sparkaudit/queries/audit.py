@@ -26,7 +26,7 @@ def scored_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graded_parts(spark: SparkSession, d: str) -> DataFrame:
-    return A.percentile_grade(scored_parts(spark, d), tie=["p_partkey"], sized_by=table(spark, d, "part"))
+    return A.percentile_grade(scored_parts(spark, d), tie=["p_partkey"])
 
 
 SCORED_SQL = """

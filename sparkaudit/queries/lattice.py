@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.functions.numeric import draw_integer
 from sparkaudit.operators import lattice as L
 from sparkaudit.operators import sampling as P
 from sparkaudit.operators.ordering import spread
 from sparkaudit.plans.lattice import WEIGHTS, analyse, with_seed
 from sparkaudit.queries import table
-from sparkaudit.sources.lattices import lattice_cells, synthetic_token, text_lattices, token_pool, tokens_of, words_of
+from sparkaudit.sources.lattices import lattice_cells, text_lattices, token_pool, tokens_of, words_of
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -117,12 +116,14 @@ def fingerprints(spark, d):
 
 
 def tree_fingerprints(spark, d):
-    return L.tree_fingerprint(doc_cells(spark, d, 5), levels=1, fan_in=1 << 20)
+    return L.tree_fingerprint(doc_cells(spark, d, 5), levels=3, fan_in=32)
 
 
 TREE_SQL = f"""{FIVE_CELLS},
-  line AS (SELECT lattice_id, r, sha256(string_agg(token, ' ' ORDER BY c)) AS h FROM cell GROUP BY ALL)
-  SELECT lattice_id, sha256(string_agg(h, '' ORDER BY r)) AS fingerprint FROM line GROUP BY lattice_id"""
+  n0 AS (SELECT lattice_id, r AS i, sha256(string_agg(token, ' ' ORDER BY c)) AS h FROM cell GROUP BY ALL),
+  n1 AS (SELECT lattice_id, i // 32 AS j, sha256(string_agg(h, '' ORDER BY i)) AS h FROM n0 GROUP BY ALL),
+  n2 AS (SELECT lattice_id, j // 32 AS k, sha256(string_agg(h, '' ORDER BY j)) AS h FROM n1 GROUP BY ALL)
+  SELECT lattice_id, sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM n2 GROUP BY ALL"""
 
 
 def pool(spark, d):
@@ -136,7 +137,7 @@ def words(spark, d):
 
 def _draw_sql(seed: int, *key: str) -> str:
     parts = ", ".join(f"({k})::VARCHAR" for k in key)
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {parts})), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {parts})), 1, 15))::BIGINT"
 
 
 def sample(spark, d):
@@ -149,15 +150,14 @@ def weighted(spark, d):
 
 def generated(spark, d):
     """One synthetic 16-token row per order."""
-    orders = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("c"))
-    index = draw_integer(3, F.col("o_orderkey"), F.col("c")) % 2048
-    return orders.withColumn("token", synthetic_token(index))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("lattice_id"))
+    return P.generate_for(orders, 1, 16, seed=3).select(F.col("lattice_id").alias("o_orderkey"), "c", "token")
 
 
 GENERATED_SQL = f"""
   SELECT o_orderkey, c::INT AS c, chr((97 + i // 456976 % 26)::INT) || chr((97 + i // 17576 % 26)::INT) || chr((97 + i // 676 % 26)::INT)
          || chr((97 + i // 26 % 26)::INT) || chr((97 + i % 26)::INT) AS token
-  FROM (SELECT o_orderkey, c, {_draw_sql(3, 'o_orderkey', 'c')} % 2048 AS i
+  FROM (SELECT o_orderkey, c, {_draw_sql(3, 'o_orderkey', '0', 'c')} % 2048 AS i
         FROM orders, range(0, 16) t(c))
 """
 
@@ -220,7 +220,7 @@ QUERIES = {
     "q_weighted": (weighted, f"""
       SELECT o_orderkey, CASE WHEN u < 0.35 THEN 'annotate' WHEN u < 0.65 THEN 'patch' WHEN u < 0.85 THEN 'refactor'
                               ELSE 'rebalance' END AS label
-      FROM (SELECT o_orderkey, {_draw_sql(5, 'o_orderkey')} / 4294967296.0::DOUBLE AS u FROM orders)"""),
+      FROM (SELECT o_orderkey, {_draw_sql(5, 'o_orderkey')} / 1152921504606846976.0::DOUBLE AS u FROM orders)"""),
     "q_generated": (generated, GENERATED_SQL),
     "q_mutate": (mutated, MUTATED_SQL),
     "q_targets": (targets, """

@@ -433,10 +433,9 @@ def order_local(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pick_candidate(spark, d):
-    episodes = S.read_catalog_flat(flat_payloads(spark, d))
-    return R.pick_candidate(
-        search_flat(spark, d), R.aired_count(episodes, AS_OF), R.local_episode_count(order_local(spark, d))
-    )
+    payloads = flat_payloads(spark, d)
+    aired = R.aired_count(S.read_catalog_flat(payloads), AS_OF, landed=S.landed_catalogs(payloads))
+    return R.pick_candidate(search_flat(spark, d), aired, R.local_episode_count(order_local(spark, d)))
 
 
 BOTH_WITH_SQL = f"""WITH
@@ -445,7 +444,8 @@ BOTH_WITH_SQL = f"""WITH
                    '/tv/order ' || l_orderkey || '/S' || l_linenumber || '/' || l_partkey || '.mkv' AS path
             FROM lineitem WHERE l_returnflag <> 'R'),
   flat AS ({FLAT_SQL}), paged AS ({PAGED_SQL}), hits_a AS ({SEARCH_FLAT_SQL}), hits_b AS ({SEARCH_PAGED_SQL}),
-  aired AS (SELECT series_id, count(*) FILTER (WHERE {AIRED_SQL}) AS aired FROM flat GROUP BY 1),
+  aired AS (SELECT series_id, count(*) FILTER (WHERE {AIRED_SQL}) AS aired
+            FROM (SELECT DISTINCT l_partkey AS series_id FROM lineitem) LEFT JOIN flat USING (series_id) GROUP BY 1),
   counts AS (SELECT show_name, count(*) FILTER (WHERE episode <> 0) AS local_count FROM local GROUP BY 1),
   placed AS (SELECT *, row_number() OVER (PARTITION BY show_name ORDER BY rank) AS place
              FROM hits_a WHERE coalesce(status, '') <> 'In Development'),
@@ -503,7 +503,7 @@ def both_result(spark: SparkSession, d: str) -> Reconciled:
         order_local(spark, d),
         search_flat(spark, d), S.read_catalog_flat(flat_payloads(spark, d)),
         search_paged(spark, d), S.read_catalog_paged(paged_payloads(spark, d)),
-        AS_OF,
+        AS_OF, S.landed_catalogs(flat_payloads(spark, d)),
     )
 
 
@@ -522,7 +522,10 @@ def reconcile_csv(spark, d):
 def reconcile_single(spark, d):
     """Each catalog alone, with its own two error rows."""
     local = order_local(spark, d)
-    a = reconcile_one(local, search_flat(spark, d), S.read_catalog_flat(flat_payloads(spark, d)), AS_OF, "tvmaze")
+    flat = flat_payloads(spark, d)
+    a = reconcile_one(
+        local, search_flat(spark, d), S.read_catalog_flat(flat), AS_OF, "tvmaze", S.landed_catalogs(flat)
+    )
     b = reconcile_one(local, search_paged(spark, d), S.read_catalog_paged(paged_payloads(spark, d)), AS_OF, "thetvdb")
     return a.reports.unionByName(b.reports)
 

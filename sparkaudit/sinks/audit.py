@@ -16,6 +16,12 @@ TEXT_COLUMNS = [
 ]
 
 
+#: Plain CSV: quotes doubled, blanks at the ends of a field kept.
+CSV = {
+    "header": True, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+# The columns of the CSV report.
 AUDIT_COLUMNS = [
     "path", "filename", "size_bytes", "size_mb", "codec", "codec_factor", "width", "height", "resolution",
     "duration_s", "duration_hms", "fps", "bitrate_bps", "bitrate_fmt", "raw_efficiency", "norm_efficiency",
@@ -65,7 +71,7 @@ def _ordered(sort_by: str, desc: bool) -> list[Column]:
 
 def write_audit_csv(df: DataFrame, path: str, sort_by: str = "efficiency", desc: bool = False) -> None:
     ordered = df.orderBy(*_ordered(sort_by, desc))
-    audit_rows(ordered).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    audit_rows(ordered).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def audit_text_lines(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkaudit.sinks.audit import CSV
 from sparkaudit.functions.episodes import season_ep_label
 from sparkaudit.functions.text import two_digits
 from sparkaudit.operators import reconcile as R
@@ -30,7 +31,7 @@ def reconcile_csv_rows(reports: DataFrame) -> DataFrame:
 
 def write_reconcile_csv(reports: DataFrame, path: str) -> None:
     rows = reconcile_csv_rows(reports)
-    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def reconcile_json_rows(result: Reconciled, per_part: int = ENTRIES_PER_PART) -> DataFrame:

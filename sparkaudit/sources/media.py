@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.functions import media as M
@@ -23,19 +23,17 @@ def media_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(M.is_media_name(M.file_name(F.col(path))))
 
 
-def scan_media_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """List video files as (path, size_bytes); file contents are never read.
+def scan_media_files(manifest: DataFrame, directory: str, recursive: bool = True) -> DataFrame:
+    """Video files of a directory as (path, size_bytes), from a landed manifest of all files.
 
-    The file source hides names that start with ``.`` or ``_``; use
-    :func:`media_files` over a landed manifest where such files count.
+    A manifest rather than a listing by Spark's file sources: those hide empty files and names
+    that start with ``_`` or ``.``, and an audit must see them.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(directory)
-        .select("path", F.col("length").alias("size_bytes"))
-    )
-    return media_files(listing)
+    root = directory.rstrip("/") + "/"
+    inside = F.col("path").startswith(root)
+    if not recursive:
+        inside = inside & (F.locate("/", F.col("path"), len(root) + 1) == 0)
+    return media_files(manifest.filter(inside).select("path", "size_bytes"))
 
 
 def read_probe_payloads(

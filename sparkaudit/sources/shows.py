@@ -69,6 +69,11 @@ def read_catalog_flat(payloads: DataFrame, by: str = "series_id", payload: str =
     )
 
 
+def landed_catalogs(payloads: DataFrame, by: str = "series_id", payload: str = "payload") -> DataFrame:
+    """The series whose one-document catalog landed as a list, an empty one or one of specials too."""
+    return payloads.filter(F.from_json(F.col(payload), "array<string>").isNotNull()).select(F.col(by).alias("series_id")).distinct()
+
+
 def read_catalog_paged(
     pages: DataFrame, by: str = "series_id", page: str = "page", payload: str = "payload"
 ) -> DataFrame:

@@ -12,16 +12,19 @@ ALIGNMENT = (
 
 
 def read_alignments(df: DataFrame, by: str = "id", payload: str = "payload") -> DataFrame:
-    """Alignment JSON to (by, pos, symbol, start, end, last_end); pairs stop at the shortest array."""
+    """Alignment JSON to (by, pos, symbol, start, end, last_end); pairs stop at the shortest array.
+
+    An alignment with ends but no pairs is one row without a position: it still closes with a rest.
+    """
     parsed = df.select(by, F.inline(F.array(F.struct(F.from_json(F.col(payload), ALIGNMENT)["alignment"].alias("a")))))
     chars, starts, ends = F.col("a.characters"), F.col("a.character_start_times_seconds"), F.col("a.character_end_times_seconds")
     shortest = F.least(F.size(chars), F.size(starts), F.size(ends))
     zipped = F.arrays_zip(chars.alias("symbol"), starts.alias("start"), ends.alias("end"))
     rows = parsed.select(
         by, F.try_element_at(ends, F.lit(-1)).alias("last_end"),
-        F.posexplode(F.slice(zipped, F.lit(1), F.greatest(shortest, F.lit(0)))).alias("pos", "z"),
+        F.posexplode_outer(F.slice(zipped, F.lit(1), F.greatest(shortest, F.lit(0)))).alias("pos", "z"),
     )
-    return rows.select(
+    return rows.filter(F.col("pos").isNotNull() | F.col("last_end").isNotNull()).select(
         by, "pos", F.col("z").getField("symbol").alias("symbol"), F.col("z").getField("start").alias("start"),
         F.col("z").getField("end").alias("end"), "last_end",
     )

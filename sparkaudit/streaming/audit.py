@@ -18,11 +18,14 @@ def judged_stream(payloads: DataFrame) -> DataFrame:
 def start_audit(payloads: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write each batch of verdicts under its own directory of ``store``.
 
-    A batch that is run again replaces its own directory, so every payload is stored once.
+    A batch that is run again replaces its own directory, so every payload is stored once.  The
+    directory also names the stream, whose batches count anew with a new checkpoint.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        stamped = batch.withColumn("_stored", F.current_timestamp())
+        stamped.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={batch_id}")
 
     writer = judged_stream(payloads).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -31,8 +34,8 @@ def start_audit(payloads: DataFrame, store: str, checkpoint: str, **trigger) ->
 def stored_files(spark: SparkSession, store: str) -> DataFrame:
     """Latest verdict per path."""
     stored = spark.read.option("basePath", store).parquet(store)
-    fields = [c for c in stored.columns if c not in ("path", "batch")]
-    latest = F.max_by(F.struct(*fields), F.struct(F.col("batch").cast("bigint"), *[F.col(c) for c in fields]))
+    fields = [c for c in stored.columns if c not in ("path", "batch", "stream", "_stored")]
+    latest = F.max_by(F.struct(*fields), F.struct("_stored", F.col("batch").cast("bigint"), *[F.col(c) for c in fields]))
     return stored.groupBy("path").agg(latest.alias("_f")).select("path", "_f.*")
 
 

@@ -105,10 +105,23 @@ def test_reports_on_disk(spark, scratch):
     assert sum(line.startswith("  [CORRUPT] ") for line in lines) == 6
 
 
-def test_file_listing_reads_no_content(spark, scratch):
-    for name in ("a.mkv", "b.TXT", "c.MP4"):
-        open(f"{scratch}/{name}", "w").write("1234")
-    listed = scan_media_files(spark, scratch)
-    assert sorted((r["path"][-5:], r["size_bytes"]) for r in listed.collect()) == [("a.mkv", 4), ("c.MP4", 4)]
-    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
-    assert A.filter_report(listed, "path", "C.mp4").count() == 1
+def test_file_listing_is_complete(spark):
+    names = ["a.mkv", "b.TXT", "c.MP4", "._a.mkv", "_b.mkv", ".c.mkv", "zero.mkv", "deep/d.mkv"]
+    rows = [(f"/m/{n}", 0 if "zero" in n else 4) for n in names] + [("/mm/x.mkv", 4)]
+    manifest = spark.createDataFrame(rows, "path string, size_bytes bigint")
+    listed = {r["path"][3:]: r["size_bytes"] for r in scan_media_files(manifest, "/m").collect()}
+    assert listed == {"a.mkv": 4, "c.MP4": 4, "_b.mkv": 4, ".c.mkv": 4, "zero.mkv": 0, "deep/d.mkv": 4}
+    assert scan_media_files(manifest, "/m/", recursive=False).count() == 5
+    assert A.filter_report(scan_media_files(manifest, "/m"), "path", "C.mp4").count() == 1
+
+
+def test_csv_keeps_blanks_and_quotes(spark, scratch):
+    from sparkaudit.sinks.audit import CSV
+
+    text = '  Lead "Q", show '
+    spark.createDataFrame([(text, "")], "a string, b string").coalesce(1).write.options(**CSV).csv(f"{scratch}/q")
+    import csv
+    import glob
+
+    lines = list(csv.reader(open(glob.glob(f"{scratch}/q/part-*.csv")[0], newline="")))
+    assert lines == [["a", "b"], [text, ""]]

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sparkaudit.functions.numeric import draw_integer
 from sparkaudit.operators import lattice as L
 from sparkaudit.operators import sampling as P
 from sparkaudit.plans.lattice import analyse, run_manifest, with_seed
@@ -96,6 +97,27 @@ def test_delta_diagonal_set(spark):
         L.validated_set(df, spark.createDataFrame([(0, 2, 1, "zz")], df.schema)).collect()
 
 
+def test_set_last_update_and_outside(spark):
+    df, _ = matrix(spark)
+    updates = spark.createDataFrame([(0, 2, 1, "aaaaa", 2), (0, 2, 1, "zzzzz", 1)], "lattice_id int, r int, c int, token string, at int")
+    out = L.validated_set(df, updates, order="at")
+    assert out.count() == df.count() and out.filter("r = 2 and c = 1").first()["token"] == "aaaaa"
+    with pytest.raises(Exception, match="outside"):
+        L.validated_set(df, updates.withColumn("r", F.lit(999))).collect()
+
+
+def test_digests_beside_null_keys(spark):
+    rows = [(9007199254740993, 0, "a"), (9007199254740992, 0, "b"), (None, 0, "c"), (None, 1, "d")]
+    cells = spark.createDataFrame([(k, r, 0, t) for k, r, t in rows], "lattice_id bigint, r int, c int, token string")
+    got = {r["lattice_id"] for r in L.fingerprint(cells).collect()}
+    assert got == {9007199254740993, 9007199254740992, None} and L.fingerprint(cells).count() == 3
+
+
+def test_tree_grows_to_one_node(spark):
+    cells = spark.range(2500).selectExpr("1 as lattice_id", "int(id) as r", "0 as c", "'abcde' as token")
+    assert L.tree_fingerprint(cells, fan_in=10, levels=1).count() == 1
+
+
 def test_pools_and_draws(spark):
     pool = S.synthetic_pool(spark, 30)
     assert [r["token"] for r in pool.orderBy("pool_index").limit(2).collect()] == ["aaaaa", "aaaab"]
@@ -110,12 +132,12 @@ def test_pools_and_draws(spark):
     assert P.generate_lattices(spark, 2, seed=9).count() == 512
 
 
-def test_samples_and_weights(spark, many_segments, monkeypatch):
+def test_samples_and_weights(spark, many_segments):
     df = spark.range(3000)
     top = P.sample_n(df, ["id"], 5, 40)
     assert top.count() == 40 and P.sample_n(df, ["id"], 5, 9999).count() == 3000
-    monkeypatch.setattr(P, "TOP_LIMIT", 10)
-    assert sorted(r[0] for r in P.sample_n(df, ["id"], 5, 40).collect()) == sorted(r[0] for r in top.collect())
+    drawn = df.withColumn("d", draw_integer(5, F.col("id"))).orderBy("d", "id").limit(40)
+    assert sorted(r["id"] for r in drawn.collect()) == sorted(r[0] for r in top.collect())
     assert 1 <= P.sample_between(df, ["id"], 5, 1, 6).count() <= 6
     share = {r["label"]: r["count"] / 3000 for r in P.weighted_assign(df, ["id"], {"a": 3, "b": 1}, 2).groupBy("label").count().collect()}
     assert abs(share["a"] - 0.75) < 0.04

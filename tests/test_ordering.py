@@ -45,6 +45,35 @@ def test_exact_percentile(spark, skewed, many_segments):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 200_000])
+def test_shared_order_keys(spark, rows):
+    """Five positions in each of many groups: few distinct keys, yet bounded cuts and right windows."""
+    df = spark.range(rows).selectExpr("id div 5 as g", "id % 5 as pos", "id * 7 % 11 as v")
+    cuts = O.cut_points(df, ["pos"])
+    assert len(cuts) <= O.LEAST_SEGMENTS and cuts == sorted(set(cuts))
+    got = O.previous_value(df, "v", ["pos"], ["g"], "p")
+    want = df.withColumn("p", F.lag("v").over(W.partitionBy("g").orderBy("pos")))
+    assert got.exceptAll(want).count() == 0 and got.count() == rows
+
+
+def test_one_row_repeated(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, -1, id) as v", "1 as g")
+    cuts = O.cut_points(df, ["v"])
+    cells = O.with_segment(df, ["v"], cuts).groupBy(O.SEGMENT).count().orderBy(O.SEGMENT).collect()
+    assert len(cells) >= 3 and max(r["count"] for r in cells[1:]) <= 2 * 30_000 / O.LEAST_SEGMENTS
+
+
+def test_common_probe_grid(spark, many_segments):
+    from sparkaudit.operators.timeline import asof_bracket
+
+    frames = spark.range(2000).selectExpr("id % 200 as g", "double(id div 200) * 7 % 10 as t", "id as seq")
+    probes = spark.range(200).selectExpr("id as g", "explode(sequence(0, 9)) as now")
+    got = asof_bracket(probes, frames, ["g"]).select("g", "now", "prev.seq")
+    before = probes.join(frames, "g").filter("t <= now").groupBy("g", "now").agg(F.max_by("seq", F.struct("t", "seq")).alias("seq"))
+    want = probes.join(before, ["g", "now"], "left").select("g", "now", "seq")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_large_tables_never_meet_in_one_task(spark, skewed, many_segments):
     plan = O.ranked(skewed, ["v", "id"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]

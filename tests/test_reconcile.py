@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import json
 
 from sparkaudit.operators import reconcile as R
@@ -140,3 +141,22 @@ def test_missing_by_season_blocks(spark):
     files = spark.createDataFrame([("s", 1, e, f"p{e % 8}") for e in range(1, 17)], LOCAL)
     row = R.season_file_list(files).first()
     assert (row["episodes"], row["distinct_paths"], len(row["paths"]), row["more"]) == (16, 8, 6, 2)
+
+
+def test_empty_catalog_counts_zero(spark):
+    payloads = spark.createDataFrame(
+        [(1, "[" + ",".join('{"season":1,"number":%d,"name":"n","airdate":"2000-01-01"}' % (i + 1) for i in range(100)) + "]"),
+         (2, "[]"), (3, None), (4, "{bad")], "series_id bigint, payload string")
+    from sparkaudit.sources import shows as S
+
+    aired = R.aired_count(S.read_catalog_flat(payloads), "2020-01-01", landed=S.landed_catalogs(payloads))
+    assert {r["series_id"]: r["aired"] for r in aired.collect()} == {1: 100, 2: 0}
+    hits = spark.createDataFrame([("s", 1, 1, "one", "Running"), ("s", 2, 2, "two", "Running"), ("s", 3, 3, "three", "Running")],
+                                 "show_name string, rank bigint, id bigint, title string, status string")
+    counts = spark.createDataFrame([("s", 10)], "show_name string, local_count bigint")
+    assert R.pick_candidate(hits, aired, counts).first()["id"] == 2
+
+
+def test_labels_are_not_capped(spark):
+    row = spark.range(1).select(R.repeated(F.lit("x"), F.lit(101)).alias("r")).first()
+    assert row["r"] == ["x"] * 101

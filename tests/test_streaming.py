@@ -80,10 +80,14 @@ def test_audit_store_equals_batch(spark, scratch):
     start_audit(source(), f"{scratch}/store", f"{scratch}/ck").awaitTermination()
     land(spark, second, schema, f"{scratch}/in")
     start_audit(source(), f"{scratch}/store", f"{scratch}/ck").awaitTermination()
-    assert sorted(os.listdir(f"{scratch}/store"))[-2:] == ["batch=0", "batch=1"]
+    streams = os.listdir(f"{scratch}/store")
+    assert len(streams) == 1 and sorted(os.listdir(f"{scratch}/store/{streams[0]}"))[-2:] == ["batch=0", "batch=1"]
     now = spark.createDataFrame(second + first[1:], schema)
     want = A.percentile_grade(A.with_verdict(read_probe_payloads(now)).filter("not corrupt"))
     assert stored_files(spark, f"{scratch}/store").count() == 8
+    # A new checkpoint counts its batches anew, beside those already stored.
+    start_audit(source(), f"{scratch}/store", f"{scratch}/other").awaitTermination()
+    assert len(os.listdir(f"{scratch}/store")) == 2 and stored_files(spark, f"{scratch}/store").count() == 8
     pick = ["path", "percentile", "grade"]
     assert sorted(map(str, graded_store(spark, f"{scratch}/store").select(*pick).collect())) == sorted(
         map(str, want.select(*pick).collect()))

@@ -133,3 +133,17 @@ def test_transcripts_and_sessions(spark, many_segments):
     stamps = spark.range(90).select(F.lit("u").alias("u"), "id", F.timestamp_seconds(F.col("id") * 10 + F.floor(F.col("id") / 30) * 100).alias("ts"))
     rows = gap_sessions(stamps, ["u"], "ts", ["id"], 60.0, [F.count(F.lit(1)).alias("n")]).orderBy("session").collect()
     assert [r["n"] for r in rows] == [30, 30, 30]
+
+
+def test_playable_and_silent_alignments(spark):
+    from sparkaudit.operators.timeline import alignment_keyframes, interpolate_at, playable
+    from sparkaudit.sources.timelines import read_alignments
+
+    made = '{"alignment":{"characters":["a","b"],"character_start_times_seconds":[0.0,0.5],"character_end_times_seconds":[0.5,1.0]}}'
+    none = '{"alignment":{"characters":[],"character_start_times_seconds":[],"character_end_times_seconds":[2.0]}}'
+    rows = read_alignments(spark.createDataFrame([(1, made), (2, none), (3, None)], "id int, payload string"))
+    frames = playable(alignment_keyframes(rows, ["id"]))
+    assert [(r["t"], r["viseme_weight"]) for r in frames.filter("id = 2").collect()] == [(2.3, 0.0)]
+    probes = spark.createDataFrame([(1, 0.25), (2, 1.0), (2, 3.0)], "id int, now double")
+    state = {(r["id"], r["now"]): r for r in interpolate_at(probes, frames, ["id"]).collect()}
+    assert state[1, 0.25]["viseme_weight"] == 1.0 and state[2, 3.0]["emotion_a"] == "neutral" and state[2, 1.0]["head_yaw"] == 0.0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions import numeric as N
 from sparkaudit.functions.digests import sorted_digests
+from sparkaudit.operators.ordering import attach_group
 
 BANDS = 8
 DIGEST_FAN_IN = 1024
@@ -43,7 +44,7 @@ def spectral_bands(rows: DataFrame, by: str = "lattice_id", bands: int = BANDS)
     """Mean row entropy per band of max(1, rows // bands) rows; later rows are left out, an empty band is 0."""
     sizes = rows.groupBy(by).agg((F.max("r") + 1).alias("_rows"))
     size = F.greatest(F.lit(1), F.floor(F.col("_rows") / bands))
-    placed = rows.join(sizes, by).withColumn("band", F.floor(F.col("r") / size).cast("int"))
+    placed = attach_group(rows, sizes, [by]).withColumn("band", F.floor(F.col("r") / size).cast("int"))
     means = placed.filter(F.col("band") < bands).groupBy(by, "band").agg(F.avg("entropy").alias("_mean"))
     every = sizes.select(by, F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
     return every.join(means, [by, "band"], "left").select(

@@ -30,6 +30,7 @@ LEAST_SEGMENTS = 4
 MOST_SEGMENTS = 1 << 16
 SAMPLES_PER_SEGMENT = 24
 HASH_SPACE = 1 << 40
+SALTS = 16
 
 SEGMENT = "_segment"
 IS_ROW = "_is_row"
@@ -228,8 +229,15 @@ def order_statistics(
 
 
 def attach_group(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join one row per group to the rows of the group; a single row is one scalar subquery."""
+    """Join one row per group to the rows of the group; a single row is one scalar subquery.
+
+    The group's row is repeated for each of ``SALTS`` salts and the rows of a group are dealt over
+    them, so a hot group meets its row in many tasks, and a later grouping on a finer key sums
+    up in each of them before it shuffles.
+    """
     if by:
-        return df.join(per_group, list(by), "left")
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(SALTS))
+        every = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        return df.withColumn("_salt", salt).join(every, [*by, "_salt"], "left").drop("_salt")
     whole = per_group.select(F.struct(*per_group.columns)).scalar()
     return df.withColumn("_whole", whole).select(*df.columns, "_whole.*")

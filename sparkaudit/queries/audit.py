@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkaudit.functions import media as M
 from sparkaudit.functions import text as X
 from sparkaudit.operators import audit as A
-from sparkaudit.operators.ordering import spread
+from sparkaudit.operators.ordering import ranked, spread
 from sparkaudit.plans.audit import audit_probes
 from sparkaudit.queries import table
 from sparkaudit.sinks.audit import audit_rows, audit_text_lines
@@ -458,8 +458,10 @@ def _sort_top_sql() -> str:
 
 
 def path_top(spark, d):
-    """First 100 pages in component-wise path order."""
-    return A.path_order(table(spark, d, "pages").select("page_id", F.col("url").alias("path"))).limit(100)
+    """Each page with its place in component-wise path order."""
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
+    placed = ranked(pages.withColumn("parts", F.split("path", "/")), ["parts", "page_id"], name="place")
+    return placed.select("page_id", "path", "place")
 
 
 def filter_report(spark, d):
@@ -513,7 +515,7 @@ QUERIES = {
     "q_formatters": (formatters, FORMATTERS_SQL),
     "q_sort_top": (sort_top, _sort_top_sql()),
     "q_path_top": (path_top, """
-      SELECT page_id, url AS path FROM pages ORDER BY string_split(url, '/'), page_id LIMIT 100"""),
+      SELECT page_id, url AS path, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS place FROM pages"""),
     "q_filter_report": (filter_report, f"""
       SELECT p_partkey, p_name, grade FROM ({GRADED_SQL})
       WHERE contains(lower(p_name), 'ring') AND grade IN ('poor', 'terrible')"""),

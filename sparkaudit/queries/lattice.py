@@ -126,6 +126,11 @@ TREE_SQL = f"""{FIVE_CELLS},
   SELECT lattice_id, sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM n2 GROUP BY ALL"""
 
 
+def row_texts(spark, d):
+    """The lines that a lattice is written as."""
+    return L.row_texts(doc_cells(spark, d, 5))
+
+
 def pool(spark, d):
     return token_pool(doc_tokens(spark, d, 5), ["lattice_id", "idx"])
 
@@ -209,6 +214,8 @@ QUERIES = {
       SELECT lattice_id, r, c, CASE WHEN c = r % 16 THEN reverse(token) ELSE token END AS token FROM cell"""),
     "q_fingerprint": (fingerprints, None),
     "q_tree_fingerprint": (tree_fingerprints, TREE_SQL),
+    "q_row_texts": (row_texts, f"""{FIVE_CELLS}
+      SELECT lattice_id, r, string_agg(token, ' ' ORDER BY c) AS text FROM cell GROUP BY ALL"""),
     "q_token_pool": (pool, f"""WITH tok AS ({_tokens_sql("length(t) = 5")})
       SELECT row_number() OVER (ORDER BY lattice_id, idx) - 1 AS pool_index, token FROM tok"""),
     "q_word_list": (words, """

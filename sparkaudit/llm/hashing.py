@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-STRIP = 1 << 21
+STRIP = 1 << 19
 
 _BLANKS = [9, 10, 11, 12, 13, 32]
 _BLANK = np.isin(np.arange(256), _BLANKS)

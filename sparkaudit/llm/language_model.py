@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.llm.common import fits, free_name, landed
@@ -42,7 +42,8 @@ FILTER_BITS, FILTER_BYTES = 10, 256 << 20
 PROBES = 5
 BROADCAST_WORDS = 8_000_000
 #: n-grams that a task holds before it sends them on; tokens that are scored at once; texts for each range.
-HELD, STRIP, DOCS_PER_RANGE = 3_000_000, 1 << 18, 1 << 16
+HELD, STRIP, DOCS_PER_RANGE = 1_500_000, 1 << 17, 1 << 14
+LEAST_RANGES = 32
 KEY_BITS = 48
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -210,15 +211,20 @@ def built(packed: DataFrame, parts: int) -> tuple[Filter, DataFrame]:
 
     schema = "kind int, part int, items long, bits long, data binary, hashes array<long>, counts array<long>"
     every = landed(packed.groupBy("kind", "part").applyInArrow(merged, schema))
-    rows = every.filter(F.col("kind") == GRAMS).select("part", "items", "bits", "data").toLocalIterator()
-    bits, data, wrong, total = np.zeros(parts, dtype=np.int64), {}, 0.0, 0
-    for r in rows:
-        bits[r["part"]], data[r["part"]] = r["bits"], r["data"]
+    grams = every.filter(F.col("kind") == GRAMS)
+    bits, wrong, total = np.zeros(parts, dtype=np.int64), 0.0, 0
+    for r in grams.select("part", "items", "bits").collect():
+        bits[r["part"]] = r["bits"]
         wrong += r["items"] * (1 - math.exp(-PROBES * r["items"] / r["bits"])) ** PROBES
         total += r["items"]
     begin = np.concatenate(([0], np.cumsum(bits)[:-1]))
-    joined = np.frombuffer(b"".join(data[p] for p in sorted(data)), dtype=np.uint8)
-    return Filter(joined, begin, bits, wrong / max(1, total)), every.filter(F.col("kind") == WORDS).select("hashes", "counts")
+    # One segment after the other, into its place: the driver holds the filter once.
+    joined = np.zeros(int(bits.sum()) // 8, dtype=np.uint8)
+    for r in grams.select("part", "data").toLocalIterator():
+        at = int(begin[r["part"]]) // 8
+        joined[at : at + len(r["data"])] = np.frombuffer(r["data"], dtype=np.uint8)
+    words = every.filter(F.col("kind") == WORDS).select("part", "hashes", "counts")
+    return Filter(joined, begin, bits, wrong / max(1, total)), words
 
 
 # --- scoring --------------------------------------------------------------------------
@@ -235,20 +241,31 @@ class Model:
     counts: np.ndarray | None
 
 
+def _binary(name: str) -> Column:
+    """An array of longs as bytes, eight each, the high one first: no list of Python numbers on the driver."""
+    digits = F.array_join(F.transform(name, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.unhex(digits).alias(name)
+
+
 def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     texts = docs.select(F.col(text))
-    parts = max(16, -(-docs.count() // DOCS_PER_RANGE))
+    parts = max(LEAST_RANGES, -(-docs.count() // DOCS_PER_RANGE))
     found, words = built(packed_counts(texts, order, parts), parts)
     distinct, tokens = words.agg(
         F.sum(F.size("hashes")), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c))
     ).first()
     hashes = counts = None
     if (distinct or 0) <= BROADCAST_WORDS:
-        got = [(np.array(r["hashes"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)) for r in words.toLocalIterator()]
-        hashes = np.concatenate([g[0] for g in got]) if got else np.zeros(0, dtype=np.uint64)
-        counts = np.concatenate([g[1] for g in got]) if got else np.zeros(0, dtype=np.int64)
-        place = np.argsort(hashes)
-        hashes, counts = hashes[place], counts[place]
+        hashes, counts = np.zeros(distinct or 0, dtype=np.uint64), np.zeros(distinct or 0, dtype=np.int64)
+        at = 0
+        # Ranges in order are the words in order.
+        for r in words.orderBy("part").select(_binary("hashes"), _binary("counts")).toLocalIterator():
+            own = np.frombuffer(r["hashes"], dtype=">u8")
+            hashes[at : at + len(own)] = own
+            counts[at : at + len(own)] = np.frombuffer(r["counts"], dtype=">u8")
+            at += len(own)
+        if not len(counts) or counts.max() < 1 << 32:
+            counts = counts.astype(np.uint32)
     return Model(order, found, words, distinct or 0, tokens or 0, hashes, counts)
 
 
@@ -312,7 +329,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                     if not len(hashes):
                         return np.zeros(len(some), dtype=np.int64)
                     at = np.minimum(np.searchsorted(hashes, some), len(hashes) - 1)
-                    return np.where(hashes[at] == some, counts[at], 0)
+                    return np.where(hashes[at] == some, counts[at].astype(np.int64), 0)
 
                 c = _unique(count, now)
                 base[:] += np.bincount(who, np.log10((c + 1.0) / (total + distinct + 1.0)), n)

@@ -42,7 +42,7 @@ FILTER_BITS, FILTER_BYTES = 10, 256 << 20
 PROBES = 5
 BROADCAST_WORDS = 8_000_000
 #: n-grams that a task holds before it sends them on; tokens that are scored at once; texts for each range.
-HELD, STRIP, DOCS_PER_RANGE = 1_500_000, 1 << 17, 1 << 14
+HELD, STRIP, DOCS_PER_RANGE = 1_500_000, 1 << 18, 1 << 14
 LEAST_RANGES = 32
 KEY_BITS = 48
 

@@ -156,16 +156,21 @@ def sampled(labelled: DataFrame, text: str, label: str, key: str) -> list:
     known = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), place.alias("place")).filter(
         F.col("label").isNotNull() & F.col("text").isNotNull()
     )
-    kept = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).select("label").collect()
+    kept = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
     if not kept:
         return []
+    each = max(1, SAMPLE // len(kept))
+    # Only hashes low enough to be among a label's first are ranked: some eight times as many as are taken.
+    bound = [min((1 << 63) - 1, int(-(2.0**63) + 2.0**64 * min(1.0, (8 * each + 64) / r["count"]))) for r in kept]
+    bounds = F.create_map(*[F.lit(x) for r, b in zip(kept, bound) for x in (r["label"], b)])
     known = known.filter(F.col("label").isin([r["label"] for r in kept]))
     # The hashes are ranked without the texts; the few chosen ones, SAMPLE at most, then fetch theirs.
     chosen = (
         known.select("label", "place")
+        .filter(F.col("place") <= F.element_at(bounds, F.col("label")))
         .distinct()
         .withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("place")))
-        .filter(F.col("n") <= max(1, SAMPLE // len(kept)))
+        .filter(F.col("n") <= each)
         .drop("n")
     )
     texts = known.join(F.broadcast(chosen), ["label", "place"]).groupBy("label", "place").agg(F.min("text").alias("text"))

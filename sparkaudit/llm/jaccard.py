@@ -52,9 +52,9 @@ COMMON_FROM, COMMON = 16, 2_000_000
 #: Bits of the bitmap of n-grams that occur twice, a power of two.
 BITMAP = 1 << 28
 #: N-grams that a task holds before it sends them on.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Documents for each range of hashes that one task merges.
-DOCS_PER_RANGE = 1 << 16
+DOCS_PER_RANGE = 1 << 14
 BROADCAST_IDS = 500_000
 #: Members of a posting list in one block of a product.
 TILE = 1024
@@ -383,7 +383,7 @@ def similar_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id it reaches by links)."""
-    parts = max(16, -(-docs.count() // DOCS_PER_RANGE))
+    parts = max(32, -(-docs.count() // DOCS_PER_RANGE))
     known_facts = landed(facts(docs, doc_id, text, n, parts))
     packed = known_facts.filter(F.col("part").isNotNull()).select("part", "packed")
     common = common_grams(packed, parts)
@@ -392,7 +392,7 @@ def similar_components(
     posts = landed(posts.join(alone.select("gram"), "gram", "left_semi"))
     rows = known_facts.filter(F.col("part").isNull())
 
-    links, found = None, None
+    found = None
     for turn in range(ROUNDS + 1):
         spread = _with_component(posts, found)
         if turn:
@@ -402,13 +402,15 @@ def similar_components(
         else:
             pairs = remaining_pairs(spread, rows, percent)
         pairs = landed(pairs)
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        sets = landed(sets_of(docs, doc_id, text, n, ends))
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        sets = landed(sets_of(docs, doc_id, text, n, landed(ends)))
         new = landed(products(pairs, sets, percent))
-        if links is not None and new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        found = landed(components(links))
+        if found is not None:
+            if new.isEmpty():
+                continue
+            # What is known so far are stars already.
+            new = new.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        found = landed(components(new))
 
     rows = rows.select("doc_id", "n", "high", "low")
     same = (

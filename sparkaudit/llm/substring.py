@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sparkaudit.llm.common import fits, free_name, landed
 
 LEAST = 6
-BROADCAST_DIGESTS = 400_000
+BROADCAST_DIGESTS = 50_000
 CUT = re.compile(r"\n|(?<=[.!?])[ \t\r]+")
 EDGE = " \t\r\f\v.,;:!?\"'()[]-"
 

@@ -19,6 +19,9 @@ from sparkaudit.llm.language import identified, trained
 from sparkaudit.llm.mixing import mixed_documents
 from sparkaudit.llm.secrets import redacted
 
+#: What the near-copy stage takes for a near copy: words in a shingle and per cent of shingles shared.
+COPY_WORDS, COPY_PERCENT = 5, 80
+
 #: No SQL can express a trained classifier or a seeded mix: the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -35,7 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least id."""
     bounded_batches(spark)
     # Only ids that are not their group's least are moved; a row without id is in no group.
-    rest = similar_components(docs.select("doc_id", "text")).filter(F.col("doc_id") != F.col("component_id"))
+    found = similar_components(docs.select("doc_id", "text"), n=COPY_WORDS, percent=COPY_PERCENT)
+    rest = found.filter(F.col("doc_id") != F.col("component_id"))
     key = free_name(docs.columns, "_gone")
     gone = landed(rest.select(F.col("doc_id").alias(key)).distinct())
     return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

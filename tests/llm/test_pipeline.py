@@ -41,6 +41,24 @@ def test_near_copies(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [20, 3, 5, 6, 8, None]
 
 
+def test_near_copies_at_the_bound(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles of five words
+    more = lambda n: " ".join(base + [f"m{i}" for i in range(n)])
+    long = [f"v{i}" for i in range(1000)]
+
+    def edited(n):
+        return " ".join(f"e{i}" if i % 43 == 20 and i // 43 < n else w for i, w in enumerate(long))
+
+    # 100/120, 100/125 and 886/1106 go; 100/126 and 881/1111 stay.
+    rows = {1: more(0), 2: more(20), 11: " ".join(long), 12: edited(22)}
+    edges = [{1: more(0), 2: more(25)}, {1: more(0), 2: more(26)}, {1: " ".join(long), 2: edited(23)}]
+    kept = []
+    for texts in [rows, *edges]:
+        docs = docs_of(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])
+        kept.append(sorted(r["doc_id"] for r in P.near_copies(spark, docs, D).collect()))
+    assert kept == [[1, 11], [1], [1, 2], [1, 2]]
+
+
 def test_decontamination(spark):
     item = spark.read.parquet(f"{D}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
     rng = random.Random(5)

@@ -9,9 +9,10 @@ the add-one estimate of single words.
 Counts cover all training texts and are exact.  Tasks send sorted, packed hashes with
 counts, by range of hashes; each range is merged in one task, which also sets the bits of
 its own segment of the filter.  So no count table passes the driver, only the finished
-bits.  ``FILTER_BITS`` for each item are given up to ``FILTER_BYTES`` in all, the proven bound of
-the broadcast; a corpus beyond it is still counted whole and the filter only answers
-too high more often (``Filter.wrong`` is the expected share), as such filters are meant to.
+bits.  Every item gets ``FILTER_BITS``, however many there are.  A filter of at most ``FILTER_BYTES``
+is broadcast.  A larger one stays in its segments, and the questions go to them: texts are
+put in groups, each group sends its distinct n-grams by range, each range answers from its
+own segment, and the answers return to the group.  Both ways give the same scores.
 
 The exact counts that the base score asks for are another matter: they are broadcast when
 there are at most ``BROADCAST_WORDS`` distinct words, and joined by word beyond.
@@ -43,6 +44,8 @@ PROBES = 5
 BROADCAST_WORDS = 8_000_000
 #: n-grams that a task holds before it sends them on; tokens that are scored at once; texts for each range.
 HELD, STRIP, DOCS_PER_RANGE = 1_500_000, 1 << 18, 1 << 14
+#: Characters for each range, where texts are long, and for each group of texts that asks segments together.
+CHARS_PER_RANGE, CHARS_PER_GROUP = 1 << 27, 1 << 23
 LEAST_RANGES = 32
 KEY_BITS = 48
 
@@ -156,11 +159,11 @@ def _places(keys: np.ndarray, level: np.ndarray | int, probe: int, bits: np.ndar
     return ((h >> np.uint64(32)) * np.asarray(bits, dtype=np.uint64)) >> np.uint64(32)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[int, int, bytes]:
+def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes]:
     """Items, bits and the bitmap of one range of keys."""
     level = np.searchsorted(LEAST_COUNT, counts, side="right")
     items = int(level.sum())
-    bits = min(most_bytes * 8, -(-items * FILTER_BITS // 64) * 64, (1 << 32) - 64)
+    bits = min(-(-items * FILTER_BITS // 64) * 64, (1 << 32) - 64)
     field = np.zeros(bits, dtype=bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         own = keys[level >= q]
@@ -176,8 +179,8 @@ class Filter:
     bits: np.ndarray
     wrong: float  # expected share of absent items that are answered
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of keys as the filter has them, 0 if absent."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Count levels of keys as the filter has them, 0 if absent."""
         part = (((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(len(self.bits))) >> np.uint64(32)).astype(np.int64)
         level = np.zeros(len(keys), dtype=np.int64)
         alive = np.flatnonzero(self.bits[part] > 0)
@@ -188,17 +191,31 @@ class Filter:
                 at = self.begin[part[alive]] + _places(keys[alive], q, probe, self.bits[part[alive]]).astype(np.int64)
                 alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
             level[alive] = q
-        return READ[level]
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of keys as the filter has them, 0 if absent."""
+        return READ[self.levels(keys)]
 
 
-def built(packed: DataFrame, parts: int) -> tuple[Filter, DataFrame]:
-    """The filter, and the exact words: arrays of hashes and counts by range."""
-    most = max(8, FILTER_BYTES // parts)
+@dataclasses.dataclass(frozen=True)
+class Answers:
+    """What segments answered for some keys, which are sorted."""
+
+    keys: np.ndarray
+    level: np.ndarray
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return READ[self.level[np.searchsorted(self.keys, keys)]]
+
+
+def built(packed: DataFrame, parts: int) -> tuple[Filter | None, DataFrame, DataFrame]:
+    """The filter, if it can be broadcast; its segments; and the exact words, arrays of hashes and counts by range."""
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
         kind, part = key[0].as_py(), key[1].as_py()
         keys, counts = _merged(table)
-        items, bits, data = segment(keys, counts, most) if kind == GRAMS else (0, 0, None)
+        items, bits, data = segment(keys, counts) if kind == GRAMS else (0, 0, None)
         words = kind == WORDS
         return pa.table(
             {
@@ -217,14 +234,17 @@ def built(packed: DataFrame, parts: int) -> tuple[Filter, DataFrame]:
         bits[r["part"]] = r["bits"]
         wrong += r["items"] * (1 - math.exp(-PROBES * r["items"] / r["bits"])) ** PROBES
         total += r["items"]
+    segments = grams.select("part", "bits", "data")
+    words = every.filter(F.col("kind") == WORDS).select("part", "hashes", "counts")
+    if int(bits.sum()) // 8 > FILTER_BYTES:
+        return None, segments, words
     begin = np.concatenate(([0], np.cumsum(bits)[:-1]))
     # One segment after the other, into its place: the driver holds the filter once.
     joined = np.zeros(int(bits.sum()) // 8, dtype=np.uint8)
     for r in grams.select("part", "data").toLocalIterator():
         at = int(begin[r["part"]]) // 8
         joined[at : at + len(r["data"])] = np.frombuffer(r["data"], dtype=np.uint8)
-    words = every.filter(F.col("kind") == WORDS).select("part", "hashes", "counts")
-    return Filter(joined, begin, bits, wrong / max(1, total)), words
+    return Filter(joined, begin, bits, wrong / max(1, total)), segments, words
 
 
 # --- scoring --------------------------------------------------------------------------
@@ -233,7 +253,9 @@ def built(packed: DataFrame, parts: int) -> tuple[Filter, DataFrame]:
 @dataclasses.dataclass(frozen=True)
 class Model:
     order: int
-    filter: Filter
+    filter: Filter | None  # none where it is too large for a broadcast
+    segments: DataFrame
+    parts: int
     words: DataFrame  # exact counts, arrays by range
     distinct: int
     tokens: int
@@ -249,8 +271,9 @@ def _binary(name: str) -> Column:
 
 def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     texts = docs.select(F.col(text))
-    parts = max(LEAST_RANGES, -(-docs.count() // DOCS_PER_RANGE))
-    found, words = built(packed_counts(texts, order, parts), parts)
+    rows, chars = texts.agg(F.count(F.lit(1)), F.sum(F.length(F.col(text)).cast("long"))).first()
+    parts = max(LEAST_RANGES, -(-rows // DOCS_PER_RANGE), -(-(chars or 0) // CHARS_PER_RANGE))
+    found, segments, words = built(packed_counts(texts, order, parts), parts)
     distinct, tokens = words.agg(
         F.sum(F.size("hashes")), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c))
     ).first()
@@ -266,7 +289,7 @@ def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             at += len(own)
         if not len(counts) or counts.max() < 1 << 32:
             counts = counts.astype(np.uint32)
-    return Model(order, found, words, distinct or 0, tokens or 0, hashes, counts)
+    return Model(order, found, segments, parts, words, distinct or 0, tokens or 0, hashes, counts)
 
 
 def _unique(f, keys: np.ndarray) -> np.ndarray:
@@ -275,7 +298,7 @@ def _unique(f, keys: np.ndarray) -> np.ndarray:
     return f(some)[back]
 
 
-def probabilities(tokens: np.ndarray, order: int, f: Filter, total: int, distinct: int) -> np.ndarray:
+def probabilities(tokens: np.ndarray, order: int, f: Filter | Answers, total: int, distinct: int) -> np.ndarray:
     """Model probability of each token after the first ``order - 1``, which are history."""
     p = (_unique(f.counts, gram_keys(tokens[order - 1 :], 1)) + 1.0) / (total + distinct + 1.0)
     for n in range(2, order + 1):
@@ -300,15 +323,10 @@ SCORES_KIND = pa.struct(
 )
 
 
-def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", name: str = "lm") -> DataFrame:
-    """The rows of ``docs`` with one more column: a struct of n_tokens, n_known, base_score and score (log10)."""
-    sc = docs.sparkSession.sparkContext
-    order, total, distinct = model.order, model.tokens, model.distinct
-    exact = model.hashes is not None
-    shared = sc.broadcast((model.filter, model.hashes, model.counts))
+def flusher(order: int, total: int, distinct: int, exact: bool):
+    """Function of some texts' words, something that has counts of n-grams, and the exact words: their scores."""
 
-    def flush(groups: list[np.ndarray]) -> list[dict]:
-        f, hashes, counts = shared.value
+    def flush(groups: list[np.ndarray], f: Filter | Answers, hashes: np.ndarray | None, counts: np.ndarray | None) -> list[dict]:
         n = len(groups)
         score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
         strip: list[tuple[int, np.ndarray]] = []
@@ -348,6 +366,18 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             for i, g in enumerate(groups)
         ]
 
+    return flush
+
+
+def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", name: str = "lm") -> DataFrame:
+    """The rows of ``docs`` with one more column: a struct of n_tokens, n_known, base_score and score (log10)."""
+    exact = model.hashes is not None
+    flush = flusher(model.order, model.tokens, model.distinct, exact)
+    shared = docs.sparkSession.sparkContext.broadcast((model.filter, model.hashes, model.counts))
+    if model.filter is None:
+        rows = with_asked_segments(docs, model, flush, shared, text, name)
+        return rows if exact else with_joined_base(rows, model, doc_id, text, name)
+
     @F.arrow_udf(SCORES)
     def judge(texts: pa.Array) -> pa.Array:
         out, groups, size = [], [], 0
@@ -355,14 +385,78 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             groups.append(words)
             size += len(words)
             if size >= STRIP:
-                out += flush(groups)
+                out += flush(groups, *shared.value)
                 groups, size = [], 0
-        return pa.array(out + flush(groups), SCORES_KIND)
+        return pa.array(out + flush(groups, *shared.value), SCORES_KIND)
 
     rows = docs.withColumn(name, judge(F.col(text)))
     return rows if exact else with_joined_base(rows, model, doc_id, text, name)
 
 
+def with_asked_segments(docs: DataFrame, model: Model, flush, shared, text: str, name: str) -> DataFrame:
+    """The scores from a filter that stays in its segments: n-grams go to their range, answers to their texts."""
+    order, parts = model.order, model.parts
+    h = free_name(docs.columns, "_h")
+    once = docs.select(F.xxhash64(text).alias("_h"), F.col(text).alias("_t")).groupBy("_h").agg(F.first("_t").alias("_t"))
+    once = landed(once)
+    chars = once.agg(F.sum(F.length("_t").cast("long"))).first()[0] or 0
+    once = once.withColumn("_g", F.pmod("_h", F.lit(max(1, -(-chars // CHARS_PER_GROUP)))))
+
+    def ask(table: pa.Table) -> pa.Table:
+        # Made distinct on the way, so that the keys held are bounded.
+        keys = np.zeros(0, dtype=np.uint64)
+        held: list[np.ndarray] = []
+        size = 0
+        for words in word_hashes(table.column("_t").combine_chunks()):
+            tokens = sequence(words, order)
+            for n in range(1, order + 1):
+                held.append(gram_keys(tokens, n))
+                size += len(held[-1])
+            if size >= HELD:
+                keys, held, size = np.unique(np.concatenate([keys, *held])), [], 0
+        keys = np.unique(np.concatenate([keys, *held]))
+        batch = _ranged(GRAMS, keys, KEY_BITS, parts)
+        group = pa.array([table.column("_g")[0].as_py()] * batch.num_rows, pa.int64())
+        return pa.table({"_g": group, "part": batch.column("part"), "keys": batch.column("keys")})
+
+    def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
+        levels = []
+        if asked.num_rows:
+            bits, data = np.zeros(parts, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+            if segments.num_rows:
+                bits[segments.column("part")[0].as_py()] = segments.column("bits")[0].as_py()
+                data = np.frombuffer(segments.column("data")[0].as_buffer(), dtype=np.uint8)
+            own = Filter(data, np.zeros(parts, dtype=np.int64), bits, 0.0)
+            for packed in asked.column("keys"):
+                found = own.levels(np.cumsum(_unpack(packed.as_py()), dtype=np.uint64))
+                levels.append(zlib.compress(found.astype(np.uint8).tobytes(), 1))
+        return asked.append_column("levels", pa.array(levels, pa.binary()))
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")  # ranges in order are the keys in order
+        keys = [np.cumsum(_unpack(k.as_py()), dtype=np.uint64) for k in answers.column("keys")]
+        levels = [np.frombuffer(zlib.decompress(k.as_py()), np.uint8) for k in answers.column("levels")]
+        known = Answers(np.concatenate(keys), np.concatenate(levels))
+        _, hashes, counts = shared.value
+        out, groups, size = [], [], 0
+        for words in word_hashes(texts.column("_t").combine_chunks()):
+            groups.append(words)
+            size += len(words)
+            if size >= STRIP:
+                out += flush(groups, known, hashes, counts)
+                groups, size = [], 0
+        out += flush(groups, known, hashes, counts) if groups else []
+        return pa.table({"_h": texts.column("_h"), "_s": pa.array(out, SCORES_KIND)})
+
+    asked = once.groupBy("_g").applyInArrow(ask, "_g long, part int, keys binary")
+    answers = landed(
+        asked.groupBy("part").cogroup(model.segments.groupBy("part")).applyInArrow(answer, "_g long, part int, keys binary, levels binary")
+    )
+    scores = once.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(score, f"_h long, _s {SCORES}")
+    scores = landed(scores.select(F.col("_h").alias(h), F.col("_s").alias(name)))
+    return docs.join(scores, F.xxhash64(F.col(text)) == F.col(h), "left").drop(h)
+
+
 def with_joined_base(rows: DataFrame, model: Model, doc_id: str, text: str, name: str) -> DataFrame:
     """Base scores and known tokens by a join on words, for more distinct words than can be broadcast."""
 

@@ -80,6 +80,25 @@ def test_base_is_exact_either_way(spark, monkeypatch):
     assert results[0] == results[1]
 
 
+def test_segments_that_stay_apart_score_alike(spark, monkeypatch):
+    rows = made(80) + [(500, None), (501, ""), (502, "w1 " * 5000), (None, "W1 w2"), (503, "never seen at all"), (504, "W1 w2")]
+    training = [r for r in rows if r[0] != 503]
+    monkeypatch.setattr(L, "CHARS_PER_GROUP", 4000)
+    want = None
+    for most, words in ((L.FILTER_BYTES, L.BROADCAST_WORDS), (64, L.BROADCAST_WORDS), (64, 0)):
+        monkeypatch.setattr(L, "FILTER_BYTES", most)
+        monkeypatch.setattr(L, "BROADCAST_WORDS", words)
+        model = L.trained(docs_of(spark, training))
+        out = L.scored(docs_of(spark, rows), model)
+        assert out.columns == ["doc_id", "text", "lm"]
+        got = sorted((r["doc_id"] or -1, *(round(x, 9) for x in r["lm"])) for r in out.collect())
+        want = want or got
+        assert got == want and len(got) == len(rows)
+        # Every item has its bits, in one filter or in segments.
+        assert (model.filter is None) == (most == 64)
+        assert model.segments.selectExpr("sum(bits)").first()[0] > 64 * 8
+
+
 def test_strips_do_not_change_scores(spark, monkeypatch):
     rows = made(40) + [(77, "x y z " * 700)]
     model = L.trained(docs_of(spark, rows), order=3)

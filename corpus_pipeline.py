@@ -3,8 +3,10 @@
 Language identification drops texts that it rejects, the n-gram Jaccard join keeps one
 document of each group of near copies, benchmark decontamination drops documents that hold
 benchmark passages, secrets are replaced by a mark, and the mix repeats or leaves out documents so that
-each source comes near its target.  A group's smallest id stays; of rows that repeat it, all do if they are
-equal in every column but no others.
+each source comes near its target.  One row of each group of near copies stays, that with the smallest id; of
+rows that repeat the id, also those equal in every column, one.  Rows are known by their texts: an id on two
+texts is two documents.  Rows without id are compared with each other and one of each group stays; they are not
+dropped for a document that has an id.  Texts without words are copies of nothing.
 """
 
 from __future__ import annotations
@@ -35,14 +37,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id."""
+    """One row of each group of near copies: the least by id, then by hashes of its text and of the whole row."""
     bounded_batches(spark)
-    # Only ids that are not their group's least are moved; a row without id is in no group.
-    found = similar_components(docs.select("doc_id", "text"), n=COPY_WORDS, percent=COPY_PERCENT)
-    rest = found.filter(F.col("doc_id") != F.col("component_id"))
-    key = free_name(docs.columns, "_gone")
-    gone = landed(rest.select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    # Texts are the nodes, by their hash, so that one id on two texts links nothing and rows without id have nodes.
+    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+    found = similar_components(texts, "node", n=COPY_WORDS, percent=COPY_PERCENT).filter(F.col("n_shingles") > 0)
+    groups = found.groupBy(F.col("doc_id").alias("_text")).agg(F.min("component_id").alias("_group"))
+    row = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64(*docs.columns).alias("_row")]
+    placed = landed(docs.select(*row).join(groups, "_text"))
+    # Rows without id are a group of their own beside those with one.
+    group = [F.col("_group"), F.col("_id").isNull().alias("_none")]
+    keys = ["_id", "_text", "_row"]
+    least = placed.groupBy(*group).agg(F.min(F.struct(*keys)).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    judged = placed.select(*keys, *group).join(least, ["_group", "_none"]).withColumn("_kept", F.struct(*keys).eqNullSafe(F.col("_least")))
+    # Of rows that are equal in every column one stays.
+    judged = landed(judged.groupBy(*keys, "_kept").agg(F.count(F.lit(1)).alias("_n")).filter("not _kept or _n > 1"))
+    taken = docs.columns
+    own = [free_name(taken, k) for k in keys]
+    judged = judged.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "_kept")
+    same = F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.xxhash64("text") == F.col(own[1])) & (F.xxhash64(*taken) == F.col(own[2]))
+    rest = docs.join(judged.drop("_kept"), same, "left_anti")
+    return rest.unionByName(docs.join(judged.filter("_kept").drop("_kept"), same, "left_semi").distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

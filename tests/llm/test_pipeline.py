@@ -41,6 +41,20 @@ def test_near_copies(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [20, 3, 5, 6, 8, None]
 
 
+def test_near_copies_by_rows(spark):
+    rng = random.Random(6)
+    base, other, alone, none = (words(rng, 100) for _ in range(4))
+    rows = [
+        (3, base, "en", "a", 1), (3, base, "en", "b", 1), (3, base, "en", "a", 1), (9, base + " more", "en", "a", 1),
+        (5, other, "en", "a", 1), (7, other + " more", "en", "a", 1), (7, alone, "en", "a", 1),
+        (None, none, "en", "a", 1), (None, none, "en", "a", 1), (None, none + " more", "en", "b", 1), (None, None, "en", "a", 1),
+    ]
+    out = P.near_copies(spark, docs_of(spark, rows), D).collect()
+    assert sorted((r["doc_id"] or 0 for r in out)) == [0, 0, 3, 5, 7]
+    assert {r["text"] for r in out if r["doc_id"] == 7} == {alone}
+    assert sum(r["doc_id"] is None and r["text"] is not None for r in out) == 1
+
+
 def test_near_copies_at_the_bound(spark):
     base = [f"w{i}" for i in range(104)]  # 100 shingles of five words
     more = lambda n: " ".join(base + [f"m{i}" for i in range(n)])

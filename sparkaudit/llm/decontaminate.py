@@ -16,9 +16,9 @@ diagonal) before anything else moves, and only documents with a hit get their to
 a second time.
 
 Defined results: tokens are runs of letters and digits, lower-cased; null and empty texts
-or items have none; items or texts shorter than a mask are beyond it (an item shorter than
-every mask is never found); document rows are told apart by id and text, so rows that
-repeat both are judged alike and null ids are judged by their own text.  Texts are read
+or items have none; an item of fewer than ``LEAST`` tokens is never found; document rows and
+items are told apart by id and text, so rows that repeat both are judged alike and null
+ids are judged by their own text.  Texts are read
 whole.  Extra columns are kept.
 """
 
@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 
 from sparkaudit.llm.common import fits, free_name, landed
 
-# The masks.  Five tokens count in each.
-MASKS = ("1101011", "11100101", "1011011")
+# The masks.  Five tokens count in each.  Whatever the length of a stretch and whichever of its tokens
+# differ, one of them fits if the stretch scores ``LEAST`` (a test goes through all patterns).
+MASKS = (
+    "1101011", "11100101", "1011011", "10011011", "10011101", "1001111", "10101011", "1011101", "101111", "11100011",
+    "1110011", "111011", "111101", "11111",
+)
 ENOUGH, LEAST = 10, 8
 BROADCAST_SEEDS, BROADCAST_HITS = 500_000, 500_000
 
@@ -44,7 +48,9 @@ def seeds(rows: DataFrame, tokens: str, place: str, seed: str) -> DataFrame:
     n, at = F.size(tokens), F.col(place)
     kept = [c for c in rows.columns if c != tokens]
     shortest = min(map(len, MASKS))
-    windows = rows.filter(n >= shortest).withColumn(place, F.explode(F.sequence(F.lit(0), n - shortest)))
+    # Each token is hashed once; windows hash these numbers.
+    rows = rows.filter(n >= shortest).withColumn(tokens, F.transform(tokens, lambda t: F.xxhash64(t)))
+    windows = rows.withColumn(place, F.explode(F.sequence(F.lit(0), n - shortest)))
     hashes = [
         F.when(
             at + len(mask) <= n,
@@ -88,7 +94,9 @@ def leaks(
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Verified overlaps, the best of each document and item: doc_id, text_hash, item_id, score, start, end."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens_of(F.col(item_text)).alias("item"))
+    items = benchmark.select(
+        F.col(item_id).alias("item_id"), F.xxhash64(F.col(item_text)).alias("item_hash"), tokens_of(F.col(item_text)).alias("item")
+    )
     asked = seeds(items, "item", "_ip", "_seed").distinct()
     if fits(asked, BROADCAST_SEEDS):
         asked = F.broadcast(asked)
@@ -97,19 +105,21 @@ def leaks(
     hits = landed(
         seeds(keyed, "_doc", "_p", "_seed")
         .join(asked, "_seed")
-        .select("doc_id", "text_hash", "item_id", (F.col("_p") - F.col("_ip")).alias("diagonal"))
+        .select("doc_id", "text_hash", "item_id", "item_hash", (F.col("_p") - F.col("_ip")).alias("diagonal"))
         .distinct()
     )
     found = F.broadcast(hits) if fits(hits, BROADCAST_HITS) else hits
     same = (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.xxhash64("text") == F.col("text_hash"))
     laid = narrow.join(found.withColumnRenamed("doc_id", "_d"), same)
     enough = F.greatest(F.lit(LEAST), F.least(F.lit(ENOUGH), F.ceil(F.size("item") / 2).cast("int")))
+    items = items.withColumnsRenamed({"item_id": "_i", "item_hash": "_ih"})
+    own = F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_hash") == F.col("_ih"))
     return (
-        laid.select("doc_id", "text_hash", "item_id", "diagonal", tokens_of(F.col("text")).alias("_doc"))
-        .join(F.broadcast(items) if fits(items, BROADCAST_SEEDS) else items, "item_id")
+        laid.select("doc_id", "text_hash", "item_id", "item_hash", "diagonal", tokens_of(F.col("text")).alias("_doc"))
+        .join(F.broadcast(items) if fits(items, BROADCAST_SEEDS) else items, own)
         .withColumn("best", _stretch(F.col("_doc"), F.col("item"), F.col("diagonal")))
         .filter(F.col("best.score") >= enough)
-        .groupBy("doc_id", "text_hash", "item_id")
+        .groupBy("doc_id", "text_hash", "item_id", "item_hash")
         .agg(F.max_by("best", F.struct("best.score", -F.col("best.start"))).alias("best"))
         .select("doc_id", "text_hash", "item_id", "best.score", "best.start", "best.end")
     )

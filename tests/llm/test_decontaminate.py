@@ -73,6 +73,44 @@ def test_planted_and_clean(spark):
     assert kept.columns == ["doc_id", "text", "_hash", "item_id"]
 
 
+def test_masks_fit_every_pattern_that_scores():
+    # All patterns that no mask fits, by their last seven places: the best score that one can end with.
+    masks = [int(mask, 2) for mask in D.MASKS]
+    best = {0: 0}
+    for _ in range(3000):
+        new = dict(best)
+        for state, score in best.items():
+            for same in (0, 1):
+                window = state << 1 | same
+                if not any(window & mask == mask for mask in masks):
+                    new[window & 127] = max(new.get(window & 127, 0), score + (1 if same else -1), 0)
+        if new == best:
+            break
+        best = new
+        assert max(best.values()) < D.LEAST
+    else:
+        raise AssertionError("scores keep growing")
+
+
+def test_regular_changes_and_items_by_text(spark):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(1, " ".join(words(60))), (None, " ".join(words(30))), (2, " ".join(words(12))), (2, " ".join(words(90)))]
+    docs = []
+    for period in (3, 4, 5, 6):
+        for at in range(period):
+            passage = items[0][1].split()
+            passage[at::period] = ["changed"] * len(passage[at::period])
+            docs.append((len(docs), " ".join(words(20) + passage + words(20))))
+    whole = len(docs)
+    docs += [(100 + i, " ".join([*words(5), items[i][1]])) for i in (1, 2, 3)] + [(200, items[3][1].split(" ", 70)[-1])]
+    got = D.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    found = sorted((r["doc_id"], r["item_id"] or 0) for r in got)
+    assert found == [*((i, 1) for i in range(whole)), (101, 0), (102, 2), (103, 2), (200, 2)]
+
+
 def test_shuffled_ways_agree(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(rng.choice("abcdefghijklmnop") * 3 + str(rng.randrange(40)) for _ in range(20))) for i in range(5)]

@@ -8,9 +8,11 @@ driver, from a bounded sample of labelled rows: at most ``SAMPLE`` rows in all,
 of each language, and ``LANGUAGES`` languages (those with most labelled rows).  A row
 comes as at most ``BUCKETS`` shares, counted on the executors over its whole text, plus
 ``PIECES`` short runs of its words, so that short texts are learned too.  A part
-of the sample is kept out of the descent; on it a temperature is fitted, and the lowest
-confidence that still gives ``PRECISION`` becomes the bound below
-which a prediction is rejected.
+of the sample is kept out of the descent; on it a temperature is fitted.  As the sample has as
+many of each language, the labels' true counts are put back into the offset.  The lowest
+confidence that still gives ``PRECISION`` on the whole texts kept out, each weighted by what it
+stands for, becomes the bound below which a prediction is rejected, unless those rejected
+would be right more often than not (labels may be wrong): then it is lowered until they are not.
 
 Prediction reads whole texts.  The layer is linear, so table and layer are folded into
 one score per bucket and language (its size is fixed, ``BUCKETS`` x languages, which
@@ -38,6 +40,8 @@ BUCKETS, DIMS, SIZES = 1 << 15, 16, (2, 3, 4)
 SAMPLE, LANGUAGES, PIECES, PIECE_WORDS = 2000, 200, 6, 16
 EPOCHS, RATE, BATCH, SEED = 6, 12.0, 32, 7
 PRECISION = 0.95
+#: Wrong predictions beyond the right ones, in examples of the largest weight, that show rejected ones to be mostly wrong.
+CLEARLY = 3
 STRIP = 1 << 18
 UNKNOWN = "und"
 
@@ -150,15 +154,15 @@ def example_rows(text: str, seed: str) -> Column:
     return made(text, seed)
 
 
-def sampled(labelled: DataFrame, text: str, label: str, key: str) -> list:
-    """At most SAMPLE rows, as many of each of at most LANGUAGES languages, as examples."""
+def sampled(labelled: DataFrame, text: str, label: str, key: str) -> tuple[list, dict[str, int]]:
+    """At most SAMPLE rows, as many of each of at most LANGUAGES languages, as examples; all rows of each language."""
     place = F.xxhash64(F.col(key), F.col(text))
     known = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), place.alias("place")).filter(
         F.col("label").isNotNull() & F.col("text").isNotNull()
     )
     kept = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
     if not kept:
-        return []
+        return [], {}
     each = max(1, SAMPLE // len(kept))
     # Only hashes low enough to be among a label's first are ranked: some eight times as many as are taken.
     bound = [min((1 << 63) - 1, int(-(2.0**63) + 2.0**64 * min(1.0, (8 * each + 64) / r["count"]))) for r in kept]
@@ -175,7 +179,7 @@ def sampled(labelled: DataFrame, text: str, label: str, key: str) -> list:
     )
     texts = known.join(F.broadcast(chosen), ["label", "place"]).groupBy("label", "place").agg(F.min("text").alias("text"))
     rows = texts.select("label", "place", example_rows("text", "place").alias("examples"))
-    return sorted(rows.collect(), key=lambda r: (r["label"], r["place"]))
+    return sorted(rows.collect(), key=lambda r: (r["label"], r["place"])), {r["label"]: r["count"] for r in kept}
 
 
 def descended(data: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,41 +211,65 @@ def descended(data: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> t
     return table, layer, offset
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Temperature of least log loss, and the lowest confidence that keeps PRECISION."""
-    if not len(y):
-        return 1.0, 0.0
+def fitted_temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """Temperature of least log loss."""
     grid = np.geomspace(0.05, 20.0, 61)
     losses = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-300).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(losses))])
-    p = softmax(z / temperature)
-    confidence, right = p.max(axis=1), p.argmax(axis=1) == y
+    return float(grid[int(np.argmin(losses))])
+
+
+def bound(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The lowest confidence that keeps PRECISION, or a lower one that rejects only what is mostly wrong."""
+    confidence, right = p.max(axis=1), (p.argmax(axis=1) == y) * weight
     order = np.argsort(-confidence, kind="stable")
-    precision = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(precision >= PRECISION)
-    if not len(good):
-        return temperature, 1.0
+    hits, all_ = np.cumsum(right[order]), np.cumsum(weight[order])
+    good = np.flatnonzero(hits / all_ >= PRECISION)
+    # What comes after a place, the last one aside, where nothing is left to reject.
+    wrong = all_ - hits
+    excess = (wrong[-1] - wrong[:-1]) - (hits[-1] - hits[:-1])
+    mostly_wrong = np.append(excess > CLEARLY * weight.max(), True)
+    place = np.flatnonzero(mostly_wrong & (np.arange(len(y)) >= (good[-1] if len(good) else 0)))[0]
     # All of the sample passes: nothing that looks like a language at all is rejected.
-    return temperature, 0.0 if good[-1] == len(y) - 1 else float(confidence[order[good[-1]]])
+    return 0.0 if place == len(y) - 1 else float(confidence[order[place]])
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Temperature and rejection bound of examples that count alike."""
+    if not len(y):
+        return 1.0, 0.0
+    temperature = fitted_temperature(z, y)
+    return temperature, bound(softmax(z / temperature), y, np.ones(len(y)))
 
 
 def trained(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    rows = sampled(labelled, text, label, key)
+    rows, counts = sampled(labelled, text, label, key)
     languages = tuple(sorted({r["label"] for r in rows}))
     place = {name: i for i, name in enumerate(languages)}
-    learn, check = [], []
+    learn, check, whole = [], [], []
     for r in rows:
         part = check if r["place"] % 5 == 0 else learn
-        for e in r["examples"]:
+        for i, e in enumerate(r["examples"]):
+            if part is check and i == 0:  # a text comes before its pieces
+                whole.append(len(check))
             ids, shares = np.frombuffer(e["ids"], np.uint16), np.frombuffer(e["shares"], np.float32)
             part.append((ids.astype(np.int64), shares, place[r["label"]]))
     if not learn or not languages:
         return Model((), np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0), 1.0, 1.0)
     table, layer, offset = descended(learn, len(languages))
     scores = table @ layer
-    z = np.array([scores[ids].T @ shares + offset for ids, shares, _ in check])
-    temperature, least = calibrated(z, np.array([y for _, _, y in check]))
-    return Model(languages, scores.astype(np.float64), offset.astype(np.float64), temperature, least)
+    took = np.bincount([place[r["label"]] for r in rows], minlength=len(languages))
+    # What a taken row stands for, by language; the descent saw all languages as frequent as in the sample.
+    stands = np.array([counts[name] for name in languages]) / took
+    prior = np.log(stands / stands.max())
+    temperature, least = 1.0, 0.0
+    if check:
+        z, y = np.array([scores[ids].T @ shares + offset for ids, shares, _ in check]), np.array([y for _, _, y in check])
+        temperature = fitted_temperature(z, y)
+        y = y[whole]
+        weight = stands[y] * (took / np.maximum(1, np.bincount(y, minlength=len(languages))))[y]
+        least = bound(softmax(z[whole] / temperature + prior), y, weight)
+    offset = offset.astype(np.float64) + temperature * prior
+    return Model(languages, scores.astype(np.float64), offset, temperature, least)
 
 
 PREDICTED = "struct<lang: string, score: double, rejected: boolean>"

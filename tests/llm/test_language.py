@@ -71,3 +71,30 @@ def test_calibration_rejects_below_the_bound():
     p = L.softmax(z / temperature)
     kept = p.max(axis=1) >= least
     assert (p[kept].argmax(axis=1) == y[kept]).mean() >= L.PRECISION and kept[strong].mean() > 0.95 and kept.mean() < 1
+
+
+def test_wrong_labels_reject_little():
+    rng = np.random.default_rng(3)
+    for share in (0.05, 0.06, 0.1, 0.2):
+        true = rng.integers(0, 4, 2000)
+        z = rng.normal(size=(2000, 4))
+        z[np.arange(2000), true] += 9.0
+        y = np.where(rng.random(2000) < share, (true + 1) % 4, true)
+        temperature, least = L.calibrated(z, y)
+        assert (L.softmax(z / temperature).max(axis=1) < least).mean() <= 0.02
+
+
+def test_wrong_and_junk_labels(spark, monkeypatch):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang").filter(F.col("text").rlike("[a-z]{2}"))
+    monkeypatch.setattr(L, "SAMPLE", 500)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    junk = F.when((F.col("lang") == "en") & (h == 3), "zz").otherwise(F.col("lang"))
+    wrong = F.when(h == 4, F.when(F.col("lang") == "de", "fr").otherwise("de")).otherwise(F.col("lang"))
+    for label in (junk, wrong):
+        model = L.trained(docs.withColumn("label", label), label="label")
+        out = L.identified(docs, model).select("lang", "language").collect()
+        assert np.mean([r["language"]["rejected"] for r in out]) <= 0.03
+        assert np.mean([r["language"]["lang"] == r["lang"] for r in out]) > 0.95
+    model = L.trained(docs.withColumn("label", junk), label="label")
+    english = [r["language"] for r in L.identified(docs.filter("lang = 'en'"), model).collect()]
+    assert np.median([r["score"] for r in english if r["lang"] == "en"]) > 0.75

@@ -129,6 +129,14 @@ def iso_date(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
+def long_of(key: str | None) -> int | None:
+    """A key's number, if it is one that a long holds."""
+    if not key or not re.fullmatch(r"-?[0-9]{1,19}", key):
+        return None
+    number = int(key)
+    return number if -(1 << 63) <= number < 1 << 63 else None
+
+
 def http_parts(block: bytes) -> tuple[bytes, bytes]:
     """Head (with its closing blank line) and payload of an HTTP response; without a head all is payload."""
     if not block.startswith(b"HTTP/"):
@@ -170,7 +178,7 @@ def arc_records(files: DataFrame, content: str = "content") -> DataFrame:
                     text = payload.decode("utf-8", "replace")
                     problem = r["problem"] or ("body is not UTF-8" if "\ufffd" in text and text.encode() != payload else None)
                     rows.append({
-                        "key": int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None,
+                        "key": long_of(key),
                         "record_id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>", "date": iso_date(r["date"]),
                         "url": None if r["url"] == "-" else r["url"], "digest": sha1(payload),
                         "head": head.decode("utf-8", "replace"), "payload": text, "problem": problem,

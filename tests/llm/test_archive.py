@@ -53,6 +53,15 @@ def test_round_trip_and_revisits(spark, scratch):
     assert got[9]["url"] is None and got[3]["url"] == "http://c/%20d%0A"
 
 
+def test_keys_of_all_longs(spark, scratch):
+    keys = [(1 << 63) - 1, -(1 << 63), 10**18, 10**18 + 1, -(10**18)]
+    rows = [(k, "u", "same", 1) for k in keys]
+    A.converted(spark.createDataFrame(rows, PAGES), f"{scratch}/w", "page_id", "url", "html")
+    got = {r["key"]: r["record_type"] for r in A.read_warc(spark, f"{scratch}/w").collect()}
+    assert got == {k: "response" if k == min(keys) else "revisit" for k in keys}
+    assert A.long_of(str(1 << 63)) is None and A.long_of(str(-(1 << 63) - 1)) is None and A.long_of("x") is None
+
+
 def test_smaller_payloads_are_responses(spark, scratch):
     rows = [(1, "u", "abc", 1), (2, "u", "abc", 1), (3, "u", "abcdef", 1), (4, "u", "abcdef", 1), (3, "u", "abcdef", 1)]
     A.converted(spark.createDataFrame(rows, PAGES), f"{scratch}/w", "page_id", "url", "html", least_bytes=4)

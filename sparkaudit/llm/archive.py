@@ -309,7 +309,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
                         digest = None
                     key, length = header_of(head, KEY), header_of(head, "Content-Length")
                     values = [
-                        int(key) if key else None, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"),
+                        long_of(key) if key else None, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"),
                         h.get("warc-date"), digest, len(payload) if response else int(length or 0),
                         h.get("warc-refers-to"), payload.decode("utf-8", "replace") if payloads and response else None,
                     ]

@@ -30,6 +30,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,19 +110,24 @@ def pivotal(items: DataFrame, levels: int, seed: int = SEED) -> list[DataFrame]:
     rising = [False] + [True] * (len(order) - 1)
 
     def level(depth: int, last: bool):
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(order, ascending=rising, na_position="first").reset_index(drop=True)
-            rng = np.random.default_rng([seed, depth, int(key[0]), int(key[1])])
-            share, at = rounded(rows["mass"].to_numpy(float), rows["share"].to_numpy(float), rng)
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            # Arrow's own types: a null beside long ids must not turn them into doubles.
+            frame = rows.select(order).to_pandas(types_mapper=pd.ArrowDtype)
+            rows = rows.take(pa.array(frame.sort_values(order, ascending=rising, na_position="first").index.to_numpy()))
+            place, chunk = (k.as_py() for k in key)
+            rng = np.random.default_rng([seed, depth, place, chunk])
+            share, at = rounded(rows["mass"].to_numpy().astype(float), rows["share"].to_numpy().astype(float), rng)
             if last and at >= 0:
                 share[at] = float(rng.random() < share[at])
-            return rows.assign(share=share, chunk=key[1] // FAN)
+            chunks = np.full(len(share), chunk // FAN, dtype=np.int64)
+            new = {"share": pa.array(share), "chunk": pa.array(chunks)}
+            return pa.table({c: new.get(c, rows[c]) for c in rows.column_names})
 
         return run
 
     done = []
     for depth in range(levels):
-        out = landed(items.groupBy("place", "chunk").applyInPandas(level(depth, depth == levels - 1), schema))
+        out = landed(items.groupBy("place", "chunk").applyInArrow(level(depth, depth == levels - 1), schema))
         done.append(out.filter(F.col("share").isin(0.0, 1.0)))
         items = out.filter(~F.col("share").isin(0.0, 1.0))
     return done
@@ -192,7 +198,9 @@ def with_copies(
         F.struct("size", "source_size", "target", "copies").alias(name),
     )
     same = F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s))
-    return docs.join(facts, same & (n_words(F.col(text)) == F.col(n))).drop(d, s, n)
+    joined = docs.join(facts, same & (n_words(F.col(text)) == F.col(n)), "left").drop(d, s, n)
+    # Every row has its item; one without would be a row lost, so it ends the job.
+    return joined.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.lit("a row without its item of the mix"))))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

@@ -66,9 +66,8 @@ def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
     converted(table(spark, d, "pages"), folder, "page_id", "url", "html")
     read = read_warc(spark, folder, payloads=False)
-    kept = read.filter(F.col("record_type") == "response").select(
-        F.col("record_id").alias("refers_to"), F.col("key").alias("to")
-    )
+    # Rows that repeat a page share a record id: one of them is enough to tell the key.
+    kept = read.filter(F.col("record_type") == "response").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("key").alias("to"))
     return read.join(kept, "refers_to", "left").select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("to").alias("refers_to"),
         "record_id", "url", "date",

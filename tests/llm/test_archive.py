@@ -86,3 +86,11 @@ def test_query_against_brute_force(spark):
         kept = first[html or ""]
         want = (len((html or "").encode()), b32(html), "response" if kept == k else "revisit", None if kept == k else kept)
         assert tuple(got[k][c] for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")) == want
+
+
+def test_query_keeps_one_row_per_repeated_page(spark, scratch):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (3, "w", "same"), (None, "x", "same"), (4, "y", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{scratch}/pages.parquet")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in op3_warc(spark, scratch).collect()]
+    want = [(1, "response", None)] * 2 + [(2, "revisit", 1), (3, "revisit", 1), (None, "revisit", 1), (4, "response", None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))

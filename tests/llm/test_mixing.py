@@ -96,3 +96,10 @@ def test_query(spark):
     for r in out:
         assert r["size"] == len((docs[r["doc_id"]]["text"] or "").encode().split())
         assert r["taken"] <= 3 * r["size"]
+
+
+def test_null_and_long_ids_keep_every_row(spark):
+    ids = [None, 2**60 + 1, 2**60 + 2, 2**60 + 3, -(2**63), 2**63 - 1]
+    rows = [(i, "w " * (3 + n % 5), s, 1, 2) for n, i in enumerate(ids) for s in ("a", "b", None)]
+    out = M.with_copies(docs_of(spark, rows)).collect()
+    assert sorted(str((r["doc_id"], r["source"])) for r in out) == sorted(str((r[0], r[2])) for r in rows)

@@ -151,6 +151,54 @@ NEAREST_SQL = """WITH v AS (
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    from sparkaudit.llm.trie import grafted, numbered, prefix_trie
+
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(*grafted(numbered(turns))).drop("node", "parent", "n_ends")
+
+
+TRIE_SQL = """WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS head,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                 lambda x: list_prepend(ascii(x)::BIGINT, [-1::BIGINT for i in range(8)])))),
+               lambda a, v: CASE WHEN v >= 0 THEN xor(a, v)
+                                 ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END) END),
+             4294967295::BIGINT) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+  b AS (
+    SELECT c.conv_id, 0 AS part, t.r, t.role, t.text FROM c JOIN t ON t.conv_id = c.head AND t.r <= c.h
+    UNION ALL SELECT c.conv_id, 1, t.r, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.r > c.h),
+  p AS (
+    SELECT c.conv_id, list({'role': b.role, 'text': b.text} ORDER BY b.part, b.r) FILTER (b.part IS NOT NULL) AS turns
+    FROM c LEFT JOIN b USING (conv_id) GROUP BY c.conv_id),
+  q AS (SELECT conv_id, coalesce(len(turns), 0) AS n, coalesce(turns, []) AS turns FROM p),
+  e AS (
+    SELECT conv_id, n, unnest(range(n + 1)) AS depth, turns FROM q),
+  m AS (
+    SELECT conv_id, n, depth, min(conv_id) OVER (PARTITION BY depth, turns[1:depth]) AS node,
+           CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].text)) ELSE 0 END AS bytes FROM e),
+  g AS (
+    SELECT node, depth, count(*) AS n_convs, max(n) AS deepest, any_value(bytes) AS bytes,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM m GROUP BY node, depth),
+  l AS (
+    SELECT g.*, a.node AS anc, a.depth AS anc_depth
+    FROM g JOIN m a ON a.conv_id = g.node AND a.depth <= g.depth),
+  s AS (
+    SELECT anc, anc_depth, count_if(depth = anc_depth + 1) AS n_children, count_if(deepest = depth) AS n_leaves,
+           sum((n_convs - 1) * bytes) AS saved_tokens
+    FROM l GROUP BY anc, anc_depth)
+  SELECT g.node AS conv_id, g.depth, p.node AS parent_conv_id, g.n_convs, s.n_children, s.n_leaves,
+         s.saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+  FROM g JOIN s ON s.anc = g.node AND s.anc_depth = g.depth
+  LEFT JOIN m p ON p.conv_id = g.node AND p.depth = g.depth - 1"""
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
     "op2_language_model": (op2_language_model, None),
@@ -162,4 +210,5 @@ QUERIES = {
     "op8_secrets": (op8_secrets, None),
     "op9_mixing": (op9_mixing, None),
     "op10_nearest": (op10_nearest, NEAREST_SQL),
+    "op11_prefix_trie": (op11_prefix_trie, TRIE_SQL),
 }

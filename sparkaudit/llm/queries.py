@@ -199,6 +199,16 @@ TRIE_SQL = """WITH t AS (
   LEFT JOIN m p ON p.conv_id = g.node AND p.depth = g.depth - 1"""
 
 
+def op12_token_files(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparkaudit.llm.token_files import read_token_files, write_token_files
+
+    folder = shared_folder(spark)
+    written = write_token_files(table(spark, d, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, folder, written, ids=False)
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
     "op2_language_model": (op2_language_model, None),
@@ -211,4 +221,5 @@ QUERIES = {
     "op9_mixing": (op9_mixing, None),
     "op10_nearest": (op10_nearest, NEAREST_SQL),
     "op11_prefix_trie": (op11_prefix_trie, TRIE_SQL),
+    "op12_token_files": (op12_token_files, None),
 }

@@ -209,6 +209,16 @@ def op12_token_files(spark: SparkSession, d: str) -> DataFrame:
     return read_token_files(spark, folder, written, ids=False)
 
 
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparkaudit.llm.alignment import aligned_documents
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return aligned_documents(docs, *paths)
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, URL_SQL),
     "op2_language_model": (op2_language_model, None),
@@ -222,4 +232,5 @@ QUERIES = {
     "op10_nearest": (op10_nearest, NEAREST_SQL),
     "op11_prefix_trie": (op11_prefix_trie, TRIE_SQL),
     "op12_token_files": (op12_token_files, None),
+    "op13_alignment": (op13_alignment, None),
 }

@@ -131,15 +131,17 @@ def percentile_grade(
     numbered = ranked(
         keyed, ["_score", *tie], partition_by, "_rank", "_n", M.is_scoreable(F.col("_score"))
     )
-    finite, infinite = M.is_scoreable(F.col("_score")), F.col("_score") == float("inf")
-    alone = F.col("_n") < 2
-    percentile = F.when(finite & alone, 50.0).when(finite, F.col("_rank") / F.col("_n") * 100.0)
+    graded = graded_by_rank(numbered, "_score", F.col("_rank"), F.col("_n"), bands)
+    return graded.drop("_score", "_rank", "_n")
+
+
+def graded_by_rank(numbered: DataFrame, score: str, rank: Column, n: Column, bands: list[tuple[float, str]] = M.GRADE_BANDS) -> DataFrame:
+    """Add percentile and grade of rows that know their rank among ``n`` scoreable ones; unscored ones have a NaN."""
+    finite, infinite = M.is_scoreable(F.col(score)), F.col(score) == float("inf")
+    alone = n < 2
+    percentile = F.when(finite & alone, 50.0).when(finite, rank / n * 100.0)
     grade = F.when(infinite | (finite & alone), M.UNGRADED).when(finite, M.grade_of(F.col("percentile"), bands))
-    return (
-        numbered.withColumn("percentile", percentile.when(infinite, 100.0).otherwise(0.0))
-        .withColumn("grade", grade.otherwise(""))
-        .drop("_score", "_rank", "_n")
-    )
+    return numbered.withColumn("percentile", percentile.when(infinite, 100.0).otherwise(0.0)).withColumn("grade", grade.otherwise(""))
 
 
 def audit_summary(df: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def registry() -> dict[str, tuple[Query, str | None]]:
-    from sparkaudit.queries import audit, lattice, points, reconcile, timeline
+    from sparkaudit.queries import audit, lattice, points, reconcile, streams, timeline
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (audit, reconcile, lattice, timeline, points):
+    for module in (audit, reconcile, lattice, timeline, points, streams):
         found.update(module.QUERIES)
     return found

@@ -470,6 +470,10 @@ def filter_report(spark, d):
     return hit.select("p_partkey", "p_name", "grade")
 
 
+MEDIA_AUDIT_SQL = f"""
+  SELECT path, size_bytes, codec, corrupt, corrupt_reason, percentile, grade, round(norm_efficiency, 9) AS norm_efficiency
+  FROM ({AUDITED_SQL})"""
+
 QUERIES = {
     "q_norm_efficiency": (norm_efficiency, f"""
       SELECT p_partkey, codec_factor, round(raw_efficiency, 6) AS raw_efficiency,
@@ -498,9 +502,7 @@ QUERIES = {
       SELECT path, has_payload AS probe_ok, corrupt, corrupt_reason, codec_factor,
              round(raw_efficiency, 9) AS raw_efficiency, round(norm_efficiency, 9) AS norm_efficiency
       FROM ({VERDICT_SQL})"""),
-    "q_media_audit": (media_audit, f"""
-      SELECT path, size_bytes, codec, corrupt, corrupt_reason, percentile, grade,
-             round(norm_efficiency, 9) AS norm_efficiency FROM ({AUDITED_SQL})"""),
+    "q_media_audit": (media_audit, MEDIA_AUDIT_SQL),
     "q_audit_csv_rows": (audit_csv_rows, AUDIT_CSV_SQL),
     "q_audit_text": (audit_text, AUDIT_TEXT_SQL),
     "q_vmaf_logs": (vmaf_logs, """

@@ -10,16 +10,16 @@ cell to the next.  Tables of every size go this way, in ``LEAST_SEGMENTS`` range
 
 The cut points come from a sample picked by a hash of the whole row, so rows that
 share an order key are not sampled together, and a task that is run again after a
-lost executor puts every row in the same cell.  Sampled rows are counted per key
-before they reach the driver: a key that many rows share is one of them.  Their number follows
-the number of ranges, not the number of rows.
+lost executor puts every row in the same cell.  The number of sampled rows follows the number of
+ranges, not the number of rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -29,6 +29,8 @@ LEAST_SEGMENTS = 4
 #: Beyond so many ranges they grow evenly; windows stream through a sorted cell, so that costs time, not memory.
 MOST_SEGMENTS = 1 << 16
 SAMPLES_PER_SEGMENT = 24
+#: Rows that one pass picks: enough for 64 ranges.
+SAMPLED = 64 * SAMPLES_PER_SEGMENT
 HASH_SPACE = 1 << 40
 SALTS = 16
 
@@ -60,17 +62,41 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
 
 
+def in_order(key: Sequence) -> tuple:
+    """A key's values as Spark orders them: null first, not-a-number last, texts by their bytes."""
+    return tuple(_value_in_order(v) for v in key)
+
+
+def _value_in_order(value) -> tuple:
+    if value is None:
+        return (0,)
+    if isinstance(value, float):
+        return (1, value != value, 0.0 if value != value else value)
+    if isinstance(value, str):
+        return (1, value.encode("utf-8", "surrogatepass"))
+    if isinstance(value, (list, tuple)):
+        return (1, [_value_in_order(v) for v in value])
+    return (1, value)
+
+
 def cut_points(df: DataFrame, order: Sequence[str]) -> list:
     """Ascending, distinct cut points of the order key, at about equal numbers of rows.
 
-    Two small jobs: a count, then the sampled keys with their number of rows.
+    One pass: the rows are counted while those of the smallest hashes are picked, which are a sample.
+    Beyond what ``SAMPLED`` rows can cut, a second pass samples at the rate that the count asks for.
     """
-    n = df.count()
+    counted = Observation()
+    place = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(HASH_SPACE))
+    placed = df.observe(counted, F.count(F.lit(1)).alias("n")).select(_key(order).alias("key"), place.alias("place"))
+    picked = placed.orderBy("place").limit(SAMPLED).select("key").collect()
+    n = counted.get["n"]
     segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, -(-n // rows_per_segment(df))))
     wanted = segments * SAMPLES_PER_SEGMENT
-    place = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(HASH_SPACE))
-    sample = df.filter(place < F.lit(int(HASH_SPACE * min(1.0, wanted / max(n, 1)))))
-    keys = sample.groupBy(_key(order).alias("key")).count().orderBy("key").collect()
+    if wanted <= SAMPLED or n <= SAMPLED:
+        keys = [{"key": key, "count": times} for key, times in sorted(Counter(r["key"] for r in picked).items(), key=lambda k: in_order(k[0]))]
+    else:
+        sample = df.filter(place < F.lit(int(HASH_SPACE * min(1.0, wanted / n))))
+        keys = sample.groupBy(_key(order).alias("key")).count().orderBy("key").collect()
     step = sum(r["count"] for r in keys) / segments
     cuts, seen, bound = [], 0, step
     for r in keys:

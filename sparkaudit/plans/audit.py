@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkaudit.landing import landed
 from sparkaudit.operators import audit as A
 from sparkaudit.sinks.audit import write_audit_csv, write_audit_text
 from sparkaudit.sources.media import read_probe_payloads, read_vmaf_logs
@@ -34,7 +35,8 @@ def audit_probes(
     else:
         files = files.withColumn("vmaf_mean", F.lit(None).cast("double")).withColumn("vmaf_reference", F.lit(""))
     rankable = F.when(~F.col("corrupt"), F.col("norm_efficiency"))
-    ranked = A.percentile_grade(files.withColumn("_rankable", rankable), "_rankable")
+    # Ranking reads its input several times; payloads are parsed once.
+    ranked = A.percentile_grade(landed(files).withColumn("_rankable", rankable), "_rankable")
     return ranked.drop("_rankable")
 
 

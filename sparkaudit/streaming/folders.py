@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkaudit.landing import shared_folder
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a local one in a session of one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def finished(query: StreamingQuery) -> None:

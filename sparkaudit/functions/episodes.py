@@ -15,12 +15,16 @@ SEASON_DIR = r"(?i)(?:season[\s._-]*(\d+)|s[\s._-]?(\d+))"
 EPISODE_RANGE = r"(?i)s(\d+)e(\d+)[-–]?e(\d+)"
 EPISODE_SINGLE = [r"(?i)s(\d+)e(\d+)", r"(\d+)[xX](\d+)", r"(?<!\d)(\d)(\d{2})(?!\d)"]
 
+MOST_NUMBER = (1 << 31) - 1
+
 PAIRS = "array<struct<season:int,episode:int>>"
 
 
 def _number(digits: Column) -> Column:
-    """Digits to int, 0 for none; no cast here can fail, as failing casts are costly per row."""
-    return F.concat(F.lit("0"), F.substring(F.ltrim(digits, F.lit("0")), 1, 9)).cast("int")
+    """Digits to int, 0 for none, null beyond an int; no cast here can fail, as failing casts are costly per row."""
+    plain = F.ltrim(digits, F.lit("0"))
+    whole = F.concat(F.lit("0"), F.substring(plain, 1, 18)).cast("bigint")
+    return F.when((F.length(plain) <= 10) & (whole <= MOST_NUMBER), whole.cast("int"))
 
 
 def _group(text: Column, pattern: str, index: int) -> Column:

@@ -22,13 +22,18 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """The table as Parquet, read back; its lineage ends there.  Folders go when the program ends, or by ``forget_landed``."""
+def landed(df: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """The table as Parquet, read back; its lineage ends there.
+
+    Its folder goes when the program ends, or by ``forget_landed``; it is added to ``folders`` for that.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, "landed")
     if not _landed:
         atexit.register(forget_landed)
     _landed.append(folder)
+    if folders is not None:
+        folders.append(folder)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -38,8 +43,10 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget_landed() -> None:
-    """Delete all landed tables of this program; nothing may read them any more."""
+def forget_landed(folders: list[str] | None = None) -> None:
+    """Delete landed tables, all of this program's or those of the given folders; nothing may read them any more."""
     spark = SparkSession.getActiveSession()
-    while spark is not None and _landed:
-        delete_folder(spark, _landed.pop())
+    for folder in list(_landed if folders is None else folders):
+        if spark is not None and folder in _landed:
+            delete_folder(spark, folder)
+            _landed.remove(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -222,6 +224,35 @@ def sort_report(df: DataFrame, key: str = "efficiency", desc: bool = False) -> D
     return df.orderBy(*sort_order(key, desc))
 
 
+SORT_KEYS = ("efficiency", "vmaf", "size", "bitrate", "codec", "fps", "duration", "resolution", "name")
+
+
+def report_places(df: DataFrame, keys: Sequence[str] = SORT_KEYS) -> DataFrame:
+    """Each path's place (from 1) in the order of ``sort_report``: (sort_key, turned, path, place) for all keys and both directions.
+
+    All keys are ranked together, by ranges, so nothing is sorted in one task.  Turned round, a row comes after all
+    rows of greater keys, and among equal ones still by path.
+    """
+    parts = ["_whole", "_real", "_text"]
+    kinds = {"string": "_text", "double": "_real", "float": "_real"}
+    rows = None
+    for key in keys:
+        columns = sort_keys(key)
+        types = [f.dataType.simpleString() for f in df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).schema]
+        own = {kinds.get(t, "_whole"): c for c, t in zip(columns, types)}
+        values = [own.get(p, F.lit(None)).cast(t).alias(p) for p, t in zip(parts, ("bigint", "double", "string"))]
+        part = df.select(F.lit(key).alias("sort_key"), "path", *values)
+        rows = part if rows is None else rows.unionByName(part)
+    numbered = ranked(rows.withColumn("_parts", F.split("path", "/")), [*parts, "_parts"], ["sort_key"], "_place", "_all")
+    equal = numbered.groupBy(*[F.col(c).alias(f"_e{c}") for c in ["sort_key", *parts]]).agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in ["sort_key", *parts]])
+    turned = F.col("_all") - (F.col("_first") + F.col("_n") - 1) + (F.col("_place") - F.col("_first") + 1)
+    both = F.array(F.struct(F.lit(False).alias("turned"), F.col("_place").alias("place")), F.struct(F.lit(True).alias("turned"), turned.alias("place")))
+    return numbered.join(equal, same).select("sort_key", "path", F.inline(both))
+
+
 def path_order(df: DataFrame, path: str = "path") -> DataFrame:
     """Component-wise path order."""
     return df.orderBy(F.split(path, "/"))

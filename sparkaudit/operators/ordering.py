@@ -16,8 +16,8 @@ ranges, not the number of rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -93,7 +93,8 @@ def cut_points(df: DataFrame, order: Sequence[str]) -> list:
     segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, -(-n // rows_per_segment(df))))
     wanted = segments * SAMPLES_PER_SEGMENT
     if wanted <= SAMPLED or n <= SAMPLED:
-        keys = [{"key": key, "count": times} for key, times in sorted(Counter(r["key"] for r in picked).items(), key=lambda k: in_order(k[0]))]
+        equal = groupby(sorted((r["key"] for r in picked), key=in_order), key=in_order)
+        keys = [{"key": same[0], "count": len(same)} for same in (list(g) for _, g in equal)]
     else:
         sample = df.filter(place < F.lit(int(HASH_SPACE * min(1.0, wanted / n))))
         keys = sample.groupBy(_key(order).alias("key")).count().orderBy("key").collect()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkaudit.functions.episodes import is_aired, report_ok, season_ep_label
+from sparkaudit.functions.episodes import is_aired, season_ep_label
 
 SHOW = "show_name"
 KEYS = [SHOW, "season", "episode"]
@@ -50,9 +50,12 @@ def local_episode_count(local: DataFrame, by: Sequence[str] = (SHOW,)) -> DataFr
 def aired_count(
     remote: DataFrame, as_of: str | Column, by: Sequence[str] = ("series_id",), landed: DataFrame | None = None
 ) -> DataFrame:
-    """Aired episodes per series.  ``landed`` names the series whose catalog was fetched: those without a row have 0."""
+    """Aired episodes per series.  ``landed`` names the series whose catalog was fetched: those without a row have 0.
+
+    So do series that ``remote`` has in a row without an episode only.
+    """
     by = list(by)
-    rows = remote.select(*by, is_aired(F.col("airdate"), as_of).alias("_aired"))
+    rows = remote.select(*by, F.coalesce(is_aired(F.col("airdate"), as_of), F.lit(False)).alias("_aired"))
     if landed is not None:
         rows = rows.unionByName(landed.select(*by, F.lit(False).alias("_aired")))
     return rows.groupBy(*by).agg(F.count_if("_aired").alias("aired"))
@@ -83,10 +86,41 @@ def match_scores(
         F.sum(known * F.col("_hit")).alias("matched"),
         F.sum("_listed").alias("n_remote"),
     )
-    score = F.coalesce(F.try_divide("matched", "known"), F.lit(0.0))
+    score = score_of(F.col("matched"), F.col("known"))
     return per_show.filter(F.col("_files") > 0).select(show, "known", "matched", "n_remote", score.alias("score"))
 
 
+def show_stats(local: DataFrame, remotes: dict[str, DataFrame], as_of: str | Column, show: str = SHOW) -> DataFrame:
+    """All that reports count, per show of the local table, in one grouped pass over it and any number of catalogs.
+
+    local_episodes, known (parsed files); and for each catalog x: matched_x (parsed files that an aired row lists),
+    n_x (rows), missing_x (aired rows without a file, repeats counted) and extra_x (parsed files that no row lists).
+    """
+    keys = [show, "season", "episode"]
+    zero, one = F.lit(0), F.lit(1)
+    names = [f"_{kind}_{x}" for x in remotes for kind in ("listed", "aired")]
+    rows = local.select(*keys, one.alias("_files"), *[zero.alias(c) for c in names])
+    for x, remote in remotes.items():
+        own = {f"_listed_{x}": one, f"_aired_{x}": is_aired(F.col("airdate"), as_of).cast("int")}
+        rows = rows.unionByName(remote.select(*keys, zero.alias("_files"), *[own.get(c, zero).alias(c) for c in names]))
+    per_key = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ["_files", *names]])
+    known = F.when(F.col("episode") != 0, F.col("_files")).otherwise(0)
+    counts = []
+    for x in remotes:
+        listed, aired = F.col(f"_listed_{x}"), F.col(f"_aired_{x}")
+        counts += [
+            F.sum(F.when(aired > 0, known).otherwise(0)).alias(f"matched_{x}"), F.sum(listed).alias(f"n_{x}"),
+            F.sum(F.when(known == 0, aired).otherwise(0)).alias(f"missing_{x}"),
+            F.sum(F.when(listed == 0, known).otherwise(0)).alias(f"extra_{x}"),
+        ]
+    per_show = per_key.groupBy(show).agg(F.sum("_files").alias("local_episodes"), F.sum(known).alias("known"), *counts)
+    return per_show.filter(F.col("local_episodes") > 0)
+
+
+def score_of(matched: Column, known: Column) -> Column:
+    return F.coalesce(F.try_divide(matched, known), F.lit(0.0))
+
+
 def match_local_remote(
     local: DataFrame, remote: DataFrame, as_of: str | Column, keys: Sequence[str] = KEYS
 ) -> DataFrame:
@@ -206,13 +240,3 @@ def only_issues(reports: DataFrame) -> DataFrame:
 
 def show_order(reports: DataFrame) -> DataFrame:
     return reports.orderBy(F.lower(SHOW), SHOW)
-
-
-def with_outcome(reports: DataFrame, missing: DataFrame, extra: DataFrame) -> DataFrame:
-    """Add missing_count, extra_count and ok."""
-    lacking = missing.groupBy(SHOW).agg(F.count(F.lit(1)).alias("missing_count"))
-    beyond = extra.groupBy(SHOW).agg(F.count(F.lit(1)).alias("extra_count"))
-    joined = reports.join(lacking, SHOW, "left").join(beyond, SHOW, "left").fillna(
-        0, ["missing_count", "extra_count"]
-    )
-    return joined.withColumn("ok", report_ok(F.col("missing_count"), F.col("lookup_error")))

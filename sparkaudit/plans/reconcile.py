@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkaudit.functions.episodes import report_ok
+from sparkaudit.landing import forget_landed, landed
 from sparkaudit.operators import reconcile as R
 
 # Catalog names and report texts.
@@ -31,12 +32,11 @@ class Reconciled:
     extra: DataFrame
     remote: DataFrame
     local: DataFrame
-    kept: tuple[DataFrame, ...] = ()
+    folders: list[str] = field(default_factory=list)
 
     def unpersist(self) -> None:
-        """Give back the storage of the tables kept while the report is built."""
-        for df in self.kept:
-            df.unpersist()
+        """Delete the tables landed for the report; none of its results can be read then."""
+        forget_landed(self.folders)
 
 
 def _remote_of(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -45,35 +45,34 @@ def _remote_of(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
     return episodes.join(chosen, "series_id").select(SHOW, "ordinal", "season", "episode", "name", "airdate")
 
 
-def _listed(remote: DataFrame, name: str) -> DataFrame:
-    return remote.groupBy(SHOW).agg(F.count(F.lit(1)).alias(name))
+def _episodes(catalog: DataFrame) -> DataFrame:
+    """A catalog without the marks of its landed lists."""
+    return catalog.filter("episode IS NOT NULL")
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Parsed once, read by several branches; lost blocks are rebuilt from their source."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _first_hits(hits: DataFrame, catalog: DataFrame, local: DataFrame, as_of: str, landed_series: DataFrame | None) -> DataFrame:
+    aired = R.aired_count(catalog, as_of, landed=landed_series)
+    return R.pick_candidate(hits, aired, R.local_episode_count(local))
 
 
 def reconcile_one(
     local: DataFrame, hits: DataFrame, episodes: DataFrame, as_of: str, source: str = CATALOG_A,
-    landed: DataFrame | None = None,
+    landed_series: DataFrame | None = None,
 ) -> Reconciled:
-    """One catalog.  ``hits`` and ``episodes`` are what the sources of that catalog return, ``landed`` its fetched series."""
-    local, episodes = _keep(local), _keep(episodes)
-    shows = local.groupBy(SHOW).agg(F.count(F.lit(1)).alias("local_episodes"))
+    """One catalog.  ``hits`` and ``episodes`` are what the sources of that catalog return.
+
+    Series whose catalog landed empty are known by a row without an episode (``read_catalogs``) or by ``landed_series``.
+    """
+    folders: list[str] = []
+    local, catalog = landed(local, folders), landed(episodes, folders)
     if source == CATALOG_A:
-        candidates = R.pick_candidate(
-            hits, R.aired_count(episodes, as_of, landed=landed), R.local_episode_count(local)
-        )
+        candidates = landed(_first_hits(hits, catalog, local, as_of, landed_series), folders)
     else:
-        candidates = hits.filter(F.col("rank") == 1)
-    remote = _keep(_remote_of(candidates, episodes))
-    found = (
-        shows.join(candidates.select(SHOW, "id", "title", "status", F.lit(True).alias("_hit")), SHOW, "left")
-        .join(_listed(remote, "remote_episodes"), SHOW, "left")
-        .fillna(0, ["remote_episodes"])
-    )
-    no_hit, empty = F.col("_hit").isNull(), F.col("remote_episodes") == 0
+        candidates = landed(hits.filter(F.col("rank") == 1), folders)
+    remote = _remote_of(candidates, _episodes(catalog))
+    stats = R.show_stats(local, {"r": remote}, as_of)
+    found = stats.join(candidates.select(SHOW, "id", "title", "status", F.lit(True).alias("_hit")), SHOW, "left")
+    no_hit, empty = F.col("_hit").isNull(), F.col("n_r") == 0
     error = F.when(no_hit, NO_MATCH[source]).when(empty, NO_EPISODES[source])
     if source == CATALOG_A:
         title = F.when(empty, F.col("title")).otherwise(F.coalesce("title", SHOW))
@@ -88,9 +87,10 @@ def reconcile_one(
         F.when(~no_hit, maze).alias("tvmaze_id"),
         F.when(~no_hit, status).alias("status"),
         F.lit(source).alias("source_used"),
-        "local_episodes", "remote_episodes", error.alias("lookup_error"),
+        "local_episodes", F.col("n_r").alias("remote_episodes"), error.alias("lookup_error"),
+        F.col("missing_r").alias("missing_count"), F.when(error.isNull(), F.col("extra_r")).otherwise(0).alias("extra_count"),
     )
-    return _compare(reports, local, remote, as_of, (local, episodes, remote))
+    return _reconciled(reports, local, remote, as_of, folders)
 
 
 def reconcile_both(
@@ -102,47 +102,46 @@ def reconcile_both(
     as_of: str,
     landed_a: DataFrame | None = None,
 ) -> Reconciled:
-    """Both catalogs, the better match per show; a tie goes to catalog B when it lists episodes."""
-    local, episodes_a, episodes_b = _keep(local), _keep(episodes_a), _keep(episodes_b)
-    shows = local.groupBy(SHOW).agg(F.count(F.lit(1)).alias("local_episodes"))
-    aired = R.aired_count(episodes_a, as_of, landed=landed_a)
-    first_a = _keep(R.pick_candidate(hits_a, aired, R.local_episode_count(local)))
-    first_b = hits_b.filter(F.col("rank") == 1)
-    remote_a, remote_b = _keep(_remote_of(first_a, episodes_a)), _keep(_remote_of(first_b, episodes_b))
-    chosen = R.choose_catalog(
-        R.match_scores(local, remote_a, as_of), R.match_scores(local, remote_b, as_of)
-    ).select(SHOW, "chosen", "n_a", "n_b")
-    chosen = _keep(chosen)
-    side = chosen.select(SHOW, "chosen")
-    remote = (
-        remote_a.withColumn("_side", F.lit("a"))
-        .unionByName(remote_b.withColumn("_side", F.lit("b")))
-        .join(side.withColumnRenamed("chosen", "_side"), [SHOW, "_side"], "left_semi")
-        .drop("_side")
-    )
+    """Both catalogs, the better match per show; a tie goes to catalog B when it lists episodes.
+
+    Files and both catalogs are grouped once by (show, season, episode); scores, missing and extra counts follow
+    from there, so the reports need no join of episodes at all.
+    """
+    folders: list[str] = []
+    local, catalog_a, catalog_b = (landed(t, folders) for t in (local, episodes_a, episodes_b))
+    first_a = landed(_first_hits(hits_a, catalog_a, local, as_of, landed_a), folders)
+    first_b = landed(hits_b.filter(F.col("rank") == 1), folders)
+    remotes = {"a": _remote_of(first_a, _episodes(catalog_a)), "b": _remote_of(first_b, _episodes(catalog_b))}
+    stats = R.show_stats(local, remotes, as_of)
+    score = {x: R.score_of(F.col(f"matched_{x}"), F.col("known")) for x in remotes}
+    better_b = (score["b"] >= score["a"]) & (F.col("n_b") > 0)
+    stats = landed(stats.withColumn("chosen", F.when(better_b, "b").when(F.col("n_a") > 0, "a")), folders)
+    remote = None
+    for x, rows in remotes.items():
+        part = rows.join(stats.filter(F.col("chosen") == x).select(SHOW), SHOW, "left_semi")
+        remote = part if remote is None else remote.unionByName(part)
     a = first_a.select(SHOW, F.col("id").alias("_id"), F.col("title").alias("_ta"), F.col("status").alias("_sa"))
     b = first_b.select(SHOW, F.col("title").alias("_tb"), F.col("status").alias("_sb"))
-    found = shows.join(chosen, SHOW, "left").join(a, SHOW, "left").join(b, SHOW, "left")
+    found = stats.join(a, SHOW, "left").join(b, SHOW, "left")
     is_a, is_b = F.col("chosen") == "a", F.col("chosen") == "b"
+    of_chosen = lambda name: F.when(is_b, F.col(f"{name}_b")).when(is_a, F.col(f"{name}_a")).otherwise(0)
     reports = found.select(
         SHOW,
         F.when(is_b, F.coalesce("_tb", SHOW)).when(is_a, F.coalesce("_ta", SHOW)).alias("matched_title"),
         F.when(is_a | is_b, F.col("_id")).alias("tvmaze_id"),
         F.when(is_b, F.col("_sb")).when(is_a, F.coalesce("_sa", F.lit("Unknown"))).alias("status"),
         F.when(is_b, CATALOG_B).when(is_a, CATALOG_A).otherwise(BOTH).alias("source_used"),
-        "local_episodes",
-        F.when(is_b, F.col("n_b")).when(is_a, F.col("n_a")).otherwise(0).alias("remote_episodes"),
+        "local_episodes", of_chosen("n").alias("remote_episodes"),
         F.when(F.col("chosen").isNull(), NO_MATCH[BOTH]).alias("lookup_error"),
+        of_chosen("missing").alias("missing_count"), of_chosen("extra").alias("extra_count"),
     )
-    kept = (local, episodes_a, episodes_b, first_a, remote_a, remote_b, chosen)
-    return _compare(reports, local, remote, as_of, kept)
+    return _reconciled(reports, local, remote, as_of, folders)
 
 
-def _compare(
-    reports: DataFrame, local: DataFrame, remote: DataFrame, as_of: str, kept: tuple[DataFrame, ...]
-) -> Reconciled:
-    """Two-way difference; shows with a lookup error have no remote rows and no extras."""
+def _reconciled(reports: DataFrame, local: DataFrame, remote: DataFrame, as_of: str, folders: list[str]) -> Reconciled:
+    """Reports with their outcome, and the two-way difference in rows; shows with a lookup error have no remote rows and no extras."""
     missing = R.missing_from_local(remote, local, as_of)
     usable = reports.filter(F.col("lookup_error").isNull()).select(SHOW)
     extra = R.extra_in_local(local, remote).join(usable, SHOW, "left_semi")
-    return Reconciled(R.with_outcome(reports, missing, extra), missing, extra, remote, local, kept)
+    judged = reports.withColumn("ok", report_ok(F.col("missing_count"), F.col("lookup_error")))
+    return Reconciled(judged, missing, extra, remote, local, folders)

@@ -457,6 +457,45 @@ def _sort_top_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+SORT_KEYS = {
+    "efficiency": ["isinf(eff)", "eff"],
+    "vmaf": ["vmaf IS NULL", "-coalesce(vmaf, 0)"],
+    "size": ["o_custkey"],
+    "bitrate": ["o_totalprice"],
+    "codec": ["o_orderpriority"],
+    "fps": ["(o_custkey % 7)::DOUBLE"],
+    "duration": ["(o_orderkey % 7200)::DOUBLE"],
+    "resolution": ["(o_custkey % 50) * (o_orderkey % 40)"],
+    "name": ["'f' || o_orderkey"],
+}
+
+
+def sort_places(spark, d):
+    """Every file's place in the report, for all nine keys in both directions."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    files = table(spark, d, "orders").select(
+        F.concat(F.lit("/lib/f"), key.cast("string")).alias("path"),
+        cust.alias("size_bytes"), F.col("o_totalprice").alias("bitrate_bps"), F.col("o_orderpriority").alias("codec"),
+        (cust % 7).cast("double").alias("fps"), (key % 7200).cast("double").alias("duration_s"),
+        (cust % 50).alias("width"), (key % 40).alias("height"),
+        F.when(key % 5 != 0, cust % 100 * 1.0).alias("vmaf_mean"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(float("inf"))).otherwise(F.col("o_totalprice")).alias("norm_efficiency"),
+    )
+    return A.report_places(files)
+
+
+def _sort_places_sql() -> str:
+    base = """(SELECT *, '/lib/f' || o_orderkey AS path,
+      CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 100 * 1.0::DOUBLE END AS vmaf,
+      CASE WHEN o_orderstatus = 'P' THEN 'inf'::DOUBLE ELSE o_totalprice END AS eff FROM orders)"""
+    parts = []
+    for key, cols in SORT_KEYS.items():
+        for desc in (False, True):
+            order = ", ".join(f"{c} {'DESC' if desc else 'ASC'}" for c in cols)
+            parts.append(f"SELECT '{key}' AS sort_key, {desc} AS turned, path, row_number() OVER (ORDER BY {order}, path) AS place FROM {base}")
+    return " UNION ALL ".join(parts)
+
+
 def path_top(spark, d):
     """Each page with its place in component-wise path order."""
     pages = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
@@ -516,6 +555,7 @@ QUERIES = {
              '7' AS vmaf_reference FROM documents d LEFT JOIN labels USING (doc_id)"""),
     "q_formatters": (formatters, FORMATTERS_SQL),
     "q_sort_top": (sort_top, _sort_top_sql()),
+    "q_sort_places": (sort_places, _sort_places_sql()),
     "q_path_top": (path_top, """
       SELECT page_id, url AS path, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS place FROM pages"""),
     "q_filter_report": (filter_report, f"""

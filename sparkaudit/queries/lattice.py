@@ -173,6 +173,12 @@ def mutated(spark, d):
     return P.mutate_cells(cells, 3, 21, source)[1]
 
 
+def mutated_cells(spark, d):
+    """The lattices after the change, all cells."""
+    source = token_pool(doc_tokens(spark, d, 5), ["lattice_id", "idx"])
+    return P.mutate_cells(doc_cells(spark, d, 5), 3, 21, source)[0]
+
+
 MUTATED_SQL = f"""{FIVE_CELLS},
   pool AS (SELECT row_number() OVER (ORDER BY lattice_id, idx) - 1 AS i, token FROM tok),
   placed AS (SELECT *, row_number() OVER (PARTITION BY lattice_id ORDER BY {_draw_sql(21, 'lattice_id', 'r', 'c')}, r, c) AS place
@@ -230,6 +236,9 @@ QUERIES = {
       FROM (SELECT o_orderkey, {_draw_sql(5, 'o_orderkey')} / 1152921504606846976.0::DOUBLE AS u FROM orders)"""),
     "q_generated": (generated, GENERATED_SQL),
     "q_mutate": (mutated, MUTATED_SQL),
+    "q_mutated_cells": (mutated_cells, f"""
+      SELECT c.lattice_id, c.r, c.c, coalesce(m.new, c.token) AS token
+      FROM ({FIVE_CELLS} SELECT * FROM cell) c LEFT JOIN ({MUTATED_SQL}) m USING (lattice_id, r, c)"""),
     "q_targets": (targets, """
       SELECT DISTINCT url AS path FROM pages WHERE string_split(url, '/')[-1] NOT IN ('en', 'de')"""),
 }

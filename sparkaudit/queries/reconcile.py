@@ -433,8 +433,7 @@ def order_local(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pick_candidate(spark, d):
-    payloads = flat_payloads(spark, d)
-    aired = R.aired_count(S.read_catalog_flat(payloads), AS_OF, landed=S.landed_catalogs(payloads))
+    aired = R.aired_count(S.read_catalogs(flat_payloads(spark, d)), AS_OF)
     return R.pick_candidate(search_flat(spark, d), aired, R.local_episode_count(order_local(spark, d)))
 
 
@@ -501,9 +500,9 @@ SHOW_SQL = f"""
 def both_result(spark: SparkSession, d: str) -> Reconciled:
     return reconcile_both(
         order_local(spark, d),
-        search_flat(spark, d), S.read_catalog_flat(flat_payloads(spark, d)),
+        search_flat(spark, d), S.read_catalogs(flat_payloads(spark, d)),
         search_paged(spark, d), S.read_catalog_paged(paged_payloads(spark, d)),
-        AS_OF, S.landed_catalogs(flat_payloads(spark, d)),
+        AS_OF,
     )
 
 
@@ -523,9 +522,7 @@ def reconcile_single(spark, d):
     """Each catalog alone, with its own two error rows."""
     local = order_local(spark, d)
     flat = flat_payloads(spark, d)
-    a = reconcile_one(
-        local, search_flat(spark, d), S.read_catalog_flat(flat), AS_OF, "tvmaze", S.landed_catalogs(flat)
-    )
+    a = reconcile_one(local, search_flat(spark, d), S.read_catalogs(flat), AS_OF, "tvmaze")
     b = reconcile_one(local, search_paged(spark, d), S.read_catalog_paged(paged_payloads(spark, d)), AS_OF, "thetvdb")
     return a.reports.unionByName(b.reports)
 

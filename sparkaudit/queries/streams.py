@@ -18,6 +18,9 @@ from sparkaudit.streaming.utterances import start_utterances, wait_for_fragments
 
 GAP_HOURS, PER_PART = 12, 5
 PIECES = 3
+#: Years of orders are weeks of manifests here, so that a day has many.
+SLOWER = 50
+LATENESS = 20 * DAY
 
 
 def said(events):
@@ -68,7 +71,7 @@ def order_manifests(spark, d):
     orders = table(spark, d, "orders").withColumn("l_orderkey", F.col("o_orderkey"))
     none = F.array().cast("array<struct<file:string,transform:string,message:string>>")
     return orders.join(items, "l_orderkey", "left").select(
-        (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 500).alias("timestamp"), F.col("o_orderkey").alias("seed"),
+        (F.expr(f"unix_seconds(CAST(o_orderdate AS TIMESTAMP)) DIV {SLOWER}") + F.col("o_custkey") % 500).alias("timestamp"), F.col("o_orderkey").alias("seed"),
         F.col("o_orderstatus").alias("matrix_fp"), F.col("o_totalprice").alias("entropy"), F.lit(0.0).alias("depth"),
         F.coalesce("actions", none).alias("actions"),
     )
@@ -78,13 +81,13 @@ def manifest_files(spark, d):
     """Manifests written as files, read back, one row per action."""
     folder = work_folder(spark)
     write_manifests(order_manifests(spark, d), folder)
-    return explode_actions(read_run_manifests(spark, folder)).select(
+    return explode_actions(read_run_manifests(spark, folder, one_per_file=False)).select(
         "timestamp", "seed", "matrix_fp", "entropy", "action_no", "file", "transform", "message"
     )
 
 
-MANIFESTS_SQL = """
-  SELECT (epoch_us(o_orderdate) // 1000000 + o_custkey % 500)::BIGINT AS timestamp, o_orderkey AS seed, o_orderstatus AS matrix_fp,
+MANIFESTS_SQL = f"""
+  SELECT (epoch_us(o_orderdate) // 1000000 // {SLOWER} + o_custkey % 500)::BIGINT AS timestamp, o_orderkey AS seed, o_orderstatus AS matrix_fp,
          o_totalprice AS entropy"""
 MANIFEST_FILES_SQL = f"""
   SELECT m.*, CASE WHEN l.l_orderkey IS NOT NULL
@@ -100,7 +103,8 @@ def manifest_stream(spark, d):
     manifests = order_manifests(spark, d)
     for piece in range(PIECES):
         write_manifests(manifests.filter(F.col("seed") % PIECES == piece), f"{folder}/landing")
-        finished(start_manifests(landed_manifests(spark, f"{folder}/landing"), f"{folder}/store", f"{folder}/checkpoint", 1000 * DAY))
+        landing = landed_manifests(spark, f"{folder}/landing", one_per_file=False)
+        finished(start_manifests(landing, f"{folder}/store", f"{folder}/checkpoint", LATENESS))
     tables = [stored_manifests(spark, f"{folder}/store", late).withColumn("late", F.lit(late)) for late in (False, True)]
     return tables[0].unionByName(tables[1]).select("timestamp", "seed", "matrix_fp", "entropy", F.size("actions").alias("actions"), "late")
 
@@ -110,7 +114,7 @@ MANIFEST_STREAM_SQL = f"""
   k AS (SELECT *, row_number() OVER (PARTITION BY timestamp ORDER BY piece, seed) AS copy FROM m),
   b AS (SELECT piece, max(max(timestamp)) OVER (ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m GROUP BY piece)
   SELECT timestamp, seed, matrix_fp, entropy, (SELECT count(*) FROM lineitem WHERE l_orderkey = seed)::INT AS actions,
-         coalesce(timestamp < before - {1000 * DAY}, false) AS late
+         coalesce(timestamp < before - {LATENESS}, false) AS late
   FROM k JOIN b USING (piece) WHERE copy = 1
 """
 

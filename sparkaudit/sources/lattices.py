@@ -95,5 +95,6 @@ def explode_actions(manifests: DataFrame) -> DataFrame:
     ).select("*", "_a.file", "_a.transform", "_a.message").drop("_a")
 
 
-def read_run_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def read_run_manifests(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Manifests of one document a file, over any number of lines; or of one a line, as ``write_manifests`` writes them."""
+    return spark.read.schema(MANIFEST).option("multiLine", one_per_file).json(path)

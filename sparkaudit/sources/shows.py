@@ -56,16 +56,26 @@ def read_catalog_flat(payloads: DataFrame, by: str = "series_id", payload: str =
 
     A missing type counts as regular, any other value (an explicit null too) does not.
     """
-    raw = payloads.select(
-        F.col(by).alias("series_id"),
-        F.posexplode(F.from_json(F.col(payload), "array<string>")).alias("ordinal", "_raw"),
-    ).withColumn("e", F.from_json("_raw", FLAT_EPISODE))
+    return read_catalogs(payloads, by, payload).filter("ordinal IS NOT NULL")
+
+
+def read_catalogs(payloads: DataFrame, by: str = "series_id", payload: str = "payload") -> DataFrame:
+    """As ``read_catalog_flat``, with one more row for each landed list: its ordinal and all fields are null.
+
+    A payload is parsed once for both, its episodes and whether it landed at all.
+    """
+    parsed = payloads.select(F.col(by).alias("series_id"), F.from_json(F.col(payload), "array<string>").alias("_list"))
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.col("_list"))
+    raw = parsed.select("series_id", F.posexplode(marked).alias("_at", "_raw")).withColumn("e", F.from_json("_raw", FLAT_EPISODE))
     has_type = F.array_contains(F.json_object_keys("_raw"), "type")
     regular = F.when(F.col("e.type").isNull(), ~has_type).otherwise(F.col("e.type") == "regular")
-    return raw.filter(regular & (F.col("e.season") != 0) & (F.col("e.number") != 0)).select(
-        "series_id", F.col("ordinal").cast("bigint").alias("ordinal"),
+    mark = F.col("_at") == 0
+    kept = raw.filter(mark | (regular & (F.col("e.season") != 0) & (F.col("e.number") != 0)))
+    text = lambda c: F.when(~mark, F.coalesce(c, F.lit("")))
+    return kept.select(
+        "series_id", F.when(~mark, F.col("_at").cast("bigint") - 1).alias("ordinal"),
         F.col("e.season").alias("season"), F.col("e.number").alias("episode"),
-        F.coalesce("e.name", F.lit("")).alias("name"), F.coalesce("e.airdate", F.lit("")).alias("airdate"),
+        text("e.name").alias("name"), text("e.airdate").alias("airdate"),
     )
 
 

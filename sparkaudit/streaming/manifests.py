@@ -13,8 +13,8 @@ DAY = 24 * 3600
 FIELDS = [c.split()[0] for c in MANIFEST.split(", ")[:5]] + ["actions"]
 
 
-def landed_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(MANIFEST).option("multiLine", True).json(path)
+def landed_manifests(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    return spark.readStream.schema(MANIFEST).option("multiLine", one_per_file).json(path)
 
 
 def stream_manifests(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
@@ -61,7 +61,8 @@ def start_manifests(manifests: DataFrame, store: str, checkpoint: str, lateness:
             else:
                 fresh = once
             late = F.lit(False) if before is None else F.col("timestamp") < before - lateness
-            fresh.withColumn("late", late).write.mode("overwrite").partitionBy("late", "run_date").parquet(f"{store}/manifests/{place}")
+            # A day's rows are brought together, so that a batch adds one file to it.
+            fresh.withColumn("late", late).repartition("run_date").write.mode("overwrite").partitionBy("late", "run_date").parquet(f"{store}/manifests/{place}")
             marks = [x for x in (newest, before) if x is not None]
             spark.createDataFrame([(max(marks, default=None),)], "newest bigint").coalesce(1).write.mode("overwrite").parquet(
                 f"{store}/marks/{place}"

@@ -86,3 +86,10 @@ def test_words_and_symbols(spark):
     assert one(spark, ["Hello, it's 2 b!"], "string", words_of) == [["Hello", "it's", "b"]]
     got = one(spark, ["hello", "queue", "shh", "Bye"], "string", lambda w: F.array_join(symbols_of(w), ""))
     assert got == ["2884", "4", "", "532"]
+
+
+def test_season_numbers_of_any_length(spark):
+    names = ["Season 1234567890", "Season 0000000000000000000012", "S2147483647", "Season 2147483648", "Season " + "9" * 40, "12345678901", "7"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r[0] for r in df.select(E.season_of(F.col("name"))).collect()]
+    assert got == [1234567890, 12, 2147483647, None, None, None, 7]

@@ -21,14 +21,18 @@ from __future__ import annotations
 
 import numpy as np
 
-STEPS = 256
+STEPS = 128
 #: Slots for pairs of ids; pairs that share a slot only predict worse.
 PAIRS = 1 << 20
+PAIR_SHIFT = np.uint32(12)
+P1, P2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 TOP_CONFIDENCE = 7
+#: Two confidences of 0 to 7, and whether both orders foresee the same id.
+CONTEXTS = 128
 #: What an id adds to its count of order 0, and a choice to its weight.
-ID_GAIN, CHOICE_GAIN, CHOICE_LIMIT = 32, 24, 1 << 16
-
 U = np.uint64
+ID_GAIN, CHOICE_GAIN, CHOICE_LIMIT = U(32), 24, 1 << 16
+
 WORD = U(32)
 LOW_WORD = U(0xFFFFFFFF)
 
@@ -37,47 +41,54 @@ class Model:
     """Predictions of one block; encoder and decoder put it through the same steps."""
 
     def __init__(self, vocab: int, lanes: int):
-        self.vocab = vocab
         none = vocab << 3  # no id yet, no confidence
         self.after_two = np.full(PAIRS, none, dtype=np.int32)
         self.after_one = np.full(vocab + 1, none, dtype=np.int32)
-        self.weights = np.ones((3, 128), dtype=np.int64)
-        self.counts = np.ones(vocab, dtype=np.int64)
-        self.sums = np.zeros(vocab + 1, dtype=np.int64)
+        # Bounds of the three choices in each context: 0, w2, w2 + w1, total.
+        self.weights = np.ones((3, CONTEXTS), dtype=np.int64)
+        self.bounds = np.zeros((4, CONTEXTS), dtype=U)
+        self.counts = np.ones(vocab, dtype=U)
+        self.sums = np.zeros(vocab + 1, dtype=U)
         np.cumsum(self.counts, out=self.sums[1:])
-        self.before = np.full(lanes, vocab, dtype=np.int64)
-        self.last = np.full(lanes, vocab, dtype=np.int64)
+        self.before = np.full(lanes, vocab, dtype=np.int32)
+        self.last = np.full(lanes, vocab, dtype=np.int32)
 
     def predict(self, n: int) -> None:
         """Predictions for the first ``n`` lanes."""
-        before, last = self.before[:n], self.last[:n]
-        self.pair = (before * 0x9E3779B1 + last * 0x85EBCA6B >> 7) & (PAIRS - 1)
-        two, one = self.after_two[self.pair], self.after_one[last]
-        self.two, self.one = two, one
-        self.from_two, self.from_one = two >> 3, one >> 3
-        self.context = ((two & 7) << 4) | ((one & 7) << 1) | (self.from_two == self.from_one)
-        w = self.weights[:, self.context]
-        self.w2, self.w21, self.w = w[0], w[0] + w[1], w[0] + w[1] + w[2]
-
-    def learn(self, ids: np.ndarray, choice: np.ndarray, rare: np.ndarray) -> None:
-        """ids of the predicted lanes, the order chosen for each, and the lanes of order 0."""
+        last = self.last[:n]
+        # Products wrap around: any bits will do, as long as both sides get the same.
+        self.pair = (self.before[:n].view(np.uint32) * P1 + last.view(np.uint32) * P2) >> PAIR_SHIFT
+        self.two, self.one = self.after_two[self.pair], self.after_one[last]
+        self.from_two, self.from_one = self.two >> 3, self.one >> 3
+        self.context = ((self.two & 7) << 4) | ((self.one & 7) << 1) | (self.from_two == self.from_one)
+        np.cumsum(self.weights, axis=0, out=self.bounds[1:], dtype=U)
+        self.total = self.bounds[3][self.context]
+
+    def interval(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's choice."""
+        self.chosen = choice * CONTEXTS + self.context
+        flat = self.bounds.reshape(-1)
+        start = flat[self.chosen]
+        return start, flat[self.chosen + CONTEXTS] - start
+
+    def learn(self, ids: np.ndarray, rare: np.ndarray) -> None:
+        """ids of the predicted lanes, and the lanes where order 0 was chosen."""
         n = len(ids)
-        found = np.bincount(choice * 128 + self.context, minlength=384).reshape(3, 128)
-        self.weights += found * CHOICE_GAIN
+        self.weights += np.bincount(self.chosen, minlength=3 * CONTEXTS).reshape(3, CONTEXTS) * CHOICE_GAIN
         full = self.weights.sum(axis=0) > CHOICE_LIMIT
         if full.any():
             self.weights[:, full] = self.weights[:, full] + 1 >> 1
         if len(rare):
             np.add.at(self.counts, ids[rare], ID_GAIN)
             np.cumsum(self.counts, out=self.sums[1:])
+        fresh = (ids << 3) | 1
         for table, slot, entry, foreseen in (
             (self.after_two, self.pair, self.two, self.from_two), (self.after_one, self.last[:n], self.one, self.from_one),
         ):
-            sure = entry & 7
-            hit = foreseen == ids
             # A foreseen id gains confidence; another one halves it, and takes the place once little is left.
-            kept = np.where(hit, np.minimum(sure + 1, TOP_CONFIDENCE), sure >> 1)
-            table[slot] = np.where(hit | (sure > 1), (foreseen << 3) | kept, (ids << 3) | 1)
+            sure = entry & 7
+            less = np.where(sure > 1, entry - sure + (sure >> 1), fresh)
+            table[slot] = np.where(foreseen == ids, entry + (sure < TOP_CONFIDENCE), less)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -88,11 +99,11 @@ class Encoder:
         self.range = np.full(lanes, ~U(0), dtype=U)
         self.lanes, self.words = [], []
 
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | U) -> None:
         """Code [start, start + size) of total for each of the lanes."""
-        part = self.range[lanes] // total.astype(U)
-        low = self.low[lanes] + part * start.astype(U)
-        wide = part * size.astype(U)
+        part = self.range[lanes] // total
+        low = self.low[lanes] + part * start
+        wide = part * size
         low, wide, out = narrowed(low, wide)
         if len(out):
             self.lanes.append(out if isinstance(lanes, slice) else lanes[out])
@@ -128,15 +139,14 @@ class Decoder:
         self.at[lanes] = at + 1
         return self.words[np.where(at < self.end[lanes], at, len(self.words) - 1)]
 
-    def value(self, lanes: np.ndarray | slice, total: np.ndarray) -> np.ndarray:
-        total = total.astype(U)
+    def value(self, lanes: np.ndarray | slice, total: np.ndarray | U) -> np.ndarray:
         self.part = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.part, total - U(1)).astype(np.int64)
+        return np.minimum((self.code[lanes] - self.low[lanes]) // self.part, total - U(1))
 
     def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         """Go on past the interval that ``value`` fell into."""
-        low = self.low[lanes] + self.part * start.astype(U)
-        wide = self.part * size.astype(U)
+        low = self.low[lanes] + self.part * start
+        wide = self.part * size
         low, wide, out = narrowed(low, wide)
         if len(out):
             which = out if isinstance(lanes, slice) else lanes[out]
@@ -158,7 +168,7 @@ def narrowed(low: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def encoded(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, words per lane) of a block of ids below ``vocab``."""
     lanes = max(1, -(-len(ids) // STEPS))
-    grid = np.zeros(lanes * STEPS, dtype=np.int64)
+    grid = np.zeros(lanes * STEPS, dtype=np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
     model, coder = Model(vocab, lanes), Encoder(lanes)
@@ -166,42 +176,40 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
         n = active(len(ids), lanes, step)
         x = grid[step, :n]
         model.predict(n)
-        choice = np.where(x == model.from_two, 0, np.where(x == model.from_one, 1, 2))
-        start = np.where(choice == 0, 0, np.where(choice == 1, model.w2, model.w21))
-        end = np.where(choice == 0, model.w2, np.where(choice == 1, model.w21, model.w))
-        coder.put(slice(0, n), start, end - start, model.w)
+        missed = x != model.from_two
+        choice = missed.astype(np.int64) + (missed & (x != model.from_one))
+        coder.put(slice(0, n), *model.interval(choice), model.total)
         rare = np.flatnonzero(choice == 2)
         if len(rare):
             y = x[rare]
-            total = np.full(len(rare), model.sums[-1])
-            coder.put(rare, model.sums[y], model.counts[y], total)
-        model.learn(x, choice, rare)
+            coder.put(rare, model.sums[y], model.counts[y], model.sums[-1])
+        model.learn(x, rare)
     return coder.done()
 
 
 def decoded(words: np.ndarray, lengths: np.ndarray, size: int, vocab: int) -> np.ndarray:
     """The ``size`` ids of a block."""
     lanes = len(lengths)
-    grid = np.zeros((STEPS, lanes), dtype=np.int64)
+    grid = np.zeros((STEPS, lanes), dtype=np.int32)
     model, coder = Model(vocab, lanes), Decoder(words, lengths)
     for step in range(min(STEPS, size)):
         n = active(size, lanes, step)
         every = slice(0, n)
         model.predict(n)
-        v = coder.value(every, model.w)
-        choice = (v >= model.w2).astype(np.int64) + (v >= model.w21)
-        start = np.where(choice == 0, 0, np.where(choice == 1, model.w2, model.w21))
-        end = np.where(choice == 0, model.w2, np.where(choice == 1, model.w21, model.w))
-        coder.take(every, start, end - start)
-        x = np.where(choice == 0, model.from_two, model.from_one).astype(np.int64)
+        v = coder.value(every, model.total)
+        choice = (v >= model.bounds[1][model.context]).astype(np.int64) + (v >= model.bounds[2][model.context])
+        coder.take(every, *model.interval(choice))
+        x = np.where(choice == 0, model.from_two, model.from_one)
         rare = np.flatnonzero(choice == 2)
         if len(rare):
-            v = coder.value(rare, np.full(len(rare), model.sums[-1]))
-            y = np.searchsorted(model.sums, v, side="right") - 1
+            v = coder.value(rare, model.sums[-1])
+            order = np.argsort(v)  # a search for ascending values stays in the cache
+            y = np.empty(len(v), dtype=np.int64)
+            y[order] = np.searchsorted(model.sums, v[order], side="right") - 1
             coder.take(rare, model.sums[y], model.counts[y])
             x[rare] = y
         grid[step, :n] = x
-        model.learn(x, choice, rare)
+        model.learn(x, rare)
     return np.ascontiguousarray(grid.T).reshape(-1)[:size]
 
 

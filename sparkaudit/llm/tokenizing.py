@@ -1,11 +1,11 @@
 """Token ids of whole texts by public tokenizers, inside Python workers.
 
-Tokenizers of the byte-level kind first cut a text by a pattern none of whose pieces goes on
-past a run of white space, or from a letter to a mark; so a text may be cut before each run and between a
-word and the mark that follows it, and the parts' ids joined are the text's ids.  Parts repeat, and a worker remembers those of up to
-``MEMO`` parts.  Texts for which this does not hold (special tokens that count as such,
-characters that libraries disagree on whether they are blank) and other kinds of
-tokenizers are encoded whole.  The vocabularies' places are parameters.
+Tokenizers of the byte-level kind first cut a text by a pattern none of whose pieces has white
+space behind anything else; so a text may be cut before each run of white space, and the parts' ids joined are
+the text's ids.  Parts repeat, and a worker remembers them; beyond ``MEMO`` it keeps those
+of the batch at hand.  Here texts are cut at
+spaces and line ends.  Those in which one of these stands inside a run, those with other white space or with special tokens that
+count as such, and all texts of other kinds of tokenizers are encoded whole.  The vocabularies' places are parameters.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ import re
 
 import numpy as np
 
-#: A run of white space and what follows it: a word of letters before a mark or the next run, or else all up to that run.
-PART = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s,.;:!?]|\Z)|\s*\S+|\s+")
-#: White space to some libraries only.
-UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
+#: White space that ends in the middle of a run, if a text is cut before every space and line end.
+IN_A_RUN = re.compile(r"\s[ \n]")
+#: Other white space, white space to some libraries only, and a character that marks parts below.
+UNSURE = re.compile("[\x00\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A part is what follows a space; these stand before one that follows nothing or a line end.
+AT_START, AT_LINE = "\x00", "\n"
+#: Marks that may follow a word.
+CLOSING = ",.;:!?"
 MEMO = 1_000_000
-#: Longer parts are not remembered.
-LONG_PART = 100
+#: Parts encoded as the lines of one text.
+LINES = 5000
 
 _encoders: dict = {}
 
@@ -29,7 +33,7 @@ _encoders: dict = {}
 class ByteLevelEncoder:
     """ids of texts as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, special_as_text: bool):
+    def __init__(self, path: str, special_as_text: bool, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -43,35 +47,78 @@ class ByteLevelEncoder:
             self.tokenizer.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
         )
         self.vocab = self.tokenizer.get_vocab_size()
+        self.most = memo
         self.memo: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_end = int.from_bytes(self._ids(["\n"])[0], "little")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
+    def _learn(self, parts: list[str]) -> None:
+        """Encode and remember parts, words apart from the marks that follow them, which are a piece of their own."""
+        split = []
+        for p in parts:
+            word = p.rstrip(CLOSING)
+            if len(word) < len(p) and word and word[-1].isalpha() and word[-1] < "\u0100":
+                split.append((p, word, p[len(word) :]))
+        words = {word for _, word, _ in split}
+        self._encode_parts(list(words.union(parts).difference([p for p, _, _ in split], self.memo)))
+        for p, word, marks in split:
+            if marks not in self.marks:
+                self.marks[marks] = self._ids([marks])[0]
+            self.memo[p] = self.memo[word] + self.marks[marks]
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encode and remember parts: as lines of one text, whose line ends tell their ids apart, unless they are empty."""
+        marked = [p[:1] == AT_START or p[:1] == AT_LINE for p in parts]
+        plain = [p[m:] if m else p for p, m in zip(parts, marked)]
+        odd = [i for i, p in enumerate(plain) if not p]
+        texts = [parts[i].removeprefix(AT_START) if marked[i] else f" {parts[i]}" for i in odd]
+        for i, ids in zip(odd, self._ids(texts)):
+            self.memo[parts[i]] = ids
+        rest = sorted(set(range(len(parts))).difference(odd))
+        for at in range(0, len(rest), LINES):
+            some = rest[at : at + LINES]
+            ids = self._ids(["".join(["\n" + plain[i] if marked[i] else f"\n {plain[i]}" for i in some])])[0]
+            ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == self.line_end) * 4).tolist()
+            for i, start, end in zip(some, ends, [*ends[1:], len(ids)]):
+                # A part that follows a line end has that line end's id before its own.
+                self.memo[parts[i]] = ids[start if parts[i][0] == AT_LINE else start + 4 : end]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = lambda t: UNSURE.search(t) or (self.added and self.added.search(t))
+        whole = lambda t: not t or UNSURE.search(t) or IN_A_RUN.search(t) or (self.added and self.added.search(t))
         at = [i for i, t in enumerate(texts) if not self.in_parts or whole(t)]
         out: list = [None] * len(texts)
         for i, ids in zip(at, self._ids([texts[i] for i in at])):
             out[i] = ids
-        parts = {i: PART.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        unknown = list({p for each in parts.values() for p in each if p not in memo})
-        memo.update(zip(unknown, self._ids(unknown)))
-        for i, each in parts.items():
-            out[i] = b"".join([memo[p] for p in each])
-        for p in unknown:
-            if len(p) > LONG_PART:
-                del memo[p]
+        flat, ends = [], []
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                mark = AT_START
+                for line in text.split("\n"):
+                    parts = line.split(" ")
+                    parts[0] = mark + parts[0]
+                    flat += parts
+                    mark = AT_LINE
+                ends.append((i, len(flat)))
+        own = set(flat)
+        if len(self.memo) > self.most:
+            self.memo = {p: self.memo[p] for p in own.intersection(self.memo)}
+            self.marks.clear()
+        self._learn(list(own.difference(self.memo)))
+        found = list(map(self.memo.__getitem__, flat))
+        start = 0
+        for i, end in ends:
+            out[i] = b"".join(found[start:end])
+            start = end
         return out
 
 
-def byte_level(path: str, special_as_text: bool = False) -> ByteLevelEncoder:
+def byte_level(path: str, special_as_text: bool = False, memo: int = MEMO) -> ByteLevelEncoder:
     """The worker's encoder for a tokenizer file; made once."""
-    key = (path, special_as_text)
+    key = (path, special_as_text, memo)
     if key not in _encoders:
-        _encoders[key] = ByteLevelEncoder(path, special_as_text)
+        _encoders[key] = ByteLevelEncoder(path, special_as_text, memo)
     return _encoders[key]

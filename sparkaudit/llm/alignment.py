@@ -8,7 +8,7 @@ Ends that A and B share and after which both go on with a token that starts with
 anchors.  They cut a document into windows, a window is a pair of id tuples, and what a pair
 of tuples aligns to is the same wherever it stands: groups (between neighbouring shared ends)
 and links (tokens whose byte ranges overlap).  A worker remembers the windows it has seen,
-``MEMO`` at most before it starts anew, so only a small part is aligned at all.
+``MEMO`` at most before it keeps only those that came again, so only a small part is aligned at all.
 
 Counts of linked id pairs over all documents are a grouped sum of each document's distinct
 pairs.  Documents are scored against them by look-ups in a broadcast table while there are
@@ -34,12 +34,16 @@ from pyspark.sql import functions as F
 from sparkaudit.llm.common import fits, landed
 
 #: Windows a worker remembers.
-MEMO = 300_000
+MEMO = 400_000
+#: Parts of texts whose ids of A it remembers.
+PARTS = 400_000
 #: Rows of the table of pair counts that may be broadcast.
 BROADCAST_PAIRS = 3_000_000
 #: Texts are handed to the piece tokenizer in sections of about so many characters.
 SECTION = 1 << 17
 A_BITS = 32
+#: Between the ids of A and of B in a window's key; no id is as large.
+BETWEEN = b"\xff" * 4
 #: A space after something else and before something.
 SPACE = re.compile("(?<=[^ ▁]) (?=.)", re.DOTALL)
 
@@ -54,7 +58,7 @@ class Aligner:
 
         from sparkaudit.llm.tokenizing import byte_level
 
-        self.a = byte_level(a_path, special_as_text=True)
+        self.a = byte_level(a_path, special_as_text=True, memo=PARTS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = [b""] * self.a.vocab
         letters = byte_letters()
@@ -68,13 +72,21 @@ class Aligner:
         self.in_sections = not any("▁" in p[1:] and p.strip("▁") for p in pieces)
         self.a_size, self.b_size = (np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([t[:1] == b" " for t in table]) for table in (self.a_bytes, self.b_bytes))
+        self.memo: dict[bytes, int] = {}
+        # Of each window: groups as text, and links as the bytes of packed pairs; in how many documents it was met.
+        self.texts: list[str] = []
+        self.links: list[bytes] = []
+        self.uses = np.zeros(0, dtype=np.int64)
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        """Keep the windows that came again since they were learnt or last kept; all others go."""
+        again = [n for n, uses in enumerate(self.uses.tolist()[: len(self.texts)]) if uses > 1] if self.memo else []
+        numbers = {n: i for i, n in enumerate(again)}
+        self.memo = {key: numbers[n] for key, n in self.memo.items() if n in numbers}
+        self.texts, self.links = ([table[n] for n in again] for table in (self.texts, self.links))
+        self.uses = np.zeros(2 * MEMO + len(again), dtype=np.int64)
 
     def b_ids(self, texts: list[str]) -> list[np.ndarray]:
         """B's ids; long texts in sections that end before a space, which B adds again."""
@@ -96,20 +108,34 @@ class Aligner:
         for text, a, b in zip(spaced, self.a.encode(spaced), self.b_ids(texts)):
             a = np.frombuffer(a, "<u4").astype(np.int64)
             whole = text.encode()
-            same = b"".join([self.a_bytes[i] for i in a.tolist()]) == whole and b"".join([self.b_bytes[i] for i in b.tolist()]) == whole
+            same = joined(self.a_bytes, a) == whole and joined(self.b_bytes, b) == whole
             out.append((a, b) if same else (none, none))
         return out
 
-    def window(self, key: tuple[bytes, bytes]) -> int:
-        """Align a window not seen before: its number."""
-        a, b = (np.frombuffer(part, "<i8").tolist() for part in key)
-        text, groups, links = aligned_window(a, b, self.a_size[a].tolist(), self.b_size[b].tolist())
-        n = len(self.texts)
-        self.memo[key] = n
-        self.texts.append(text)
-        self.groups.append(groups)
-        self.links.append(np.array([x << A_BITS | y for x, y in links], dtype=np.int64))
-        return n
+    def learn(self, keys: list[bytes], a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> None:
+        """Align windows not seen before, all at once.  cuts: for each window, where it starts and ends in a and in b."""
+        a_start, a_stop, b_start, b_stop = cuts
+        a, b = a[ranges(a_start, a_stop - a_start)], b[ranges(b_start, b_stop - b_start)]
+        # Both sides of a window have as many bytes, so one after the other they stay side by side.
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # Between neighbouring ends one token of A and one of B cover all bytes: that is a link.
+        ends = np.union1d(a_end, b_end)
+        i, j = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        links = (a[i] << A_BITS | b[j]).astype("<i8").tobytes()
+        shared = np.flatnonzero(a_end[i] == b_end[j])
+        names = self.names
+        a_names, b_names = [names[x] for x in a.tolist()], [names[x] for x in b.tolist()]
+        texts, x, y = [], 0, 0
+        for k, m in zip((i[shared] + 1).tolist(), (j[shared] + 1).tolist()):
+            texts.append(",".join(a_names[x:k]) + "|" + ",".join(b_names[y:m]))
+            x, y = k, m
+        last = np.searchsorted(ends, a_end[np.cumsum(a_stop - a_start) - 1])
+        link, group = 0, 0
+        for key, to_link, to_group in zip(keys, (8 * (last + 1)).tolist(), (np.searchsorted(shared, last) + 1).tolist()):
+            self.memo[key] = len(self.texts)
+            self.texts.append(";".join(texts[group:to_group]))
+            self.links.append(links[link:to_link])
+            link, group = to_link, to_group
 
     def aligned(self, texts: list[str]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups as text, distinct pairs, their occurrences) of each text."""
@@ -117,27 +143,42 @@ class Aligner:
             if not len(a):
                 yield 0, 0, 0, 0, "", a, a
                 continue
-            if len(self.memo) > MEMO:
-                self.forget()
             a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
             at = np.searchsorted(b_end, a_end)
             shared = b_end[np.minimum(at, len(b) - 1)] == a_end
             shared[-1] = False
             here = np.flatnonzero(shared)
             here = here[self.a_space[a[here + 1]] & self.b_space[b[at[here] + 1]]]
-            a_cut = (np.append(here + 1, len(a)) * 8).tolist()
-            b_cut = (np.append(at[here] + 1, len(b)) * 8).tolist()
-            a_raw, b_raw = a.astype("<i8").tobytes(), b.astype("<i8").tobytes()
-            memo, numbers, i, j = self.memo, [], 0, 0
-            for k, m in zip(a_cut, b_cut):
-                key = (a_raw[i:k], b_raw[j:m])
-                number = memo.get(key)
-                numbers.append(self.window(key) if number is None else number)
-                i, j = k, m
-            links = np.concatenate([self.links[n] for n in numbers])
+            a_cut, b_cut = np.concatenate(([0], here + 1, [len(a)])), np.concatenate(([0], at[here] + 1, [len(b)]))
+            a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+            a_at, b_at = (4 * a_cut).tolist(), (4 * b_cut).tolist()
+            keys = [a_raw[i:k] + BETWEEN + b_raw[j:m] for i, k, j, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
+            numbers = list(map(self.memo.get, keys))
+            if None in numbers:
+                new = {key: w for w, (key, n) in enumerate(zip(keys, numbers)) if n is None}
+                if len(self.memo) + len(new) > MEMO:
+                    self.forget()
+                    new = {key: w for w, key in enumerate(keys) if key not in self.memo}
+                w = np.array(list(new.values()))
+                self.learn(list(new), a, b, np.stack([a_cut[w], a_cut[w + 1], b_cut[w], b_cut[w + 1]]))
+                numbers = list(map(self.memo.__getitem__, keys))
+                if len(self.texts) > len(self.uses):
+                    self.uses = np.append(self.uses, np.zeros(len(self.texts), dtype=np.int64))
+            self.uses[numbers] += 1
+            links = np.frombuffer(b"".join(map(self.links.__getitem__, numbers)), "<i8")
             pairs, times = np.unique(links, return_counts=True)
-            groups = sum([self.groups[n] for n in numbers])
-            yield len(a), len(b), groups, len(links), ";".join([self.texts[n] for n in numbers]), pairs, times
+            said = ";".join(map(self.texts.__getitem__, numbers))
+            yield len(a), len(b), said.count("|"), len(links), said, pairs, times
+
+
+def joined(table: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1])
 
 
 def sections_of(text: str) -> list[str]:
@@ -159,29 +200,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def aligned_window(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Groups as text, their number, and all overlapping (a, b) of a window whose ends are shared."""
-    groups, links = [], []
-    i = j = 0
-    first_a = first_b = 0
-    a_end, b_end = a_size[0], b_size[0]
-    while True:
-        links.append((a[i], b[j]))
-        if a_end == b_end:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            first_a, first_b = i + 1, j + 1
-            if first_a == len(a):
-                return ";".join(groups), len(groups), links
-        # The token that ends first gives way to its next; both do at a shared end.
-        next_a, next_b = a_end <= b_end, b_end <= a_end
-        if next_a:
-            i += 1
-            a_end += a_size[i]
-        if next_b:
-            j += 1
-            b_end += b_size[j]
-
-
 def aligner(a_path: str, b_path: str) -> Aligner:
     """The worker's aligner for two tokenizer files; made once."""
     key = (a_path, b_path)

@@ -21,6 +21,5 @@ def manifests_by_day(manifests: DataFrame) -> DataFrame:
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
-    """A folder for each day, one manifest a line; a day's rows are brought together first, so that it gets few files."""
-    by_day = manifests_by_day(manifests)
-    by_day.repartitionByRange("run_date", "timestamp").write.mode("append").partitionBy("run_date").json(path)
+    """A folder for each day, one manifest a line."""
+    manifests_by_day(manifests).write.mode("append").partitionBy("run_date").json(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,14 +60,40 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Folders landed inside the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def landing_scope() -> Iterator[list[str]]:
+    """Collects the folders landed inside; the caller deletes them once nothing reads them any more."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
 def landed(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there, whatever executors are lost."""
     spark = df.sparkSession
     folder = shared_folder(spark)
+    if _scopes:
+        _scopes[-1].append(folder)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def delete_unread(spark: SparkSession, folders: list[str], reader: DataFrame) -> None:
+    """Delete landed folders, unless ``reader`` still reads one of them: then all stay."""
+    names = [folder.rsplit("/", 1)[-1] for folder in folders]
+    if any(name in file for file in reader.inputFiles() for name in names):
+        return
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -38,6 +38,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,13 +176,14 @@ def common_grams(packed: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray,
         if total > COMMON:
             bound = 1 << (level + 1)
             break
-    kept = each.filter(F.col("counts") >= bound).toPandas().sort_values("hashes")
+    kept = each.filter(F.col("counts") >= bound).toArrow()
+    order = np.argsort(kept["hashes"].to_numpy())
     bitmap = np.zeros(BITMAP // 8, dtype=np.uint8)
     for r in found.select("part", "bits").toLocalIterator():
         bits = np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8))
         at = np.flatnonzero(bits) + r["part"] * BITMAP // parts
         np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return kept["hashes"].to_numpy(np.uint32), kept["counts"].to_numpy(np.int64), bitmap
+    return kept["hashes"].to_numpy()[order].astype(np.uint32), kept["counts"].to_numpy()[order], bitmap
 
 
 def first_columns(grams: np.ndarray, percent: int, hashes: np.ndarray, counts: np.ndarray, bitmap: np.ndarray) -> tuple:
@@ -208,9 +210,8 @@ POSTS = "gram long, doc_id long, n long, common long, high long, low long"
 POST_KIND = pa.schema([(c, pa.int64()) for c in ("gram", "doc_id", "n", "common", "high", "low")])
 
 
-def postings(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, common: tuple) -> DataFrame:
+def postings(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, shared: Broadcast) -> DataFrame:
     """(gram, node, n, common) of each distinct set's first columns; the node is the least id that has the set."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,8 +387,9 @@ def similar_components(
     parts = max(32, -(-docs.count() // DOCS_PER_RANGE))
     known_facts = landed(facts(docs, doc_id, text, n, parts))
     packed = known_facts.filter(F.col("part").isNotNull()).select("part", "packed")
-    common = common_grams(packed, parts)
-    posts = landed(postings(docs, doc_id, text, n, percent, common))
+    shared = docs.sparkSession.sparkContext.broadcast(common_grams(packed, parts))
+    posts = landed(postings(docs, doc_id, text, n, percent, shared))
+    shared.destroy()
     alone = posts.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     posts = landed(posts.join(alone.select("gram"), "gram", "left_semi"))
     rows = known_facts.filter(F.col("part").isNull())

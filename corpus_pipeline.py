@@ -11,10 +11,13 @@ dropped for a document that has an id.  Texts without words are copies of nothin
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import bounded_batches, free_name, landed
+from sparkaudit.llm.common import bounded_batches, delete_unread, free_name, landed, landing_scope
 from sparkaudit.llm.decontaminate import without_leaks
 from sparkaudit.llm.jaccard import similar_components
 from sparkaudit.llm.language import identified, trained
@@ -28,6 +31,33 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 ORACLE_SQL = None
 
 
+FIRST = "language_id"
+
+#: Folders that the stage before this one landed for itself.
+_before: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def frees_the_last(stage: Stage) -> Stage:
+    """A stage that first deletes what the stage before landed for itself: that one's result has been written.
+
+    Nothing is deleted for a stage whose ``docs`` still read it, nor for the first of a chain.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if stage.__name__ != FIRST:
+            delete_unread(spark, _before, docs)
+        with landing_scope() as folders:
+            out = stage(spark, docs, sf_dir)
+        _before[:] = folders
+        return out
+
+    return run_stage
+
+
+@frees_the_last
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified with enough confidence; null, empty and letterless texts go."""
     bounded_batches(spark)
@@ -36,6 +66,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identified(docs, model, name=name).filter(~F.col(f"{name}.rejected")).drop(name)
 
 
+@frees_the_last
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the least by id, then by hashes of its text and of the whole row."""
     bounded_batches(spark)
@@ -60,18 +91,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.unionByName(docs.join(judged.filter("_kept").drop("_kept"), same, "left_semi").distinct())
 
 
+@frees_the_last
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified benchmark passage."""
     bounded_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+@frees_the_last
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
     out = redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@frees_the_last
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixed_documents(docs)

@@ -5,8 +5,8 @@ document of each group of near copies, benchmark decontamination drops documents
 benchmark passages, secrets are replaced by a mark, and the mix repeats or leaves out documents so that
 each source comes near its target.  One row of each group of near copies stays, that with the smallest id; of
 rows that repeat the id, also those equal in every column, one.  Rows are known by their texts: an id on two
-texts is two documents.  Rows without id are compared with each other and one of each group stays; they are not
-dropped for a document that has an id.  Texts without words are copies of nothing.
+texts is two documents.  Rows without id are compared like all others and rank last: one of
+them stays only in a group where no row has an id.  Texts without words are copies of nothing.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @frees_the_last
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the least by id, then by hashes of its text and of the whole row."""
+    """One row of each group of near copies: the least by id (null last), then by hashes of its text and of the whole row."""
     bounded_batches(spark)
     # Texts are the nodes, by their hash, so that one id on two texts links nothing and rows without id have nodes.
     texts = docs.select(F.xxhash64("text").alias("node"), "text")
@@ -76,11 +76,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = found.groupBy(F.col("doc_id").alias("_text")).agg(F.min("component_id").alias("_group"))
     row = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64(*docs.columns).alias("_row")]
     placed = landed(docs.select(*row).join(groups, "_text"))
-    # Rows without id are a group of their own beside those with one.
-    group = [F.col("_group"), F.col("_id").isNull().alias("_none")]
     keys = ["_id", "_text", "_row"]
-    least = placed.groupBy(*group).agg(F.min(F.struct(*keys)).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    judged = placed.select(*keys, *group).join(least, ["_group", "_none"]).withColumn("_kept", F.struct(*keys).eqNullSafe(F.col("_least")))
+    # Rows with an id come first; a group without any keeps one all the same.
+    first = F.struct(F.col("_id").isNull().alias("_none"), *keys)
+    least = placed.groupBy("_group").agg(F.min(first).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    judged = placed.join(least, "_group").select(*keys, first.eqNullSafe(F.col("_least")).alias("_kept"))
     # Of rows that are equal in every column one stays.
     judged = landed(judged.groupBy(*keys, "_kept").agg(F.count(F.lit(1)).alias("_n")).filter("not _kept or _n > 1"))
     taken = docs.columns

@@ -9,8 +9,8 @@ can reach and discard it, and for the rest the overlap count over all columns de
 
 The result asked for is the components of the links, so a pair whose two ends are
 known to be connected needs no product.  That is what keeps large groups of near
-copies from their square: in each of ``ROUNDS`` rounds every posting list names
-``LEADERS`` leaders, all its members meet these alone, and links found join components.
+copies from their square: in each of some rounds every posting list names
+leaders (``LEADERS``), all its members meet these alone, and links found join components.
 Afterwards only pairs of *different* components on a posting list are left; all of them
 are taken, in products of blocks of ``TILE`` members, so no link between different texts is
 lost.
@@ -47,7 +47,8 @@ from sparkaudit.llm.components import components
 from sparkaudit.llm.hashing import shingles, word_hashes
 
 N, PERCENT = 4, 85
-ROUNDS, LEADERS = 2, 3
+#: Leaders that a posting list names, round by round.
+LEADERS = (1, 4)
 #: Common n-grams occur in so many documents at least; so many of them are sent to tasks at most.
 COMMON_FROM, COMMON = 16, 2_000_000
 #: Bits of the bitmap of n-grams that occur twice, a power of two.
@@ -59,6 +60,8 @@ DOCS_PER_RANGE = 1 << 14
 BROADCAST_IDS = 500_000
 #: Members of a posting list in one block of a product.
 TILE = 1024
+#: What a member of a list brings to a product at most: its least first columns, and bits of its bitmap.
+LEAST_FIRSTS, SKETCH = 24, 4096
 
 FACTS = "doc_id long, n long, high long, low long, bits binary, part int, packed binary"
 KIND = pa.schema(
@@ -298,7 +301,7 @@ def _pair(a: str, b: str) -> list:
 def leader_pairs(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every member of a posting list that spans components, with some leaders of the list from other components."""
     who = F.struct("node", "n", "common", "component")
-    leaders = F.array(*[F.min_by(who, F.xxhash64("node", F.lit(turn * LEADERS + i))) for i in range(LEADERS)])
+    leaders = F.array(*[F.min_by(who, F.xxhash64("node", F.lit(10 * turn + i))) for i in range(LEADERS[turn])])
     lists = (
         posts.groupBy("gram")
         .agg(leaders.alias("leaders"), F.min("component").alias("_least"), F.max("component").alias("_most"))
@@ -331,26 +334,45 @@ def _possible(row: int, rows: np.ndarray, n: np.ndarray, common: np.ndarray, bit
     return np.concatenate(found) if found else rows[:0]
 
 
+def sketches(rows: DataFrame) -> DataFrame:
+    """(node, bits): bitmaps folded to ``SKETCH`` bits at most."""
+
+    @F.arrow_udf("binary")
+    def folded(bits: pa.Array) -> pa.Array:
+        out = []
+        for b in bits.to_pylist():
+            x = np.frombuffer(b, np.uint64)
+            while 64 * len(x) > SKETCH:
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            out.append(x.tobytes())
+        return pa.array(out, pa.binary())
+
+    return rows.filter(F.col("n") > 0).select(F.col("doc_id").alias("node"), folded("bits").alias("bits"))
+
+
 def remaining_pairs(posts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a posting list that lie in different components and that counts and bitmaps allow.
+    """All pairs of a posting list that lie in different components and that counts and sketches allow.
 
     A list that spans components is cut into blocks of about ``TILE`` members, and each pair of
-    blocks is one task's product.  A pair leaves it once, from the least n-gram that it shares.
+    blocks is one task's product.  Lists go by 32 bits of their n-gram; lists that share them are one list
+    of more pairs.  A member brings a sketch and the least ``LEAST_FIRSTS`` of its lists, so that what is sent
+    grows with the texts, not with their squares.  A pair leaves the least list that it shares; another one
+    passes it over where the members' least lists show that, so some pairs leave more than once, none never.
     """
+    posts = posts.withColumn("gram", F.shiftright("gram", 32).cast("int"))
     lists = (
         posts.groupBy("gram")
         .agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"))
         .filter("_a < _b")
         .select("gram", F.ceil(F.col("_n") / TILE).cast("int").alias("blocks"))
     )
-    members = posts.join(lists, "gram")
-    firsts = posts.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("firsts"))
-    bits = rows.filter(F.col("n") > 0).select(F.col("doc_id").alias("node"), "bits")
+    members = landed(posts.join(lists, "gram"))
+    firsts = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("gram")), 1, LEAST_FIRSTS).alias("firsts"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (
         members.join(firsts, "node")
-        .join(bits, "node")
+        .join(sketches(rows), "node")
         .withColumns({"block": block, "other": other})
         .select(
             "gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
@@ -372,7 +394,7 @@ def remaining_pairs(posts: DataFrame, rows: DataFrame, percent: int) -> DataFram
             if i == j:
                 rest = rest[node[rest] > node[row]]
             for at in _possible(row, rest, n, common, bitmaps, percent).tolist():
-                if min(shared[row] & shared[at]) == gram:
+                if min(shared[row] & shared[at], default=gram) >= gram:
                     pairs.append((max(node[row], node[at]), min(node[row], node[at])))
         u, v = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
         return pa.table({"u": pa.array(np.ascontiguousarray(u)), "v": pa.array(np.ascontiguousarray(v))})
@@ -395,15 +417,12 @@ def similar_components(
     rows = known_facts.filter(F.col("part").isNull())
 
     found = None
-    for turn in range(ROUNDS + 1):
+    for turn in range(len(LEADERS) + 1):
         spread = _with_component(posts, found)
         if turn:
             spread = landed(spread)
-        if turn < ROUNDS:
-            pairs = bounded_pairs(leader_pairs(spread, turn, percent), rows, percent)
-        else:
-            pairs = remaining_pairs(spread, rows, percent)
-        pairs = landed(pairs)
+        met = leader_pairs(spread, turn, percent) if turn < len(LEADERS) else remaining_pairs(spread, rows, percent)
+        pairs = landed(bounded_pairs(met, rows, percent))
         ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         sets = landed(sets_of(docs, doc_id, text, n, landed(ends)))
         new = landed(products(pairs, sets, percent))

@@ -73,6 +73,19 @@ def test_large_group_of_near_copies(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_products_of_blocks_alone(spark, monkeypatch):
+    """Without leaders every link comes from the products; a member brings few of its lists, a folded sketch."""
+    monkeypatch.setattr(J, "LEADERS", ())
+    monkeypatch.setattr(J, "LEAST_FIRSTS", 1)
+    monkeypatch.setattr(J, "SKETCH", 1024)
+    monkeypatch.setattr(J, "TILE", 16)
+    rng = random.Random(14)
+    base, long = [f"w{rng.randrange(5000)}" for _ in range(60)], [f"w{rng.randrange(9000)}" for _ in range(3000)]
+    rows = [(i, varied(rng, base, 1 + i % 3)) for i in range(80)] + [(i, varied(rng, long, 40 * (i % 3))) for i in range(100, 112)]
+    rows += [(200 + i, varied(rng, base[:30] + long[:90], i % 4)) for i in range(20)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(None, text, 1), (None, text, 2), (7, text, 3), (7, text, 3), (9, text.upper(), 4), (8, None, 5)], "doc_id long, text string, n long")

@@ -242,17 +242,37 @@ def order_statistics(
 ) -> DataFrame:
     """Exact percentile with linear interpolation between the two nearest ranks.
 
-    The built-in exact percentile keeps every distinct value of a group in one
-    aggregation buffer; this ranks the rows by range instead and keeps two of them.
+    Selection by ranges, not by sorting: rows are counted per (group, range) cell, the counts tell which
+    cells (two of a group at most) hold the two ranks, and only the rows of those are put in order.
+    The built-in exact percentile keeps every distinct value of a group in one aggregation buffer.
     """
     by = list(by)
-    numbered = ranked(df.select(*by, value, *tie), [value, *tie], by, "_rank", "_n")
+    segmented = with_segment(df.select(*by, value, *tie), [value, *tie])
+    sizes = segmented.groupBy(*by, SEGMENT).agg(F.count(F.lit(1)).alias("_in"))
+    placed = sizes.withColumns({
+        "_before": F.coalesce(F.sum("_in").over(earlier_cells(by)), F.lit(0)),
+        "_n": F.sum("_in").over(W.partitionBy(*(by or [F.lit(0)]))),
+    })
     place = (F.col("_n") - 1) * F.lit(float(share))
-    near = F.col("_rank") - 1
-    picked = numbered.filter((near == F.floor(place)) | (near == F.ceil(place)))
-    low, high = F.min(value), F.max(value)
-    fraction = F.max(place - F.floor(place))
-    return picked.groupBy(*by).agg((low + (high - low) * fraction).alias(name))
+    low, high = F.floor(place), F.ceil(place)
+    near = placed.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_in") > low)).drop("_in")
+    if by:
+        renamed = near.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(SEGMENT).alias("_cell"), "_before", "_n")
+        same = F.col(SEGMENT) == F.col("_cell")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        held = segmented.join(renamed, same)
+    else:
+        known = {r[SEGMENT]: r for r in near.collect()}  # two cells at most
+        held = segmented.filter(F.col(SEGMENT).isin(list(known)))
+        for name_ in ("_before", "_n"):
+            each = [x for k, r in known.items() for x in (F.lit(k), F.lit(r[name_]))]
+            held = held.withColumn(name_, F.element_at(F.create_map(*each), F.col(SEGMENT)) if each else F.lit(0))
+    inside = W.partitionBy(*by, SEGMENT).orderBy(value, *tie)
+    rank = F.row_number().over(inside) - 1 + F.col("_before")
+    picked = held.withColumn("_rank", rank).filter((F.col("_rank") == low) | (F.col("_rank") == high))
+    least, most = F.min(value), F.max(value)
+    return picked.groupBy(*by).agg((least + (most - least) * F.max(place - low)).alias(name))
 
 
 def attach_group(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -45,6 +45,18 @@ def test_exact_percentile(spark, skewed, many_segments):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_percentile_of_the_whole_table_and_of_null_groups(spark, skewed, many_segments):
+    for share in (0.0, 0.31, 0.5, 1.0):
+        want = skewed.agg(F.expr(f"percentile(v, {share})")).first()[0]
+        assert abs(O.order_statistics(skewed, "v", ["id"], share, (), "p").first()["p"] - want) < 1e-9
+    got = {r["g"]: r["p"] for r in O.order_statistics(skewed, "v", ["id"], 0.3, ["g"], "p").collect()}
+    want = {r["g"]: r["p"] for r in skewed.groupBy("g").agg(F.expr("percentile(v, 0.3)").alias("p")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    none = skewed.filter("id < -1")
+    assert O.order_statistics(none, "v", ["id"], 0.5, (), "p").first()["p"] is None
+    assert O.order_statistics(none, "v", ["id"], 0.5, ["g"], "p").count() == 0
+
+
 @pytest.mark.parametrize("rows", [0, 1, 200_000])
 def test_shared_order_keys(spark, rows):
     """Five positions in each of many groups: few distinct keys, yet bounded cuts and right windows."""

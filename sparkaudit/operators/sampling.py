@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from sparkaudit.functions.numeric import draw_integer, draw_unit
 from sparkaudit.operators.ordering import ranked
 from sparkaudit.sources.lattices import synthetic_token
 
+#: Draws are below this; a threshold stands so many standard deviations above what it must let through.
+DRAWS, MARGIN = 1 << 60, 6
+
 
 def draw_from_pool(df: DataFrame, seed: int, key: Sequence[str], pool: DataFrame, name: str = "token") -> DataFrame:
     """Add one pool token per row, drawn with replacement: an equi-join on the drawn index."""
@@ -70,9 +74,25 @@ def mutate_cells(
 
 
 def sample_n(df: DataFrame, key: Sequence[str], seed: int, n: int) -> DataFrame:
-    """``n`` rows without replacement, all of them when there are fewer."""
+    """``n`` rows without replacement, those of the least draws; all of them when there are fewer.
+
+    Threshold sampling: the row count gives a bound below which a few more than ``n`` draws are to be
+    expected.  One filtered pass takes those, and only they are ranked to cut off the surplus.  Where the bound
+    falls short (draws of few distinct keys) it is raised sixteenfold.
+    """
+    rows = df.count()
+    if rows <= n:
+        return df
     keyed = df.withColumn("_draw", draw_integer(seed, *[F.col(k) for k in key]))
-    return ranked(keyed, ["_draw", *key], name="_rank").filter(F.col("_rank") <= n).drop("_draw", "_rank")
+    bound = DRAWS * (n + MARGIN * math.sqrt(n) + MARGIN) / rows
+    while bound < DRAWS:
+        few = keyed.filter(F.col("_draw") < F.lit(int(bound)))
+        if few.count() >= n:
+            break
+        bound *= 16
+    else:
+        few = keyed
+    return ranked(few, ["_draw", *key], name="_rank").filter(F.col("_rank") <= n).drop("_draw", "_rank")
 
 
 def sample_between(df: DataFrame, key: Sequence[str], seed: int, low: int, high: int) -> DataFrame:

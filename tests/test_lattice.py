@@ -138,6 +138,8 @@ def test_samples_and_weights(spark, many_segments):
     assert top.count() == 40 and P.sample_n(df, ["id"], 5, 9999).count() == 3000
     drawn = df.withColumn("d", draw_integer(5, F.col("id"))).orderBy("d", "id").limit(40)
     assert sorted(r["id"] for r in drawn.collect()) == sorted(r[0] for r in top.collect())
+    same = df.withColumn("k", F.lit(1))  # one draw for all: the bound falls short and the whole table is ranked
+    assert P.sample_n(same, ["k"], 5, 40).count() == 40 and P.sample_n(df, ["id"], 5, 0).count() == 0
     assert 1 <= P.sample_between(df, ["id"], 5, 1, 6).count() <= 6
     share = {r["label"]: r["count"] / 3000 for r in P.weighted_assign(df, ["id"], {"a": 3, "b": 1}, 2).groupBy("label").count().collect()}
     assert abs(share["a"] - 0.75) < 0.04

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkaudit.functions.text import BLANKS
+from sparkaudit.landing import landed
 from sparkaudit.sources.lines import numbered_lines, offsets_in_file
 
 
@@ -22,7 +23,8 @@ class Mesh(NamedTuple):
 def mesh_tables(lines: DataFrame) -> Mesh:
     """Lines (file, block, line, value) to mesh tables; ids are 0-based, polygons become fans.
 
-    A corner without a normal index refers to normal 0.
+    A corner without a normal index refers to normal 0.  The records, split and numbered, are landed
+    once; the three tables are read from there.
     """
     value = F.col("value")
     kind = F.when(value.startswith("v "), "v").when(value.startswith("vn "), "vn").when(value.startswith("f "), "f")
@@ -30,14 +32,15 @@ def mesh_tables(lines: DataFrame) -> Mesh:
     parts = records.withColumn("_p", F.filter(F.split("value", BLANKS), lambda t: t != ""))
     triangles = F.greatest(F.size("_p") - 3, F.lit(0))
     is_kind = {k: F.col("kind") == k for k in ("v", "vn", "f")}
-    placed = offsets_in_file(
+    numbered = offsets_in_file(
         parts,
         {
             "vid": is_kind["v"].cast("int"),
             "nid": is_kind["vn"].cast("int"),
             "fid": F.when(is_kind["f"], triangles).otherwise(0),
         },
-    ).withColumnRenamed("file", "mesh_id")
+    )
+    placed = landed(numbered.select(F.col("file").alias("mesh_id"), "kind", "vid", "nid", "fid", "_p"))
 
     def xyz(kind: str, key: str) -> DataFrame:
         numbers = [F.element_at("_p", i + 2).cast("double").alias(c) for i, c in enumerate("xyz")]

@@ -6,7 +6,8 @@ Remote rows: show_name, ordinal, season, episode, name, airdate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,31 +91,65 @@ def match_scores(
     return per_show.filter(F.col("_files") > 0).select(show, "known", "matched", "n_remote", score.alias("score"))
 
 
-def show_stats(local: DataFrame, remotes: dict[str, DataFrame], as_of: str | Column, show: str = SHOW) -> DataFrame:
-    """All that reports count, per show of the local table, in one grouped pass over it and any number of catalogs.
+def listed_keys(catalog: DataFrame, as_of: str | Column) -> DataFrame:
+    """How often each series lists an episode, and in how many aired rows: (series_id, season, episode, listed, aired)."""
+    aired = F.count_if(is_aired(F.col("airdate"), as_of))
+    return catalog.groupBy("series_id", "season", "episode").agg(F.count(F.lit(1)).alias("listed"), aired.alias("aired"))
 
-    local_episodes, known (parsed files); and for each catalog x: matched_x (parsed files that an aired row lists),
-    n_x (rows), missing_x (aired rows without a file, repeats counted) and extra_x (parsed files that no row lists).
+
+def show_stats(
+    local: DataFrame, candidates: dict[str, DataFrame], listed: dict[str, DataFrame], show: str = SHOW
+) -> DataFrame:
+    """All that reports count, per show of the local table, for any number of catalogs.
+
+    ``candidates``: per catalog (show, series_id); ``listed``: per catalog what ``listed_keys`` gives.
+    local_episodes, known (parsed files), keys (their distinct episodes); and for each catalog x: matched_x (parsed files
+    that an aired row lists), n_x (rows), missing_x (aired rows without a file, repeats counted) and extra_x (parsed files
+    that no row lists).  Sums of a whole series meet a show once; only the show's own episodes are looked up one by one,
+    so the rows of a series are not repeated for each show that chose it.
     """
     keys = [show, "season", "episode"]
-    zero, one = F.lit(0), F.lit(1)
-    names = [f"_{kind}_{x}" for x in remotes for kind in ("listed", "aired")]
-    rows = local.select(*keys, one.alias("_files"), *[zero.alias(c) for c in names])
-    for x, remote in remotes.items():
-        own = {f"_listed_{x}": one, f"_aired_{x}": is_aired(F.col("airdate"), as_of).cast("int")}
-        rows = rows.unionByName(remote.select(*keys, zero.alias("_files"), *[own.get(c, zero).alias(c) for c in names]))
-    per_key = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ["_files", *names]])
-    known = F.when(F.col("episode") != 0, F.col("_files")).otherwise(0)
-    counts = []
-    for x in remotes:
-        listed, aired = F.col(f"_listed_{x}"), F.col(f"_aired_{x}")
-        counts += [
-            F.sum(F.when(aired > 0, known).otherwise(0)).alias(f"matched_{x}"), F.sum(listed).alias(f"n_{x}"),
-            F.sum(F.when(known == 0, aired).otherwise(0)).alias(f"missing_{x}"),
-            F.sum(F.when(listed == 0, known).otherwise(0)).alias(f"extra_{x}"),
-        ]
-    per_show = per_key.groupBy(show).agg(F.sum("_files").alias("local_episodes"), F.sum(known).alias("known"), *counts)
-    return per_show.filter(F.col("local_episodes") > 0)
+    label = lambda x, df: df.withColumn("_x", F.lit(x))
+    picks = union(label(x, c.select(F.col(show).alias("_show"), "series_id")) for x, c in candidates.items())
+    lists = union(
+        label(x, df.select("series_id", F.col("season").alias("_season"), F.col("episode").alias("_episode"), "listed", "aired"))
+        for x, df in listed.items()
+    )
+    per_show = local.groupBy(show).agg(F.count(F.lit(1)).alias("local_episodes"), F.count_if(F.col("episode") != 0).alias("known"))
+    own = parsed(local).groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"))
+    met = (
+        own.join(picks, F.col(show).eqNullSafe(F.col("_show")))
+        .join(lists, ["_x", "series_id"])
+        .filter(F.col("season").eqNullSafe(F.col("_season")) & (F.col("episode") == F.col("_episode")))
+    )
+    per_key = met.groupBy(*keys, "_files", "_x").agg(F.sum("listed").alias("listed"), F.sum("aired").alias("aired"))
+    sizes = lists.groupBy("_x", "series_id").agg(F.sum("listed").alias("listed"), F.sum("aired").alias("aired"))
+    of = lambda x, value, where=True: F.sum(F.when((F.col("_x") == x) & where, value).otherwise(0))
+    files, aired, rows = F.col("_files"), F.col("aired"), F.col("listed")
+    found = per_key.groupBy(F.col(show).alias("_met")).agg(*[
+        c for x in candidates
+        for c in (of(x, files, aired > 0).alias(f"_m_{x}"), of(x, aired).alias(f"_f_{x}"), of(x, files).alias(f"_l_{x}"))
+    ])
+    whole = picks.join(sizes, ["_x", "series_id"]).groupBy(F.col("_show").alias("_whole")).agg(*[
+        c for x in candidates for c in (of(x, rows).alias(f"_n_{x}"), of(x, aired).alias(f"_a_{x}"))
+    ])
+    distinct = own.groupBy(F.col(show).alias("_own")).agg(F.count(F.lit(1)).alias("_keys"))
+    joined = per_show
+    for other, name in ((distinct, "_own"), (found, "_met"), (whole, "_whole")):
+        joined = joined.join(other, F.col(show).eqNullSafe(F.col(name)), "left")
+    count = lambda name: F.coalesce(name, F.lit(0))
+    counts = [
+        c for x in candidates
+        for c in (
+            count(f"_m_{x}").alias(f"matched_{x}"), count(f"_n_{x}").alias(f"n_{x}"),
+            (count(f"_a_{x}") - count(f"_f_{x}")).alias(f"missing_{x}"), (F.col("known") - count(f"_l_{x}")).alias(f"extra_{x}"),
+        )
+    ]
+    return joined.select(show, "local_episodes", "known", count("_keys").alias("keys"), *counts)
+
+
+def union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def score_of(matched: Column, known: Column) -> Column:
@@ -153,16 +188,27 @@ def pick_candidate(hits: DataFrame, aired: DataFrame, local_counts: DataFrame, s
     ``hits``: show, rank, id, title, status; ``aired``: series_id, aired; ``local_counts``: show, local_count.
     A show without parsed local episodes takes its first hit, as does one whose counts are all unknown.
     A series that landed without episodes counts 0; only one that never landed is unknown.
+    """
+    return nearest_candidate(first_candidates(hits, show), aired, local_counts, show)
+
+
+def first_candidates(hits: DataFrame, show: str = SHOW) -> DataFrame:
+    """The first five hits of each show that are not in development, with their ``_place``.
+
     The five-row limit per show is pushed below the shuffle as a group limit.
     """
     live = hits.filter(F.coalesce("status", F.lit("")) != "In Development")
-    first = live.withColumn("_place", F.row_number().over(W.partitionBy(show).orderBy("rank"))).filter(
+    return live.withColumn("_place", F.row_number().over(W.partitionBy(show).orderBy("rank"))).filter(
         F.col("_place") <= CANDIDATES_COUNTED
     )
+
+
+def nearest_candidate(first: DataFrame, aired: DataFrame, local_counts: DataFrame, show: str = SHOW) -> DataFrame:
+    """Of the hits that ``first_candidates`` keeps, the one ``pick_candidate`` names."""
     compared = first.join(aired.withColumnRenamed("series_id", "id"), "id", "left").join(local_counts, show, "left")
     known = F.coalesce("local_count", F.lit(0))
     distance = F.when(known > 0, F.coalesce(F.abs(F.col("aired") - known), F.lit(1 << 62))).otherwise(0)
-    fields = [c for c in hits.columns if c != show]
+    fields = [c for c in first.columns if c not in (show, "_place")]
     return (
         compared.groupBy(show)
         .agg(F.min_by(F.struct(*fields), F.struct(distance, F.col("_place"))).alias("_c"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.functions.episodes import report_ok
+from sparkaudit.functions.episodes import is_aired, report_ok
 from sparkaudit.landing import forget_landed, landed
 from sparkaudit.operators import reconcile as R
 
@@ -23,17 +23,86 @@ NO_EPISODES = {CATALOG_A: "No episodes found on TVmaze", CATALOG_B: "No episodes
 SHOW = R.SHOW
 
 
+#: A show of at most so many parsed files and listed rows is compared in one row; others by joins of rows.
+FILES_IN_ROW, LISTED_IN_ROW = 1_000, 10_000
+
+
 @dataclass(frozen=True)
 class Reconciled:
-    """Reports (one row per show) and the long tables behind them."""
+    """Reports (one row per show) and the long tables behind them.
+
+    ``chosen`` has (show, series_id, source) of the catalog a report goes by, ``series`` the episodes of those
+    series with their source, ``usable`` the shows whose files are compared at all.
+    """
 
     reports: DataFrame
     missing: DataFrame
     extra: DataFrame
     remote: DataFrame
     local: DataFrame
+    chosen: DataFrame
+    series: DataFrame
+    usable: DataFrame
+    as_of: str
     folders: list[str] = field(default_factory=list)
 
+    def in_rows(self, files_in_row: int = FILES_IN_ROW, listed_in_row: int = LISTED_IN_ROW) -> tuple[DataFrame, Reconciled]:
+        """Shows of usual size compared in one row each, and the rest as tables of rows.
+
+        First their reports with ``missing`` and ``extra``: lists of (season, episode, name, airdate) in catalog order and
+        of (season, episode, path) in path order, and ``seasons`` that have files.  The rows of a series are read beside each
+        such show and never shuffled for it.  Larger shows, those of several hits or reports and those whose series has a season
+        without number or episodes of several blocks of labels are in the second alone, which has the other reports.
+        """
+        block = F.floor(F.col("episode") / R.LABELS_PER_BLOCK)
+        size = self.series.groupBy("source", "series_id").agg(
+            F.count(F.lit(1)).alias("_n"), F.bool_and(F.col("season").isNotNull()).alias("_placed"),
+            (F.min(block) == F.max(block)).alias("_one_block"),
+        )
+        small = size.filter((F.col("_n") <= listed_in_row) & F.col("_placed") & F.col("_one_block")).select("source", "series_id")
+        known = R.parsed(self.local).groupBy(SHOW).agg(F.count(F.lit(1)).alias("_known"))
+        usual = known.filter(F.col("_known") <= files_in_row).select(SHOW)
+        single = (
+            self.chosen.groupBy(SHOW)
+            .agg(F.count(F.lit(1)).alias("_hits"), F.first("series_id").alias("series_id"), F.first("source").alias("source"))
+            .filter("_hits = 1").drop("_hits").join(small, ["source", "series_id"], "left_semi")
+            .join(self.usable, SHOW, "left_semi").join(known.filter(F.col("_known") > files_in_row), SHOW, "left_anti")
+        )
+        alone = self.reports.groupBy(SHOW).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows = 1")
+        single = landed(single.join(alone, SHOW, "left_semi"), self.folders)
+        entry = F.struct("ordinal", "season", "episode", "name", "airdate", is_aired(F.col("airdate"), self.as_of).alias("aired"))
+        lists = self.series.join(small, ["source", "series_id"], "left_semi").groupBy("source", "series_id").agg(
+            F.array_sort(F.collect_list(entry)).alias("_listed")
+        )
+        files = R.parsed(self.local).join(usual, SHOW, "left_semi").groupBy(SHOW).agg(
+            F.array_sort(F.collect_list(F.struct("path", "season", "episode"))).alias("_files")
+        )
+        key = lambda x: F.when(x.season.isNotNull(), F.struct(x.season.alias("season"), x.episode.alias("episode")))
+        met = self.reports.join(single, SHOW).join(files, SHOW, "left").join(landed(lists, self.folders), ["source", "series_id"])
+        none = F.array().cast(files.schema["_files"].dataType)
+        compared = met.withColumn("_files", F.coalesce("_files", none))
+        own, theirs = F.transform("_files", key), F.transform("_listed", key)
+        has = lambda keys, x: F.coalesce(F.array_contains(keys, key(x)), F.lit(False))
+        keyed = compared.withColumns({"_own": own, "_theirs": theirs})
+        lacking = F.filter("_listed", lambda x: x.aired & ~has(F.col("_own"), x))
+        beyond = F.filter("_files", lambda x: ~has(F.col("_theirs"), x))
+        short = keyed.select(
+            *self.reports.columns, F.array_distinct(F.transform("_files", lambda x: x.season)).alias("seasons"),
+            F.transform(lacking, lambda x: F.struct(*[x[c].alias(c) for c in ("season", "episode", "name", "airdate")])).alias("missing"),
+            F.transform(beyond, lambda x: F.struct(*[x[c].alias(c) for c in ("season", "episode", "path")])).alias("extra"),
+        )
+        done = single.select(SHOW)
+        chosen = landed(self.chosen.join(done, SHOW, "left_anti"), self.folders)
+        remote = _rows_of(chosen, self.series)
+        rest = self.local.join(chosen.select(SHOW).distinct(), SHOW, "left_semi")
+        reports = self.reports.join(done, SHOW, "left_anti")
+        return short, replace(_reconciled_rows(self, remote, rest, chosen), reports=reports)
+
+    def landed_reports(self) -> Reconciled:
+        """The same with its reports landed, for those who read them several times."""
+        reports = landed(self.reports, self.folders)
+        return replace(self, reports=reports, usable=_usable(reports))
+
     def unpersist(self) -> None:
         """Delete the tables landed for the report; none of its results can be read then."""
         forget_landed(self.folders)
@@ -50,9 +119,30 @@ def _episodes(catalog: DataFrame) -> DataFrame:
     return catalog.filter("episode IS NOT NULL")
 
 
-def _first_hits(hits: DataFrame, catalog: DataFrame, local: DataFrame, as_of: str, landed_series: DataFrame | None) -> DataFrame:
-    aired = R.aired_count(catalog, as_of, landed=landed_series)
-    return R.pick_candidate(hits, aired, R.local_episode_count(local))
+def _first_hits(
+    hits: DataFrame, catalog: DataFrame, local: DataFrame, as_of: str, landed_series: DataFrame | None, folders: list[str]
+) -> DataFrame:
+    """The counts are landed for the series that hits name only: a small table is then known to be one before it is joined."""
+    first = landed(R.first_candidates(hits), folders)
+    named = first.select(F.col("id").alias("series_id")).distinct()
+    aired = landed(R.aired_count(catalog, as_of, landed=landed_series).join(named, "series_id", "left_semi"), folders)
+    return R.nearest_candidate(first, aired, R.local_episode_count(local))
+
+
+def _of_series(candidates: DataFrame) -> DataFrame:
+    return candidates.select(SHOW, F.col("id").alias("series_id"))
+
+
+def _chosen_only(episodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The episodes of series that some show chose."""
+    return episodes.join(_of_series(candidates).select("series_id").distinct(), "series_id", "left_semi")
+
+
+def _stats(
+    local: DataFrame, candidates: dict[str, DataFrame], catalogs: dict[str, DataFrame], as_of: str, folders: list[str]
+) -> DataFrame:
+    listed = {x: landed(R.listed_keys(c, as_of), folders) for x, c in catalogs.items()}
+    return R.show_stats(local, {x: _of_series(c) for x, c in candidates.items()}, listed)
 
 
 def reconcile_one(
@@ -66,11 +156,12 @@ def reconcile_one(
     folders: list[str] = []
     local, catalog = landed(local, folders), landed(episodes, folders)
     if source == CATALOG_A:
-        candidates = landed(_first_hits(hits, catalog, local, as_of, landed_series), folders)
+        candidates = landed(_first_hits(hits, catalog, local, as_of, landed_series, folders), folders)
     else:
         candidates = landed(hits.filter(F.col("rank") == 1), folders)
-    remote = _remote_of(candidates, _episodes(catalog))
-    stats = R.show_stats(local, {"r": remote}, as_of)
+    episodes_chosen = landed(_chosen_only(_episodes(catalog), candidates), folders)
+    remote = _remote_of(candidates, episodes_chosen)
+    stats = _stats(local, {"r": candidates}, {"r": episodes_chosen}, as_of, folders)
     found = stats.join(candidates.select(SHOW, "id", "title", "status", F.lit(True).alias("_hit")), SHOW, "left")
     no_hit, empty = F.col("_hit").isNull(), F.col("n_r") == 0
     error = F.when(no_hit, NO_MATCH[source]).when(empty, NO_EPISODES[source])
@@ -90,7 +181,8 @@ def reconcile_one(
         "local_episodes", F.col("n_r").alias("remote_episodes"), error.alias("lookup_error"),
         F.col("missing_r").alias("missing_count"), F.when(error.isNull(), F.col("extra_r")).otherwise(0).alias("extra_count"),
     )
-    return _reconciled(reports, local, remote, as_of, folders)
+    chosen = _of_series(candidates).withColumn("source", F.lit("r"))
+    return _reconciled(reports, local, remote, as_of, folders, chosen, episodes_chosen.withColumn("source", F.lit("r")))
 
 
 def reconcile_both(
@@ -104,22 +196,27 @@ def reconcile_both(
 ) -> Reconciled:
     """Both catalogs, the better match per show; a tie goes to catalog B when it lists episodes.
 
-    Files and both catalogs are grouped once by (show, season, episode); scores, missing and extra counts follow
-    from there, so the reports need no join of episodes at all.
+    Scores, missing and extra counts come from sums of each series and from the episodes a show has files of, so
+    the reports never repeat the episodes of a series for the shows that chose it.
     """
     folders: list[str] = []
     local, catalog_a, catalog_b = (landed(t, folders) for t in (local, episodes_a, episodes_b))
-    first_a = landed(_first_hits(hits_a, catalog_a, local, as_of, landed_a), folders)
+    first_a = landed(_first_hits(hits_a, catalog_a, local, as_of, landed_a, folders), folders)
     first_b = landed(hits_b.filter(F.col("rank") == 1), folders)
-    remotes = {"a": _remote_of(first_a, _episodes(catalog_a)), "b": _remote_of(first_b, _episodes(catalog_b))}
-    stats = R.show_stats(local, remotes, as_of)
-    score = {x: R.score_of(F.col(f"matched_{x}"), F.col("known")) for x in remotes}
+    candidates = {"a": first_a, "b": first_b}
+    catalogs = {
+        x: landed(_chosen_only(_episodes(c), candidates[x]), folders) for x, c in (("a", catalog_a), ("b", catalog_b))
+    }
+    stats = _stats(local, candidates, catalogs, as_of, folders)
+    score = {x: R.score_of(F.col(f"matched_{x}"), F.col("known")) for x in candidates}
     better_b = (score["b"] >= score["a"]) & (F.col("n_b") > 0)
     stats = landed(stats.withColumn("chosen", F.when(better_b, "b").when(F.col("n_a") > 0, "a")), folders)
-    remote = None
-    for x, rows in remotes.items():
-        part = rows.join(stats.filter(F.col("chosen") == x).select(SHOW), SHOW, "left_semi")
-        remote = part if remote is None else remote.unionByName(part)
+    series = R.union(c.withColumn("source", F.lit(x)) for x, c in catalogs.items())
+    chosen = R.union(
+        _of_series(c).withColumn("source", F.lit(x)).join(stats.filter(F.col("chosen") == x).select(SHOW), SHOW, "left_semi")
+        for x, c in candidates.items()
+    )
+    remote = _rows_of(chosen, series)
     a = first_a.select(SHOW, F.col("id").alias("_id"), F.col("title").alias("_ta"), F.col("status").alias("_sa"))
     b = first_b.select(SHOW, F.col("title").alias("_tb"), F.col("status").alias("_sb"))
     found = stats.join(a, SHOW, "left").join(b, SHOW, "left")
@@ -135,13 +232,31 @@ def reconcile_both(
         F.when(F.col("chosen").isNull(), NO_MATCH[BOTH]).alias("lookup_error"),
         of_chosen("missing").alias("missing_count"), of_chosen("extra").alias("extra_count"),
     )
-    return _reconciled(reports, local, remote, as_of, folders)
+    return _reconciled(reports, local, remote, as_of, folders, chosen, series)
+
+
+def _rows_of(chosen: DataFrame, series: DataFrame) -> DataFrame:
+    """Episodes of each show's chosen series, from any of the sources."""
+    return series.join(chosen, ["source", "series_id"]).select(SHOW, "ordinal", "season", "episode", "name", "airdate")
 
 
-def _reconciled(reports: DataFrame, local: DataFrame, remote: DataFrame, as_of: str, folders: list[str]) -> Reconciled:
+def _usable(reports: DataFrame) -> DataFrame:
+    return reports.filter(F.col("lookup_error").isNull()).select(SHOW)
+
+
+def _reconciled(
+    reports: DataFrame, local: DataFrame, remote: DataFrame, as_of: str, folders: list[str], chosen: DataFrame, series: DataFrame
+) -> Reconciled:
     """Reports with their outcome, and the two-way difference in rows; shows with a lookup error have no remote rows and no extras."""
     missing = R.missing_from_local(remote, local, as_of)
-    usable = reports.filter(F.col("lookup_error").isNull()).select(SHOW)
+    usable = _usable(reports)
     extra = R.extra_in_local(local, remote).join(usable, SHOW, "left_semi")
     judged = reports.withColumn("ok", report_ok(F.col("missing_count"), F.col("lookup_error")))
-    return Reconciled(judged, missing, extra, remote, local, folders)
+    return Reconciled(judged, missing, extra, remote, local, chosen, series, usable, as_of, folders)
+
+
+def _reconciled_rows(whole: Reconciled, remote: DataFrame, local: DataFrame, chosen: DataFrame) -> Reconciled:
+    """The same comparison of some of the shows."""
+    extra = R.extra_in_local(local, remote).join(whole.usable, SHOW, "left_semi")
+    missing = R.missing_from_local(remote, local, whole.as_of)
+    return replace(whole, missing=missing, extra=extra, remote=remote, local=local, chosen=chosen)

@@ -160,3 +160,26 @@ def test_empty_catalog_counts_zero(spark):
 def test_labels_are_not_capped(spark):
     row = spark.range(1).select(R.repeated(F.lit("x"), F.lit(101)).alias("r")).first()
     assert row["r"] == ["x"] * 101
+
+
+def test_lists_in_one_row_equal_lists_of_rows(spark):
+    result = reconcile_both(*both(spark), AS_OF)
+    short, rest = result.in_rows()
+    lists = {r["show_name"]: r for r in short.collect()}
+    assert set(lists) == {"tie", "a wins", "B only"} and rest.missing.count() == 0 and rest.extra.count() == 0
+    assert [tuple(x) for x in lists["a wins"]["missing"]] == [(3, 1, "a3", "2020-01-02")]
+    assert [tuple(x) for x in lists["B only"]["extra"]] == [(2, 7, "r"), (2, 7, "s")]
+    short, rest = result.in_rows(0, 0)
+    assert short.count() == 0 and (rest.missing.count(), rest.extra.count()) == (3, 2)
+    result.unpersist()
+
+
+def test_counts_do_not_repeat_a_series_for_each_show(spark):
+    local = spark.createDataFrame([("s", 1, 1, "p"), ("s", 1, 1, "q"), ("s", None, 2, "p"), ("s", 1, 0, "u"), (None, 1, 1, "p")], LOCAL)
+    eps = spark.createDataFrame(
+        [(1, 1, 1, 1, "a", "2020-01-01"), (1, 2, 1, 1, "b", "2020-01-01"), (1, 3, None, 2, "c", "2020-01-01"), (1, 4, 9, 9, "d", "2020-01-01"),
+         (1, 5, 1, 7, "e", "")], EPISODES)
+    candidates = spark.createDataFrame([("s", 1), ("s", 1), (None, 1)], "show_name string, series_id bigint")
+    stats = R.show_stats(local, {"r": candidates}, {"r": R.listed_keys(eps, AS_OF)})
+    got = {r["show_name"]: (r["local_episodes"], r["known"], r["matched_r"], r["n_r"], r["missing_r"], r["extra_r"]) for r in stats.collect()}
+    assert got == {"s": (4, 3, 3, 10, 2, 0), None: (1, 1, 1, 5, 2, 0)}

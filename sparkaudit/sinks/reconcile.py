@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.sinks.audit import CSV
@@ -10,7 +10,7 @@ from sparkaudit.functions.episodes import season_ep_label
 from sparkaudit.functions.text import two_digits
 from sparkaudit.operators import reconcile as R
 from sparkaudit.operators.ordering import ranked
-from sparkaudit.plans.reconcile import Reconciled
+from sparkaudit.plans.reconcile import FILES_IN_ROW, LISTED_IN_ROW, Reconciled
 
 SHOW = R.SHOW
 ENTRIES_PER_PART = 10_000
@@ -38,8 +38,11 @@ def reconcile_json_rows(result: Reconciled, per_part: int = ENTRIES_PER_PART) ->
     """One nested row per show.
 
     A show with more than ``per_part`` entries in a list continues in further rows
-    (``part`` 1, 2, …), so no list grows with the table.
+    (``part`` 1, 2, …), so no list grows with the table.  Shows whose lists fit one row by their
+    sizes are compared there; the others are numbered and cut into parts.
     """
+    result = result.landed_reports()
+    short, rest = result.in_rows(min(FILES_IN_ROW, per_part), min(LISTED_IN_ROW, per_part))
 
     def in_parts(df: DataFrame, order: list[str], fields: list[str], name: str) -> DataFrame:
         numbered = ranked(df, order, [SHOW], "_rank")
@@ -49,10 +52,12 @@ def reconcile_json_rows(result: Reconciled, per_part: int = ENTRIES_PER_PART) ->
         return listed.withColumn(name, F.transform(name, lambda x: x.e))
 
     remote_fields = ["season", "episode", "name", "airdate"]
-    missing = in_parts(result.missing, ["ordinal", *remote_fields], remote_fields, "missing")
-    extra = in_parts(result.extra, ["path", "season", "episode"], ["season", "episode", "path"], "extra")
+    missing = in_parts(rest.missing, ["ordinal", *remote_fields], remote_fields, "missing")
+    extra = in_parts(rest.extra, ["path", "season", "episode"], ["season", "episode", "path"], "extra")
     parts = missing.join(extra, [SHOW, "part"], "full_outer")
-    joined = result.reports.join(parts, SHOW, "left")
+    joined = rest.reports.join(parts, SHOW, "left").unionByName(
+        short.drop("seasons").withColumn("part", F.lit(0).cast("bigint"))
+    )
     return joined.select(
         SHOW, F.coalesce("part", F.lit(0)).alias("part"), "matched_title", "tvmaze_id", "status", "source_used",
         F.col("local_episodes").alias("local_episode_count"),
@@ -68,6 +73,7 @@ def write_reconcile_json(result: Reconciled, path: str) -> None:
 
 def reconcile_text_lines(result: Reconciled, missing_only: bool = False) -> DataFrame:
     """Report lines in order: totals, then per show its heading, gaps by season and extras."""
+    result = result.landed_reports()
     reports = R.only_issues(result.reports) if missing_only else result.reports
     totals = R.reconcile_totals(result.reports).select(
         F.lit(0).alias("group"),
@@ -110,33 +116,55 @@ def reconcile_text_lines(result: Reconciled, missing_only: bool = False) -> Data
             )
         ),
     ).filter(F.col("value").isNotNull())
-    gaps = R.missing_by_season(result.missing, result.local)
-    number = two_digits(F.col("season"))
-    many = F.when(F.col("n_missing") != 1, "s").otherwise("")
-    whole = F.concat(
-        F.lit("    ✗ Season "), number, F.lit(" entirely missing ("), F.col("n_missing"), F.lit(" episode"), many, F.lit(")")
-    )
-    some = F.concat(F.lit("    ✗ Missing S"), number, F.lit(": "), R.label_list(F.col("labels")))
+    short, rest = result.in_rows()
+
+    def gap_text(season: Column, n: Column, entirely: Column, labels: Column) -> Column:
+        number, many = two_digits(season), F.when(n != 1, "s").otherwise("")
+        whole = F.concat(F.lit("    ✗ Season "), number, F.lit(" entirely missing ("), n, F.lit(" episode"), many, F.lit(")"))
+        return F.when(entirely, whole).otherwise(F.concat(F.lit("    ✗ Missing S"), number, F.lit(": "), labels))
+
+    gaps = R.missing_by_season(rest.missing, rest.local)
     gap_lines = gaps.filter(~F.col("entirely_missing") | F.col("first_block")).select(
         F.lit(1).alias("group"), SHOW, F.lit(3).alias("step"), "season", "block",
-        F.when(F.col("entirely_missing"), whole).otherwise(some).alias("value"),
+        gap_text(F.col("season"), F.col("n_missing"), F.col("entirely_missing"), R.label_list(F.col("labels"))).alias("value"),
+    )
+
+    def season_gap(season: Column) -> Column:
+        numbers = F.array_sort(F.transform(F.filter("missing", lambda x: x.season == season), lambda x: x.episode))
+        labels = F.array_join(F.transform(numbers, lambda e: season_ep_label(season, e)), ", ")
+        entirely = ~F.coalesce(F.array_contains("seasons", season), F.lit(False))
+        return F.struct(
+            season.alias("season"), F.floor(F.element_at(numbers, 1) / R.LABELS_PER_BLOCK).alias("block"),
+            gap_text(season, F.size(numbers), entirely, labels).alias("value"),
+        )
+
+    found = short.filter(F.size("missing") > 0)
+    lacking = F.array_distinct(F.transform("missing", lambda x: x.season))
+    short_gaps = found.select(
+        F.lit(1).alias("group"), SHOW, F.lit(3).alias("step"), F.inline(F.transform(lacking, season_gap))
     )
     # At most 99 seasons of 299 parsed episodes: the labels of one show are bounded.
-    beyond = result.extra.groupBy(*R.KEYS).agg(F.count(F.lit(1)).alias("copies"))
+    beyond = rest.extra.groupBy(*R.KEYS).agg(F.count(F.lit(1)).alias("copies"))
     entry = F.struct("season", "episode", season_ep_label(F.col("season"), F.col("episode")).alias("label"), "copies")
     extra_lines = (
         beyond.groupBy(SHOW)
         .agg(F.array_sort(F.collect_list(entry)).alias("labels"))
-        .join(result.reports.select(SHOW, label.alias("source")), SHOW)
-        .select(
-            F.lit(1).alias("group"), SHOW, F.lit(4).alias("step"),
-            F.concat(F.lit("    ? Extra (not in "), F.col("source"), F.lit("): "), R.label_list(F.col("labels"))).alias("value"),
-        )
+        .join(rest.reports.select(SHOW, label.alias("source")), SHOW)
+        .select(SHOW, "source", R.label_list(F.col("labels")).alias("labels"))
+    )
+    beside = F.array_sort(F.transform("extra", lambda x: F.struct(x.season, x.episode)))
+    short_extra = short.filter(F.size("extra") > 0).select(
+        SHOW, label.alias("source"),
+        F.array_join(F.transform(beside, lambda x: season_ep_label(x.season, x.episode)), ", ").alias("labels"),
+    )
+    extra_lines = extra_lines.unionByName(short_extra).select(
+        F.lit(1).alias("group"), SHOW, F.lit(4).alias("step"),
+        F.concat(F.lit("    ? Extra (not in "), F.col("source"), F.lit("): "), F.col("labels")).alias("value"),
     )
     if missing_only:
         extra_lines = extra_lines.join(reports.select(SHOW), SHOW, "left_semi")
     lines = heads
-    for other in (gap_lines, extra_lines, totals):
+    for other in (gap_lines, short_gaps, extra_lines, totals):
         lines = lines.unionByName(other, allowMissingColumns=True)
     return lines.orderBy("group", F.lower(SHOW), SHOW, "step", "season", "block").select("value")
 

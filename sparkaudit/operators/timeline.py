@@ -127,6 +127,10 @@ def _frame(t: Column, index: Column | int, weight: float) -> Column:
     )
 
 
+def _heard(group: Column, start: Column, end: Column) -> Column:
+    return F.when((group == 0) | (end - start < SHORTEST), 0).otherwise(group)
+
+
 def alignment_keyframes(
     rows: DataFrame,
     by: Sequence[str],
@@ -142,14 +146,26 @@ def alignment_keyframes(
     A silent or very short row gives a rest when the row before was not one; any other
     row gives an onset when its group is new, a peak, an end and a release.  A final rest
     follows the last row.  Read in (t, pos, step) order.
+
+    Rows that bring the row ``before`` them along, as ``read_alignments`` gives them, are taken as they are;
+    only those marked ``shared`` and rows of other sources are put in order.
     """
     by = list(by)
     group = symbol_of(F.col(symbol)) if groups is None else groups
     s, e = F.col(start).cast("double"), F.col(end).cast("double")
-    heard = F.when((group == 0) | (e - s < SHORTEST), 0).otherwise(group)
+    heard = _heard(group, s, e)
+    carried = groups is None and {"before", "shared"} <= set(rows.columns)
     base = rows.select(*by, F.col(pos).alias("pos"), s.alias("_s"), e.alias("_e"), heard.alias("_group"),
-                       *(["last_end"] if "last_end" in rows.columns else []))
-    seen = O.previous_value(base.filter(F.col("pos").isNotNull()), "_group", ["pos"], by, "_before")
+                       *(["last_end"] if "last_end" in rows.columns else []), *(["before", "shared"] if carried else []))
+    placed = base.filter(F.col("pos").isNotNull())
+    if carried:
+        b = F.col("before")
+        told = _heard(symbol_of(b["symbol"]), b["start"].cast("double"), b["end"].cast("double"))
+        seen = placed.filter(~F.col("shared")).withColumn("_before", F.when(b.isNotNull(), told)).unionByName(
+            O.previous_value(placed.filter("shared"), "_group", ["pos"], by, "_before")
+        )
+    else:
+        seen = O.previous_value(placed, "_group", ["pos"], by, "_before")
     before, g = F.coalesce("_before", F.lit(-1)), F.col("_group")
     rest = F.when((g == 0) & (before != 0), _frame(F.col("_s"), 0, 0.0))
     onset = F.when((g != 0) & (before != g), _frame(F.col("_s"), g, 0.0))

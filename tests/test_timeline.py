@@ -147,3 +147,21 @@ def test_playable_and_silent_alignments(spark):
     probes = spark.createDataFrame([(1, 0.25), (2, 1.0), (2, 3.0)], "id int, now double")
     state = {(r["id"], r["now"]): r for r in interpolate_at(probes, frames, ["id"]).collect()}
     assert state[1, 0.25]["viseme_weight"] == 1.0 and state[2, 3.0]["emotion_a"] == "neutral" and state[2, 1.0]["head_yaw"] == 0.0
+
+
+def test_pairs_of_one_payload_need_no_order(spark):
+    from sparkaudit.sources.timelines import read_alignments
+
+    def payload(text):
+        ends = [i * 0.25 + 0.125 for i in range(len(text))]
+        return json.dumps({"alignment": {"characters": list(text), "character_start_times_seconds": [i * 0.25 for i in range(len(text))],
+                                         "character_end_times_seconds": ends}})
+
+    docs = spark.createDataFrame([("x", payload("aa b")), ("y", payload("ab")), ("y", payload("ab"))], "id string, payload string")
+    rows = read_alignments(docs)
+    frames = K.alignment_keyframes(rows, ["id"])
+    plain = K.alignment_keyframes(rows.drop("before", "shared"), ["id"])
+    key = lambda df: sorted(map(str, df.filter("id = 'x'").collect()))
+    assert key(frames) == key(plain) and frames.count() == plain.count()
+    alone = K.alignment_keyframes(rows.filter("NOT shared"), ["id"])
+    assert "Window" not in alone._jdf.queryExecution().optimizedPlan().toString()

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 ROWS_PER_SEGMENT = 1_000_000
+#: Without groups there is one cell a range, so ranges are finer: each is a task, and few of them leave cores idle.
+ROWS_PER_TASK = 1 << 17
 LEAST_SEGMENTS = 4
 #: Beyond so many ranges they grow evenly; windows stream through a sorted cell, so that costs time, not memory.
 MOST_SEGMENTS = 1 << 16
@@ -48,9 +50,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def rows_per_segment(df: DataFrame) -> int:
+def rows_per_segment(df: DataFrame, rows: int = ROWS_PER_SEGMENT) -> int:
     conf = df.sparkSession.conf.get("spark.sparkaudit.rowsPerSegment", None)
-    return int(conf) if conf else ROWS_PER_SEGMENT
+    return int(conf) if conf else rows
 
 
 def _key(cols: Sequence[str]) -> Column:
@@ -79,7 +81,7 @@ def _value_in_order(value) -> tuple:
     return (1, value)
 
 
-def cut_points(df: DataFrame, order: Sequence[str]) -> list:
+def cut_points(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_SEGMENT) -> list:
     """Ascending, distinct cut points of the order key, at about equal numbers of rows.
 
     One pass: the rows are counted while those of the smallest hashes are picked, which are a sample.
@@ -90,7 +92,7 @@ def cut_points(df: DataFrame, order: Sequence[str]) -> list:
     placed = df.observe(counted, F.count(F.lit(1)).alias("n")).select(_key(order).alias("key"), place.alias("place"))
     picked = placed.orderBy("place").limit(SAMPLED).select("key").collect()
     n = counted.get["n"]
-    segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, -(-n // rows_per_segment(df))))
+    segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, -(-n // rows_per_segment(df, rows))))
     wanted = segments * SAMPLES_PER_SEGMENT
     if wanted <= SAMPLED or n <= SAMPLED:
         equal = groupby(sorted((r["key"] for r in picked), key=in_order), key=in_order)
@@ -181,7 +183,7 @@ def ranked(
     """
     by = list(by)
     tally = F.count_if(F.lit(True) if counted is None else counted)
-    segmented = with_segment(df, order)
+    segmented = with_segment(df, order, cut_points(df, order, ROWS_PER_SEGMENT if by else ROWS_PER_TASK))
     group = W.partitionBy(*(by or [F.lit(0)]))
     carry = (
         segmented.groupBy(*by, SEGMENT)

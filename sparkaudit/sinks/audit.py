@@ -96,8 +96,8 @@ def audit_text_lines(
     heads = counts.select(
         F.inline(
             F.array(
-                F.struct(F.lit(0).alias("section"), head.alias("lines")),
-                F.struct(F.lit(2).alias("section"), bad_head.alias("lines")),
+                F.struct(F.lit(0).alias("_section"), head.alias("_head")),
+                F.struct(F.lit(2).alias("_section"), bad_head.alias("_head")),
             )
         )
     )
@@ -117,26 +117,22 @@ def audit_text_lines(
         X.pad_left(cell["duration_hms"], 9),
         cell["filename"],
     )
-    keys = [k.alias(f"_k{i}") for i, k in enumerate(sort_keys(sort_by))]
-    names = [f"_k{i}" for i in range(len(keys))]
     bad_lines = F.array(
         F.concat(F.lit("  [CORRUPT] "), F.col("path")),
         F.concat(F.lit("            Reason: "), F.col("corrupt_reason")),
         F.concat(F.lit("            Size:   "), X.fmt_size(F.col("size_bytes"))),
         F.lit(""),
     )
-    is_bad = F.col("corrupt") == "yes"
-    rows = audit_rows(df, *keys).select(
-        F.when(is_bad, 3).otherwise(1).alias("section"),
-        F.when(is_bad, bad_lines).otherwise(F.array(line)).alias("lines"),
-        "path",
-        *[F.when(~is_bad, F.col(n)).alias(n) for n in names],
-    )
-    parts = rows.unionByName(heads, allowMissingColumns=True)
+    names = [f"_k{i}" for i in range(len(sort_keys(sort_by)))]
+    keys = [F.when(~F.col("corrupt"), k).alias(n) for k, n in zip(sort_keys(sort_by), names)]
+    section = F.when(F.col("corrupt"), 3).otherwise(1).alias("_section")
+    parts = df.select("*", section, *keys).unionByName(heads, allowMissingColumns=True)
     turned = [F.col(n).desc() if desc else F.col(n).asc() for n in names]
-    return parts.select("*", F.posexplode("lines").alias("line_no", "line")).orderBy(
-        "section", *turned, F.split("path", "/"), "line_no"
-    ).select(F.col("line").alias("value"))
+    # Rows are put in order before they are formatted: the sort looks at its input twice, once to sample it.
+    ordered = parts.orderBy("_section", *turned, F.split("path", "/"))
+    lines = F.when(F.col("corrupt") == "yes", bad_lines).otherwise(F.array(line))
+    rows = audit_rows(ordered, F.col("_section"), F.col("_head"))
+    return rows.select(F.explode(F.when(F.col("_section") % 2 == 0, F.col("_head")).otherwise(lines)).alias("value"))
 
 
 def write_audit_text(df: DataFrame, path: str, sort_by: str = "efficiency", desc: bool = False, **kw) -> None:

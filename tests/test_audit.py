@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.operators import audit as A
 from sparkaudit.plans.audit import audit_probes, audit_report
+from sparkaudit.sinks.audit import audit_text_lines
 from sparkaudit.sources.media import read_probe_payloads, read_vmaf_logs, scan_media_files
 
 VIDEO = {"codec_type": "video", "codec_name": "hevc", "width": 1920, "height": "1080", "r_frame_rate": "24000/1001"}
@@ -151,3 +152,13 @@ def test_places_of_equals_that_lie_in_many_cells(spark, many_segments):
     # One shuffle of the rows: what else is shuffled is one row per cell.
     assert sum("Exchange hashpartitioning" in line and "_path_key" not in line for line in plan_of(out).splitlines()) <= 8
     assert plan_of(out).count("SortMergeJoin") == 0
+
+
+def test_text_report_is_sorted_before_it_is_formatted(spark):
+    probes = spark.createDataFrame([("/m/b.mkv", None, 20), ("/m/b.mkv", "{bad", 30), ("/m/a.mkv", payload(), 10)], SCHEMA)
+    lines = audit_text_lines(audit_probes(probes))
+    assert "format_string" not in plan_of(lines).split("rangepartitioning")[1]
+    values = [r["value"] for r in lines.collect()]
+    assert values[0] == "MEDIA AUDIT REPORT" and values[10].endswith("a.mkv") and values[13] == "CORRUPT / UNREADABLE FILES (2)"
+    # The lines of a file stay together, also beside those of an equal path.
+    assert [v.strip().split(" ")[0] for v in values[15:]] == ["[CORRUPT]", "Reason:", "Size:", ""] * 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions.episodes import EPISODE_EXTENSIONS, PAIRS, episodes_of, season_of, status_text
 from sparkaudit.functions.media import has_extension
+from sparkaudit.landing import landed
 from sparkaudit.operators.pages import contiguous_pages
 
 FLAT_EPISODE = "struct<season:int,number:int,name:string,airdate:string,type:string>"
@@ -95,10 +96,9 @@ def read_catalog_paged(
         F.col(payload).isNotNull().alias("_landed"),
     )
     has_next = F.coalesce(~F.col("p.links.next").isin("", "0", "false"), F.lit(False))
-    read = contiguous_pages(
-        parsed.withColumn("_ok", F.col("_landed") & F.col("p").isNotNull()).withColumn("_next", has_next),
-        ["series_id"], "page", "_ok", "_next",
-    )
+    # The chains and the episodes read the pages: they are parsed once.
+    judged = landed(parsed.select("*", (F.col("_landed") & F.col("p").isNotNull()).alias("_ok"), has_next.alias("_next")))
+    read = contiguous_pages(judged, ["series_id"], "page", "_ok", "_next")
     episodes = read.select("series_id", "page", F.posexplode("p.data.episodes").alias("_pos", "e"))
     return episodes.filter((F.col("e.seasonNumber") != 0) & (F.col("e.number") != 0)).select(
         "series_id", (F.col("page") * F.lit(1 << 32) + F.col("_pos")).alias("ordinal"),

@@ -183,3 +183,11 @@ def test_counts_do_not_repeat_a_series_for_each_show(spark):
     stats = R.show_stats(local, {"r": candidates}, {"r": R.listed_keys(eps, AS_OF)})
     got = {r["show_name"]: (r["local_episodes"], r["known"], r["matched_r"], r["n_r"], r["missing_r"], r["extra_r"]) for r in stats.collect()}
     assert got == {"s": (4, 3, 3, 10, 2, 0), None: (1, 1, 1, 5, 2, 0)}
+
+
+def test_pages_are_parsed_once(spark):
+    page = '{"data":{"episodes":[{"seasonNumber":1,"number":2,"name":"n","aired":"2020-01-01"}]},"links":{"next":"1"}}'
+    pages = spark.createDataFrame([(1, 0, page), (1, 1, page), (1, 3, page), (2, 1, page)], "series_id bigint, page int, payload string")
+    out = S.read_catalog_paged(pages)
+    assert "from_json" not in out._jdf.queryExecution().toString()
+    assert sorted((r["series_id"], r["ordinal"] >> 32) for r in out.collect()) == [(1, 0), (1, 1)]

@@ -12,6 +12,8 @@ from sparkaudit.functions.digests import sorted_digests
 from sparkaudit.operators.ordering import attach_group
 
 BANDS = 8
+#: Tasks that share the runs of one column.
+DEALT = 4
 DIGEST_FAN_IN = 1024
 DIGEST_LEVELS = 3
 
@@ -37,7 +39,21 @@ def row_entropy(cells: DataFrame, by: str = "lattice_id") -> DataFrame:
 
 
 def column_entropy(cells: DataFrame, by: str = "lattice_id") -> DataFrame:
-    return shannon_entropy(cells, [by, "c"])
+    """Of cells, or of runs (by, c, tokens) of a column's tokens, as many to a column as there are; their tokens hold no blanks.
+
+    Runs are shuffled as text, a fraction of what rows of single tokens take.  The tokens of a column are dealt
+    by a hash over ``DEALT`` tasks, so that a lattice of very many runs is not one task a column.
+    """
+    if "tokens" not in cells.columns:
+        return shannon_entropy(cells, [by, "c"])
+    share = lambda s: F.array_join(F.filter("tokens", lambda t: F.pmod(F.hash(t), F.lit(DEALT)) == s), " ")
+    shares = F.transform(F.sequence(F.lit(0), F.lit(DEALT - 1)), share)
+    dealt = cells.select(by, "c", F.posexplode(shares).alias("_share", "_text")).filter("_text <> ''")
+    key = [by, "c", "_share"]
+    tokens = dealt.repartition(*key).select(*key, F.explode(F.split("_text", " ")).alias("token"))
+    sums = token_frequencies(tokens, key).groupBy(*key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("_w"))
+    n, weighted = F.sum("n"), F.sum("_w")
+    return sums.groupBy(by, "c").agg(n.alias("n"), (F.log2(n) - weighted / n).alias("entropy"))
 
 
 def spectral_bands(rows: DataFrame, by: str = "lattice_id", bands: int = BANDS) -> DataFrame:
@@ -113,15 +129,29 @@ def tree_fingerprint(
 def lattice_delta(left: DataFrame, right: DataFrame, by: str = "lattice_id") -> DataFrame:
     """Cells that differ between two sets of lattices of equal shape; unequal shapes raise an error.
 
-    A full join on position: a cell that only one side has proves unequal shapes.
+    A full join on position: a cell that only one side has proves unequal shapes.  Rows of cells (by, r, tokens) are
+    joined as such, one key for all cells of a row.
     """
-    a = left.select(by, "r", "c", F.col("token").alias("_a"))
-    b = right.select(by, "r", "c", F.col("token").alias("_b"))
-    joined = a.join(b, [by, "r", "c"], "full_outer")
-    counts = joined.groupBy(by).agg(
-        F.count_if(F.col("_a") != F.col("_b")).alias("delta"),
-        F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("_odd"),
-    )
+    runs = "tokens" in left.columns
+    place, value = ([by, "r"], "tokens") if runs else ([by, "r", "c"], "token")
+    a = left.select(*place, F.col(value).alias("_a"))
+    b = right.select(*place, F.col(value).alias("_b"))
+    joined = a.join(b, place, "full_outer")
+    if runs:
+        differ = F.size(F.filter(F.arrays_zip("_a", "_b"), lambda x: x["_a"] != x["_b"])).cast("bigint")
+        null = lambda c: F.col(c).isNull() | F.exists(c, lambda t: t.isNull())
+        # Rows of several lattices of one key meet crosswise; a cell is without a partner beyond the longest row of the other side.
+        rows = joined.groupBy(*place).agg(
+            F.coalesce(F.sum(differ), F.lit(0)).alias("_n"), F.count_if(null("_a") | null("_b")).alias("_null"),
+            F.max(F.size("_a")).alias("_longest_a"), F.max(F.size("_b")).alias("_longest_b"),
+        )
+        uneven = (F.col("_null") > 0) | ~F.col("_longest_a").eqNullSafe(F.col("_longest_b"))
+        counts = rows.groupBy(by).agg(F.sum("_n").alias("delta"), F.count_if(uneven).alias("_odd"))
+    else:
+        counts = joined.groupBy(by).agg(
+            F.count_if(F.col("_a") != F.col("_b")).alias("delta"),
+            F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("_odd"),
+        )
     fault = F.raise_error("lattice dimensions must match for a delta").cast("bigint")
     return counts.select(by, F.when(F.col("_odd") == 0, F.col("delta")).otherwise(fault).alias("delta"))
 

@@ -10,7 +10,7 @@ from sparkaudit.operators import sampling as P
 from sparkaudit.operators.ordering import spread
 from sparkaudit.plans.lattice import WEIGHTS, analyse, with_seed
 from sparkaudit.queries import table
-from sparkaudit.sources.lattices import lattice_cells, text_lattices, token_pool, tokens_of, words_of
+from sparkaudit.sources.lattices import lattice_cells, text_lattice_runs, text_lattices, token_pool, tokens_of, words_of
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,11 @@ def doc_cells(spark: SparkSession, d: str, length: int | None = None) -> DataFra
     return text_lattices(docs, "lattice_id", "text", length)
 
 
+def doc_runs(spark: SparkSession, d: str, along: str) -> DataFrame:
+    docs = documents(spark, d).withColumnRenamed("doc_id", "lattice_id")
+    return text_lattice_runs(docs, "lattice_id", "text", None, along=along)
+
+
 def _tokens_sql(where: str) -> str:
     return f"""SELECT lattice_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS idx FROM (
       SELECT doc_id AS lattice_id,
@@ -70,7 +75,7 @@ def entropy_row(spark, d):
 
 
 def entropy_column(spark, d):
-    return _rounded(L.column_entropy(doc_cells(spark, d)))
+    return _rounded(L.column_entropy(doc_runs(spark, d, "c")))
 
 
 def entropy_all(spark, d):
@@ -96,9 +101,9 @@ def analysis(spark, d):
 
 def delta(spark, d):
     """Every document against itself with each vowel-led token replaced."""
-    cells = doc_cells(spark, d)
-    other = cells.withColumn("token", F.regexp_replace("token", "^[aeiou].*$", "xxxxx"))
-    return L.lattice_delta(cells, other)
+    rows = doc_runs(spark, d, "r")
+    other = rows.withColumn("tokens", F.transform("tokens", lambda t: F.regexp_replace(t, "^[aeiou].*$", "xxxxx")))
+    return L.lattice_delta(rows, other)
 
 
 def diagonal(spark, d):

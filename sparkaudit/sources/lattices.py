@@ -46,6 +46,24 @@ def text_lattices(
     )
 
 
+def text_lattice_runs(
+    df: DataFrame, by: str, text: str, length: int | None = TOKEN_LENGTH, cols: int = COLUMNS, along: str = "r"
+) -> DataFrame:
+    """The cells of :func:`text_lattices` in runs, a row (``along`` "r") or a column ("c") of a text each: (by, along, tokens)."""
+    held = df.select(F.col(by), F.inline(F.array(F.struct(tokens_of(F.col(text), length).alias("_t")))))
+    rows = F.greatest(F.lit(1), F.floor(F.size("_t") / cols)).cast("int")
+    kept = F.slice("_t", F.lit(1), rows * cols)
+    sized = held.select(by, F.inline(F.array(F.struct(kept.alias("_k"), rows.alias("_rows"))))).filter(F.size("_k") > 0)
+    if along == "r":
+        runs = F.transform(F.sequence(F.lit(0), F.col("_rows") - 1), lambda i: F.slice("_k", i * cols + 1, cols))
+    else:
+        last = F.least(F.lit(cols), F.size("_k")) - 1
+        # A text of fewer tokens than one row has one token a column.
+        places = lambda i: F.sequence(i, i + (F.col("_rows") - 1) * cols, F.lit(cols))
+        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(places(i), lambda at: F.get("_k", at)))
+    return sized.select(by, F.posexplode(runs).alias(along, "tokens"))
+
+
 def _file_tokens(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).withColumn("_tokens", tokens_of(F.col("value")))
     placed = offsets_in_file(lines, {"offset": F.size("_tokens")})

@@ -153,3 +153,26 @@ def test_manifests(spark, scratch):
     write_manifests(manifest, f"{scratch}/logs")
     back = S.read_run_manifests(spark, f"{scratch}/logs/run_date=2026-04-07")
     assert back.count() == 1 and 1 <= S.explode_actions(back).count() <= 2
+
+
+def test_runs_give_the_results_of_cells(spark):
+    texts = [" ".join(f"w{(i * i + d) % 11}" for i in range(n)) for d, n in enumerate((3, 16, 40, 200, 33, 0))]
+    rows = [*enumerate(texts), (2, texts[3]), (2, texts[0]), (9, None)]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    cells = S.text_lattices(docs, "id", "text", None)
+    columns = S.text_lattice_runs(docs, "id", "text", None, along="c")
+    wanted = {(r["id"], r["c"]): (r["n"], round(r["entropy"], 9)) for r in L.column_entropy(cells, "id").collect()}
+    got = {(r["id"], r["c"]): (r["n"], round(r["entropy"], 9)) for r in L.column_entropy(columns, "id").collect()}
+    assert got == wanted and len(got) > 60
+    by_row = S.text_lattice_runs(docs, "id", "text", None)
+    assert sorted(map(tuple, by_row.select("id", "r", F.posexplode("tokens")).collect())) == sorted(map(tuple, cells.collect()))
+    turned = cells.withColumn("token", F.replace("token", F.lit("w1"), F.lit("x")))
+    other = by_row.withColumn("tokens", F.transform("tokens", lambda t: F.replace(t, F.lit("w1"), F.lit("x"))))
+    wanted = sorted(map(tuple, L.lattice_delta(cells, turned, "id").collect()))
+    assert sorted(map(tuple, L.lattice_delta(by_row, other, "id").collect())) == wanted and sum(r[1] for r in wanted) > 40
+    null = by_row.withColumn("id", F.lit(None).cast("int"))
+    for wrong in (by_row.filter("r < 3"), by_row.withColumn("tokens", F.slice("tokens", 1, 9))):
+        with pytest.raises(Exception, match="dimensions must match"):
+            L.lattice_delta(by_row, wrong, "id").collect()
+    with pytest.raises(Exception, match="dimensions must match"):
+        L.lattice_delta(null, null, "id").collect()

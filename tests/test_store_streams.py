@@ -9,6 +9,8 @@ from sparkaudit.operators import audit as A
 from sparkaudit.sinks.lattices import write_manifests
 from sparkaudit.sources.lattices import MANIFEST
 from sparkaudit.sources.media import read_probe_payloads
+from sparkaudit.operators.ordering import cut_points
+from sparkaudit.streaming import graded
 from sparkaudit.streaming.graded import graded_ranges, merge_batch, read_index, start_graded_audit
 from sparkaudit.streaming.manifests import DAY, landed_manifests, start_manifests, stored_manifests
 
@@ -87,3 +89,17 @@ def test_no_good_files(spark, scratch, rows):
     assert graded_ranges(spark, f"{scratch}/store") is None or graded_ranges(spark, f"{scratch}/store").count() == 0
     merge_batch(A.with_verdict(read_probe_payloads(spark.createDataFrame([probe("/a", 5)], PROBES))), f"{scratch}/store", 100, "stream", 1)
     assert graded_ranges(spark, f"{scratch}/store").agg(F.count("*")).first()[0] == 1
+
+
+def test_all_grown_ranges_are_cut_by_one_sample(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(graded, "cut_points", lambda *a: calls.append(a) or cut_points(*a))
+    spark.conf.set("spark.sparkaudit.rowsPerSegment", "20")
+    try:
+        rows = spark.range(400).select((F.col("id") * 7 % 400).cast("double").alias("score"), F.col("id").cast("string").alias("path"))
+        lows = [None, (100.0, ""), (200.0, ""), (395.0, "")]
+        out = graded.split_bounds(rows, lows, {0, 1, 2, 3}, 20)
+    finally:
+        spark.conf.unset("spark.sparkaudit.rowsPerSegment")
+    assert len(calls) == 1 and [b for b in out if b in lows] == lows and len(out) > 12
+    assert out[1:] == sorted(out[1:], key=tuple) and out[-1] == lows[-1]

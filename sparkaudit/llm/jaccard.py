@@ -78,8 +78,8 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def set_bits(grams: np.ndarray) -> bytes:
-    """A bitmap of at least two bits for each n-gram, a power of two in all, by the n-grams' lowest bits."""
-    size = max(1024, 1 << int(2 * len(grams) - 1).bit_length())
+    """A bitmap by the n-grams' lowest bits, a power of two: 16 bits for each n-gram up to ``SKETCH``, two at least beyond."""
+    size = max(min(SKETCH, 1 << int(16 * len(grams) - 1).bit_length()), 1 << int(2 * len(grams) - 1).bit_length(), 1024)
     bits = np.zeros(size, dtype=bool)
     bits[(grams & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -314,19 +314,29 @@ def leader_pairs(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.filter(apart & possible).select(*_pair("node", "leader.node")).distinct()
 
 
-def _possible(row: int, rows: np.ndarray, n: np.ndarray, common: np.ndarray, bits: dict, percent: int) -> np.ndarray:
-    """Which of some rows a row may be similar to, by counts and bitmaps."""
+def _stacked(bitmaps: list[bytes]) -> list[np.ndarray]:
+    """For each size of bitmaps one matrix, longer ones folded to it; rows of shorter ones stay empty, nobody asks for them."""
+    rows = [np.frombuffer(b, np.uint64) for b in bitmaps]
+    out = []
+    for size in sorted({len(x) for x in rows}):
+        matrix = np.zeros((len(rows), size), dtype=np.uint64)
+        for at, x in enumerate(rows):
+            if len(x) >= size:
+                matrix[at] = np.bitwise_or.reduce(x.reshape(-1, size))
+        out.append(matrix)
+    return out
+
+
+def _possible(
+    row: int, rows: np.ndarray, n: np.ndarray, common: np.ndarray, size: np.ndarray, bits: list[np.ndarray], percent: int
+) -> np.ndarray:
+    """Which of some rows a row may be similar to, by counts and bitmaps; ``size``: places of their bitmaps' sizes."""
     most = np.minimum(common[rows], common[row])
     rows = rows[100 * most >= percent * (n[rows] + n[row] - most)]
     found = []
-    for size in {len(bits[r]) for r in rows.tolist()}:
-        some = rows[[len(bits[r]) == size for r in rows.tolist()]]
-        x, y = bits[row], np.stack([bits[r] for r in some.tolist()])
-        while len(x) != y.shape[1]:  # fold the longer one
-            if len(x) > y.shape[1]:
-                x = x[: len(x) // 2] | x[len(x) // 2 :]
-            else:
-                y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+    for at in np.unique(np.minimum(size[rows], size[row])).tolist():
+        some = rows[np.minimum(size[rows], size[row]) == at]
+        x, y = bits[at][row], bits[at][some]
         lacks = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
         adds = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
         most = np.minimum(n[row] - lacks, n[some] - adds)
@@ -385,7 +395,9 @@ def remaining_pairs(posts: DataFrame, rows: DataFrame, percent: int) -> DataFram
         node, n, common, component, side = (
             table.column(c).to_numpy() for c in ("node", "n", "common", "component", "block")
         )
-        bitmaps = {r: np.frombuffer(b, np.uint64) for r, b in enumerate(table.column("bits").to_pylist())}
+        bits = table.column("bits").to_pylist()
+        size = np.unique([len(b) for b in bits], return_inverse=True)[1]
+        bitmaps = _stacked(bits)
         shared = [frozenset(f) for f in table.column("firsts").to_pylist()]
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         pairs = []
@@ -393,7 +405,7 @@ def remaining_pairs(posts: DataFrame, rows: DataFrame, percent: int) -> DataFram
             rest = right[component[right] != component[row]]
             if i == j:
                 rest = rest[node[rest] > node[row]]
-            for at in _possible(row, rest, n, common, bitmaps, percent).tolist():
+            for at in _possible(row, rest, n, common, size, bitmaps, percent).tolist():
                 if min(shared[row] & shared[at], default=gram) >= gram:
                     pairs.append((max(node[row], node[at]), min(node[row], node[at])))
         u, v = np.array(pairs, dtype=np.int64).reshape(-1, 2).T

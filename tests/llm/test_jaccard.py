@@ -106,6 +106,34 @@ def test_bitmaps_never_bound_too_low():
         assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
 
 
+def test_bitmaps_tell_sets_below_the_bound_apart():
+    """Of pairs that share 0.8 of 400 n-grams nearly none may go on to be compared at 0.85."""
+    rng = np.random.default_rng(2)
+    passed = 0
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 444, dtype=np.uint64)
+        a, b = np.unique(pool[:400]), np.unique(np.concatenate([pool[:356], pool[400:]]))
+        most = J.overlap_at_most(len(a), J.set_bits(a), len(b), J.set_bits(b))
+        passed += 100 * most >= 85 * (len(a) + len(b) - most)
+    assert passed <= 10
+
+
+def test_products_take_bitmaps_of_all_sizes():
+    """The stacked bitmaps give every pair the bound that the two bitmaps have."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: 2 * k], k, replace=False)) for k in rng.integers(20, 1400, 60).tolist()]
+    bits, n = [J.set_bits(s) for s in sets], np.array([len(s) for s in sets])
+    size = np.unique([len(b) for b in bits], return_inverse=True)[1]
+    assert len(set(size.tolist())) > 1
+    rows, stacked = np.arange(len(sets)), J._stacked(bits)
+    for percent in (20, 50):
+        for row in rows.tolist():
+            most = [J.overlap_at_most(n[row], bits[row], n[r], bits[r]) for r in rows.tolist()]
+            want = [r for r, m in enumerate(most) if 100 * m >= percent * (n[row] + n[r] - m)]
+            assert sorted(J._possible(row, rows, n, n, size, stacked, percent).tolist()) == want
+
+
 def test_components(spark):
     rng = random.Random(13)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]

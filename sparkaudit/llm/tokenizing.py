@@ -22,7 +22,7 @@ UNSURE = re.compile("[\x00\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u20
 #: A part is what follows a space; these stand before one that follows nothing or a line end.
 AT_START, AT_LINE = "\x00", "\n"
 #: Marks that may follow a word.
-CLOSING = ",.;:!?"
+CLOSING = ",.;:!?*#)]}\""
 MEMO = 1_000_000
 #: Parts encoded as the lines of one text.
 LINES = 5000
@@ -51,6 +51,17 @@ class ByteLevelEncoder:
         self.memo: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.line_end = int.from_bytes(self._ids(["\n"])[0], "little")
+        # A word of Latin letters is one piece to the pattern: its byte letters go to the vocabulary's model at once.
+        self.before = {AT_START: b"", AT_LINE: self.line_end.to_bytes(4, "little")}
+        self.letters = {c: self._byte_letters(chr(c)) for c in range(0x80, 0x100) if chr(c).isalpha()}
+        self.space = self._byte_letters(" ")
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.vocab)]
+
+    @staticmethod
+    def _byte_letters(text: str) -> str:
+        from tokenizers import pre_tokenizers
+
+        return "".join(p for p, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,13 +69,24 @@ class ByteLevelEncoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Encode and remember parts, words apart from the marks that follow them, which are a piece of their own."""
-        split = []
+        split, rest, memo, ids, tokenize = [], [], self.memo, self.id_bytes, self.tokenizer.model.tokenize
         for p in parts:
             word = p.rstrip(CLOSING)
-            if len(word) < len(p) and word and word[-1].isalpha() and word[-1] < "\u0100":
+            before = self.before.get(word[:1])
+            bare = word if before is None else word[1:]
+            if bare.isascii():
+                piece = bare if bare.isalpha() else ""
+            else:
+                piece = bare.translate(self.letters) if bare.isalpha() and max(bare) < "\u0100" else ""
+            if piece and word not in memo:
+                found = [ids[t.id] for t in tokenize(piece if before is not None else self.space + piece)]
+                memo[word] = b"".join(found) if not before else before + b"".join(found)
+            if len(word) < len(p) and (piece or word and word[-1].isalpha() and word[-1] < "\u0100"):
                 split.append((p, word, p[len(word) :]))
+            elif not piece:
+                rest.append(p)
         words = {word for _, word, _ in split}
-        self._encode_parts(list(words.union(parts).difference([p for p, _, _ in split], self.memo)))
+        self._encode_parts(list(words.union(rest).difference(memo)))
         for p, word, marks in split:
             if marks not in self.marks:
                 self.marks[marks] = self._ids([marks])[0]
@@ -96,12 +118,7 @@ class ByteLevelEncoder:
         flat, ends = [], []
         for i, text in enumerate(texts):
             if out[i] is None:
-                mark = AT_START
-                for line in text.split("\n"):
-                    parts = line.split(" ")
-                    parts[0] = mark + parts[0]
-                    flat += parts
-                    mark = AT_LINE
+                flat += (AT_START + text.replace("\n", f" {AT_LINE}")).split(" ")
                 ends.append((i, len(flat)))
         own = set(flat)
         if len(self.memo) > self.most:

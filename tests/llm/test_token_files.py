@@ -123,3 +123,16 @@ def test_query(spark, encoder):
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
     got = op12_token_files(spark, d).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == expected(encoder, rows)
+
+
+def test_words_of_latin_letters_skip_the_pattern(encoder, monkeypatch):
+    """Such words, at starts of texts and lines too and with marks behind, go to the model at once, with the same ids."""
+    text = "Čas\nWörter, straße. DÉJÀ vu:\nàé ÿªº µm. a\nB c. ***\nEnde.) (nicht) don't naïve\"] x's x2, ab###\n#ab '' '"
+    own = ByteLevelEncoder(BPE, False)
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == whole(encoder, [text])[0]
+    own, sent = ByteLevelEncoder(BPE, False), []
+    asked = own._ids
+    monkeypatch.setattr(own, "_ids", lambda texts: sent.extend(texts) or asked(texts))
+    text = "Wörter straße, DÉJÀ vu:\nàé ÿ, naïve\nwords"
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == whole(encoder, [text])[0]
+    assert not [t for t in sent if any(c.isalpha() for c in t)]

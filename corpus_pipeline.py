@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import bounded_batches, delete_unread, free_name, landed, landing_scope
+from sparkaudit.llm.common import among, bounded_batches, delete_unread, free_name, landed, landing_scope
 from sparkaudit.llm.decontaminate import without_leaks
 from sparkaudit.llm.jaccard import similar_components
 from sparkaudit.llm.language import identified, trained
@@ -86,9 +86,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = docs.columns
     own = [free_name(taken, k) for k in keys]
     judged = judged.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "_kept")
-    same = F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.xxhash64("text") == F.col(own[1])) & (F.xxhash64(*taken) == F.col(own[2]))
-    rest = docs.join(judged.drop("_kept"), same, "left_anti")
-    return rest.unionByName(docs.join(judged.filter("_kept").drop("_kept"), same, "left_semi").distinct())
+    ids = (F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*taken))
+    same = ids[0].eqNullSafe(F.col(own[0])) & (ids[1] == F.col(own[1])) & (ids[2] == F.col(own[2]))
+    # Rows that nothing was judged about are told by a hash and stay where they are; the joins move the others alone.
+    hashes = landed(judged.select(F.xxhash64(*own).alias("key")).distinct())
+    met = among(docs, F.xxhash64(*ids), hashes)
+    clear = [] if met is None else [among(docs, F.xxhash64(*ids), hashes, inside=False)]
+    met = docs if met is None else met
+    rest = met.join(judged.drop("_kept"), same, "left_anti")
+    kept = met.join(judged.filter("_kept").drop("_kept"), same, "left_semi").distinct()
+    return functools.reduce(DataFrame.unionByName, [*clear, rest, kept])
 
 
 @frees_the_last

@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of text in one Arrow batch, so that a Python worker's memory is bounded.
 BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+#: Keys that are sent to the tasks as an array (8 bytes each).
+SENT_KEYS = 4_000_000
 
 
 def lower_ascii(c: Column) -> Column:
@@ -99,6 +103,28 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def among(rows: DataFrame, key: Column, keys: DataFrame, inside: bool = True) -> DataFrame | None:
+    """Rows whose long ``key`` is one of the single column ``keys`` (or is none of them), without a shuffle of the rows.
+
+    The keys go to the tasks as one sorted array of 8 bytes each; with more than ``SENT_KEYS`` there is no such way: None.
+    Null keys are among nothing.
+    """
+    if not fits(keys, SENT_KEYS):
+        return None
+    held = keys.toArrow().column(0).drop_null().to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(np.unique(held.astype(np.int64)))
+
+    @F.arrow_udf("boolean")
+    def known(column: pa.Array) -> pa.Array:
+        sorted_keys = shared.value
+        wanted = column.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+        found = sorted_keys[at] == wanted if len(sorted_keys) else np.zeros(len(wanted), dtype=bool)
+        return pa.array(found & column.is_valid().to_numpy(zero_copy_only=False))
+
+    return rows.filter(known(key) if inside else ~known(key))
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that no column has yet, whatever its case."""
     used = {c.lower() for c in taken}

@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import fits, landed
+from sparkaudit.llm.common import among, landed
 from sparkaudit.llm.components import components
 from sparkaudit.llm.hashing import shingles, word_hashes
 
@@ -57,7 +57,6 @@ BITMAP = 1 << 28
 HELD = 2_000_000
 #: Documents for each range of hashes that one task merges.
 DOCS_PER_RANGE = 1 << 14
-BROADCAST_IDS = 500_000
 #: Members of a posting list in one block of a product.
 TILE = 1024
 #: What a member of a list brings to a product at most: its least first columns, and bits of its bitmap.
@@ -241,6 +240,12 @@ def postings(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, shar
     return sets.select("gram", "node", "n", "common")
 
 
+def of_nodes(rows: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """The rows whose key is one of the nodes: what is wide goes no further than it must."""
+    found = among(rows, F.col(key), nodes)
+    return rows.join(nodes.select(F.col("node").alias(key)), key, "left_semi") if found is None else found
+
+
 def sets_of(docs: DataFrame, doc_id: str, text: str, n: int, nodes: DataFrame) -> DataFrame:
     """(node, grams) of the given nodes."""
 
@@ -251,9 +256,7 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, n: int, nodes: DataFrame) -
                 grams = [shingles(w, n).view(np.int64) for w in word_hashes(part.column(1))]
                 yield pa.record_batch([part.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
 
-    wanted = F.broadcast(nodes) if fits(nodes, BROADCAST_IDS) else nodes
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text)).join(wanted, "node", "left_semi")
-    return rows.mapInArrow(run, "node long, grams array<long>")
+    return of_nodes(docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text)), "node", nodes).mapInArrow(run, "node long, grams array<long>")
 
 
 def sizes_allow(n_a: Column, common_a: Column, n_b: Column, common_b: Column, percent: int) -> Column:
@@ -273,7 +276,9 @@ def bounded_pairs(pairs: DataFrame, known_facts: DataFrame, percent: int) -> Dat
             out.append(100 * most >= percent * (n + m - most))
         return pa.array(out, pa.bool_())
 
-    rows = known_facts.filter(F.col("n") > 0)
+    pairs = landed(pairs)
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    rows = of_nodes(known_facts.filter(F.col("n") > 0), "doc_id", landed(ends))
     one = rows.select(F.col("doc_id").alias("u"), F.col("n").alias("n_a"), F.col("bits").alias("a"))
     two = rows.select(F.col("doc_id").alias("v"), F.col("n").alias("n_b"), F.col("bits").alias("b"))
     return pairs.join(one, "u").join(two, "v").filter(possible("n_a", "a", "n_b", "b")).select("u", "v").distinct()
@@ -382,7 +387,7 @@ def remaining_pairs(posts: DataFrame, rows: DataFrame, percent: int) -> DataFram
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (
         members.join(firsts, "node")
-        .join(sketches(rows), "node")
+        .join(sketches(of_nodes(rows, "doc_id", landed(firsts.select("node")))), "node")
         .withColumns({"block": block, "other": other})
         .select(
             "gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as P
+import sparkaudit.llm.common as C
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,37 @@ def test_chain_is_its_stages(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, D)
     assert sorted(map(str, P.run(spark, D).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_copies_move_only_judged_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [words(rng, 40) for _ in range(30)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(100 + i, t, "en", "s", 1) for i, t in enumerate(texts[:6])]
+    rows += [rows[0], rows[7], (None, texts[8], "en", "s", 1), (None, "alone " + texts[9], "en", None, None), (40, None, "en", "s", 1)]
+    gone = [(100 + i, t, "en", "s", 1) for i, t in enumerate(texts[:6])] + [rows[0], rows[7], (None, texts[8], "en", "s", 1)]
+    want = sorted(map(str, rows))
+    for row in gone:
+        want.remove(str(row))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = []
+        for keys in (C.SENT_KEYS, 0):
+            monkeypatch.setattr(C, "SENT_KEYS", keys)
+            out = P.near_copies(spark, docs_of(spark, rows), D)
+            assert sorted(str(tuple(r)) for r in out.collect()) == want
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            moved.append("PythonUDF" in plan or "ArrowEvalPython" in plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved == [True, False]
+
+
+def test_among(spark, monkeypatch):
+    rows = spark.range(-5, 20).select(F.when(F.col("id") != 3, F.col("id")).alias("k"))
+    pick = lambda keys, **how: sorted((r["k"] is None, r["k"]) for r in C.among(rows, F.col("k"), keys, **how).collect())
+    some = spark.createDataFrame([(-5,), (7,), (None,), (0,), (7,), (99,)], "k long")
+    assert [k for _, k in pick(some)] == [-5, 0, 7]
+    assert len(pick(some, inside=False)) == 22 and pick(some.limit(0)) == [] and len(pick(some.limit(0), inside=False)) == 25
+    monkeypatch.setattr(C, "SENT_KEYS", 2)
+    assert C.among(rows, F.col("k"), some) is None

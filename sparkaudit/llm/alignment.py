@@ -4,11 +4,11 @@ Tokenizer A (byte-level BPE) gets a space and the text, tokenizer B (pieces) the
 which it adds the space itself.  After both have encoded the whole text, the joined bytes
 of the tokens are compared with the text's; only then are ends of A and B places in the same bytes.
 
-Ends that A and B share and after which both go on with a token that starts with a space are
-anchors.  They cut a document into windows, a window is a pair of id tuples, and what a pair
-of tuples aligns to is the same wherever it stands: groups (between neighbouring shared ends)
-and links (tokens whose byte ranges overlap).  A worker remembers the windows it has seen,
-``MEMO`` at most before it keeps only those that came again, so only a small part is aligned at all.
+Ends that A and B share before white space cut a document into windows: these are the parts of
+``tokenizing``, which both tokenizers encode each for itself.  What a window aligns to is the same wherever it
+stands: groups (between neighbouring shared ends) and links (tokens whose byte ranges overlap).  A worker remembers
+the windows it has seen, ``MEMO`` at most, so only distinct ones are encoded and aligned.  Texts with a window whose
+tokens do not give back its bytes, or in which white space may mean something else, are one window each.
 
 Counts of linked id pairs over all documents are a grouped sum of each document's distinct
 pairs.  Documents are scored against them by look-ups in a broadcast table while there are
@@ -27,23 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.llm.common import fits, landed
+from sparkaudit.llm.tokenizing import Slots, chunks, parts_of, ranges, text_array
 
 #: Windows a worker remembers.
 MEMO = 400_000
-#: Parts of texts whose ids of A it remembers.
+#: Pieces whose ids of A it remembers.
 PARTS = 400_000
 #: Rows of the table of pair counts that may be broadcast.
 BROADCAST_PAIRS = 3_000_000
 #: Texts are handed to the piece tokenizer in sections of about so many characters.
 SECTION = 1 << 17
 A_BITS = 32
-#: Between the ids of A and of B in a window's key; no id is as large.
-BETWEEN = b"\xff" * 4
+#: Links remembered for each window that may be: windows can be long.
+LINKS_EACH = 16
 #: A space after something else and before something.
 SPACE = re.compile("(?<=[^ ▁]) (?=.)", re.DOTALL)
 
@@ -70,23 +72,21 @@ class Aligner:
         ]
         # Sections may be cut before spaces only if no piece goes on from something else to a space.
         self.in_sections = not any("▁" in p[1:] and p.strip("▁") for p in pieces)
+        # A line end is a piece of its own, so B goes on behind it as after nothing.
+        self.in_lines = not any("\n" in p and p != "\n" for p in pieces)
         self.a_size, self.b_size = (np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes))
-        self.a_space, self.b_space = (np.array([t[:1] == b" " for t in table]) for table in (self.a_bytes, self.b_bytes))
-        self.memo: dict[bytes, int] = {}
-        # Of each window: groups as text, and links as the bytes of packed pairs; in how many documents it was met.
-        self.texts: list[str] = []
-        self.links: list[bytes] = []
-        self.uses = np.zeros(0, dtype=np.int64)
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
-        self.forget()
+        self.memo: dict[str, int] = {}
+        # Of each window: links as packed pairs, groups as text, and its counts of ids of A, of B, and of groups (0: no window).
+        self.links = Slots(np.int64)
+        self.counts = Slots(np.int64)
+        self.texts: list[str] = []
 
     def forget(self) -> None:
-        """Keep the windows that came again since they were learnt or last kept; all others go."""
-        again = [n for n, uses in enumerate(self.uses.tolist()[: len(self.texts)]) if uses > 1] if self.memo else []
-        numbers = {n: i for i, n in enumerate(again)}
-        self.memo = {key: numbers[n] for key, n in self.memo.items() if n in numbers}
-        self.texts, self.links = ([table[n] for n in again] for table in (self.texts, self.links))
-        self.uses = np.zeros(2 * MEMO + len(again), dtype=np.int64)
+        self.memo.clear()
+        self.links.clear()
+        self.counts.clear()
+        self.texts.clear()
 
     def b_ids(self, texts: list[str]) -> list[np.ndarray]:
         """B's ids; long texts in sections that end before a space, which B adds again."""
@@ -112,75 +112,123 @@ class Aligner:
             out.append((a, b) if same else (none, none))
         return out
 
-    def learn(self, keys: list[bytes], a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> None:
-        """Align windows not seen before, all at once.  cuts: for each window, where it starts and ends in a and in b."""
-        a_start, a_stop, b_start, b_stop = cuts
-        a, b = a[ranges(a_start, a_stop - a_start)], b[ranges(b_start, b_stop - b_start)]
+    def windows(self, a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> tuple:
+        """Groups as text, links, how many of them, and how many groups of each window; ids of all windows joined."""
         # Both sides of a window have as many bytes, so one after the other they stay side by side.
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         # Between neighbouring ends one token of A and one of B cover all bytes: that is a link.
         ends = np.union1d(a_end, b_end)
         i, j = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        links = (a[i] << A_BITS | b[j]).astype("<i8").tobytes()
         shared = np.flatnonzero(a_end[i] == b_end[j])
         names = self.names
         a_names, b_names = [names[x] for x in a.tolist()], [names[x] for x in b.tolist()]
         texts, x, y = [], 0, 0
         for k, m in zip((i[shared] + 1).tolist(), (j[shared] + 1).tolist()):
-            texts.append(",".join(a_names[x:k]) + "|" + ",".join(b_names[y:m]))
+            texts.append(f"{a_names[x]}|{b_names[y]}" if k - x == 1 == m - y else ",".join(a_names[x:k]) + "|" + ",".join(b_names[y:m]))
             x, y = k, m
-        last = np.searchsorted(ends, a_end[np.cumsum(a_stop - a_start) - 1])
-        link, group = 0, 0
-        for key, to_link, to_group in zip(keys, (8 * (last + 1)).tolist(), (np.searchsorted(shared, last) + 1).tolist()):
-            self.memo[key] = len(self.texts)
-            self.texts.append(";".join(texts[group:to_group]))
-            self.links.append(links[link:to_link])
-            link, group = to_link, to_group
-
-    def aligned(self, texts: list[str]) -> Iterator[tuple]:
+        last = np.searchsorted(ends, a_end[np.cumsum(a_sizes) - 1])
+        group_ends = np.searchsorted(shared, last) + 1
+        said, at = [], 0
+        for end in group_ends.tolist():
+            said.append(";".join(texts[at:end]))
+            at = end
+        return said, a[i] << A_BITS | b[j], np.diff(last + 1, prepend=0), np.diff(group_ends, prepend=0)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode and align windows not seen before; one whose tokens do not give back its bytes has no groups."""
+        a, a_sizes = self.a.part_ids(parts)
+        a = a.astype(np.int64)
+        # B adds a space: in place of the one that a window begins with, or to be dropped before a line end.
+        found = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        found = [ids if p[0] == " " else ids[1:] for p, ids in zip(parts, found)]
+        b_sizes = np.fromiter(map(len, found), np.int64, len(found))
+        b = np.array([x for ids in found for x in ids], dtype=np.int64)
+        raw = "".join(parts).encode()
+        byte_ends = np.cumsum([len(p.encode()) for p in parts])
+        ends = [np.append(0, np.cumsum(size[ids]))[np.cumsum(n)] for size, ids, n in ((self.a_size, a, a_sizes), (self.b_size, b, b_sizes))]
+        if joined(self.a_bytes, a) == raw == joined(self.b_bytes, b) and all((e == byte_ends).all() for e in ends):
+            good = np.ones(len(parts), dtype=bool)
+        else:
+            a_each, b_each = (np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((a, a_sizes), (b, b_sizes)))
+            good = np.array([
+                joined(self.a_bytes, x) == p.encode() == joined(self.b_bytes, y) for p, x, y in zip(parts, a_each, b_each)
+            ])
+            a, b = a[np.repeat(good, a_sizes)], b[np.repeat(good, b_sizes)]
+        sizes, counts = np.zeros(len(parts), dtype=np.int64), np.zeros((len(parts), 3), dtype=np.int64)
+        said, links = [], np.empty(0, dtype=np.int64)
+        if good.any():
+            said, links, sizes[good], counts[good, 2] = self.windows(a, a_sizes[good], b, b_sizes[good])
+            counts[good, 0], counts[good, 1] = a_sizes[good], b_sizes[good]
+        each = iter(said)
+        self.texts += [next(each) if ok else "" for ok in good.tolist()]
+        self.links.add(links, sizes)
+        self.counts.add(counts.ravel(), np.full(len(parts), 3))
+        self.memo.update(zip(parts, range(len(self.memo), len(self.memo) + len(parts))))
+
+    def whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are one window."""
+        if not self.in_sections:
+            return np.ones(len(texts), dtype=bool)
+        found = self.a.whole(texts)
+        for mark in ["▁"] + ["\n"] * (not self.in_lines):
+            found = found | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        return found
+
+    def aligned_whole(self, text: str) -> tuple:
+        a, b = self.tokens([text])[0]
+        if not len(a):
+            return 0, 0, 0, 0, "", a, a
+        said, links, n_links, n_groups = self.windows(a, np.array([len(a)]), b, np.array([len(b)]))
+        pairs, times = np.unique(links, return_counts=True)
+        return len(a), len(b), int(n_groups[0]), int(n_links[0]), said[0], pairs, times
+
+    def aligned(self, texts: list[str] | pa.Array) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups as text, distinct pairs, their occurrences) of each text."""
-        for a, b in self.tokens(texts):
-            if not len(a):
-                yield 0, 0, 0, 0, "", a, a
+        texts = text_array(texts)
+        for chunk in chunks(texts):
+            yield from self._chunk(chunk)
+
+    def _chunk(self, texts: pa.Array) -> Iterator[tuple]:
+        filled = pc.not_equal(texts, "")
+        space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        spaced = pc.if_else(filled, pc.binary_join_element_wise(space, texts, none), texts)
+        whole = self.whole(texts)
+        codes, distinct, ends = parts_of(pc.if_else(pa.array(whole), none, spaced))
+        if len(self.memo) > MEMO or self.links.used > LINKS_EACH * MEMO:
+            self.forget()
+        new = [p for p in distinct if p not in self.memo]
+        if new:
+            self.learn(new)
+        windows = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[codes]
+        # Counts of a text: differences of running totals where it ends.
+        totals = lambda x: np.diff(np.append(0, np.cumsum(x))[ends])
+        table = self.counts.values[: self.counts.used].reshape(-1, 3)
+        n_a, n_b, n_groups = (totals(table[windows, k]) for k in range(3))
+        whole |= totals(table[windows, 2] == 0) > 0
+        links, sizes = self.links.get(windows)
+        n_links = totals(sizes)
+        # Pairs by text, as one number each.
+        n_ids = len(self.names)
+        owner = np.repeat(np.arange(len(texts)), n_links)
+        keys = np.sort((owner * n_ids + (links >> A_BITS)) * n_ids + (links & ((1 << A_BITS) - 1)))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
+        times, keys = np.diff(np.append(first, len(keys))), keys[first]
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * (n_ids * n_ids)).tolist()
+        pairs = (keys // n_ids % n_ids) << A_BITS | keys % n_ids
+        numbers, said = windows.tolist(), self.texts
+        for i, (start, end) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if whole[i]:
+                yield self.aligned_whole(texts[i].as_py())
                 continue
-            a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            at = np.searchsorted(b_end, a_end)
-            shared = b_end[np.minimum(at, len(b) - 1)] == a_end
-            shared[-1] = False
-            here = np.flatnonzero(shared)
-            here = here[self.a_space[a[here + 1]] & self.b_space[b[at[here] + 1]]]
-            a_cut, b_cut = np.concatenate(([0], here + 1, [len(a)])), np.concatenate(([0], at[here] + 1, [len(b)]))
-            a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-            a_at, b_at = (4 * a_cut).tolist(), (4 * b_cut).tolist()
-            keys = [a_raw[i:k] + BETWEEN + b_raw[j:m] for i, k, j, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
-            numbers = list(map(self.memo.get, keys))
-            if None in numbers:
-                new = {key: w for w, (key, n) in enumerate(zip(keys, numbers)) if n is None}
-                if len(self.memo) + len(new) > MEMO:
-                    self.forget()
-                    new = {key: w for w, key in enumerate(keys) if key not in self.memo}
-                w = np.array(list(new.values()))
-                self.learn(list(new), a, b, np.stack([a_cut[w], a_cut[w + 1], b_cut[w], b_cut[w + 1]]))
-                numbers = list(map(self.memo.__getitem__, keys))
-                if len(self.texts) > len(self.uses):
-                    self.uses = np.append(self.uses, np.zeros(len(self.texts), dtype=np.int64))
-            self.uses[numbers] += 1
-            links = np.frombuffer(b"".join(map(self.links.__getitem__, numbers)), "<i8")
-            pairs, times = np.unique(links, return_counts=True)
-            said = ";".join(map(self.texts.__getitem__, numbers))
-            yield len(a), len(b), said.count("|"), len(links), said, pairs, times
+            own = slice(cuts[i], cuts[i + 1])
+            groups = ";".join([said[w] for w in numbers[start:end]])
+            yield int(n_a[i]), int(n_b[i]), int(n_groups[i]), int(n_links[i]), groups, pairs[own], times[own]
 
 
 def joined(table: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
-def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1])
-
-
 def sections_of(text: str) -> list[str]:
     """Parts of about ``SECTION`` characters whose joint by single spaces is the text; each starts with what follows a space."""
     out, at = [], 0
@@ -214,6 +262,15 @@ COLUMNS = (
 )
 
 
+def as_array(column: pa.Array | tuple, kind: pa.DataType) -> pa.Array:
+    if isinstance(column, pa.Array):
+        return column
+    if column and pa.types.is_list(kind):
+        ends = np.cumsum([0, *map(len, column)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(column), kind.value_type))
+    return pa.array(list(column), kind)
+
+
 def alignments(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", groups: bool = False) -> DataFrame:
     """One row per document: ``COLUMNS`` (and the groups themselves where asked for); ``pairs`` are id of A << 32 | id of B."""
     kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -223,16 +280,15 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id"
         both = aligner(a_path, b_path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for n_a, n_b, n_groups, n_links, said, pairs, times in both.aligned(texts):
+            for n_a, n_b, n_groups, n_links, said, pairs, times in both.aligned(batch.column(1)):
                 digest = hashlib.sha256(said.encode()).hexdigest() if n_a else ""
                 rows.append((row, n_a, n_b, n_groups, n_links, digest, pairs, times.astype(np.int32), *([said] if groups else [])))
                 row += 1
             columns = list(zip(*rows)) if rows else [()] * (len(names) - 1 + groups)
             columns.insert(1, batch.column(0))
             types = kinds + [pa.string()] * groups
-            arrays = [c if isinstance(c, pa.Array) else pa.array(list(c), t) for c, t in zip(columns, types)]
+            arrays = [as_array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays(arrays, names + ["groups"] * groups)
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -152,8 +152,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         with store.open_output_stream(own) as out:
             writer = FileWriter(out, max(encoder.vocab, end_id + 1))
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for key, ids in zip(keys, encoder.encode(texts)):
+                for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                     writer.add(key, ids + end)
             documents, ids = writer.close()
         if documents:

@@ -132,3 +132,21 @@ def test_query(spark, tokenizers):
     assert rows_of(A.aligned_documents(docs, *PATHS)) == brute(tokenizers, rows)
     out = op13_alignment(spark, d)
     assert set(NAMES) <= set(out.columns) and out.count() == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_windows_are_encoded_once():
+    """Both tokenizers see a window the first time alone, wherever it stands."""
+    both = A.Aligner(*PATHS)
+    asked = []
+
+    class Counted:
+        def encode(self, texts, **how):
+            asked.extend(texts)
+            return inner.encode(texts, **how)
+
+    inner, both.b = both.b, Counted()
+    first = [t[:4] for t in both.aligned(["über den Fluss\nund zurück.", "den Wald"])]
+    assert sorted(asked) == sorted(["über", "den", "Fluss", "\nund", "zurück.", "Wald"])
+    asked.clear()
+    again = [t[:4] for t in both.aligned(["den Wald", "über den Fluss\nund zurück.", "Fluss über\nund"])]
+    assert not asked and again[:2] == first[::-1]

@@ -136,3 +136,16 @@ def test_words_of_latin_letters_skip_the_pattern(encoder, monkeypatch):
     text = "Wörter straße, DÉJÀ vu:\nàé ÿ, naïve\nwords"
     assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == whole(encoder, [text])[0]
     assert not [t for t in sent if any(c.isalpha() for c in t)]
+
+
+def test_runs_of_white_space_are_parts_too(encoder):
+    """Texts with runs, tabs and line ends are cut as well, and each distinct part is encoded once."""
+    texts = ["a1  b2\tc3 \n\n d4", " \n\tx9\r\n y", "a1  b2\tc3 \n\n d4 \t", "e f g　", "h  i", "", "\n", "  "]
+    own = ByteLevelEncoder(BPE, False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == whole(encoder, texts)
+    assert {"a1", "  b2\tc3", " \n\n d4"} <= set(own.memo) and not [p for p in own.memo if "h" in p]
+    asked = []
+    learn = own.part_ids
+    own.part_ids = lambda parts: asked.extend(parts) or learn(parts)
+    own.encode(texts)
+    assert not asked

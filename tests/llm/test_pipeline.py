@@ -117,6 +117,7 @@ def test_near_copies_move_only_judged_rows(spark, monkeypatch):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(100 + i, t, "en", "s", 1) for i, t in enumerate(texts[:6])]
     rows += [rows[0], rows[7], (None, texts[8], "en", "s", 1), (None, "alone " + texts[9], "en", None, None), (40, None, "en", "s", 1)]
     gone = [(100 + i, t, "en", "s", 1) for i, t in enumerate(texts[:6])] + [rows[0], rows[7], (None, texts[8], "en", "s", 1)]
+    gone.append((None, "alone " + texts[9], "en", None, None))
     want = sorted(map(str, rows))
     for row in gone:
         want.remove(str(row))

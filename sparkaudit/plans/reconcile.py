@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.functions.episodes import is_aired, report_ok
+from sparkaudit.functions.episodes import is_aired, report_ok, season_ep_label
 from sparkaudit.landing import forget_landed, landed
 from sparkaudit.operators import reconcile as R
 
@@ -27,6 +28,16 @@ SHOW = R.SHOW
 FILES_IN_ROW, LISTED_IN_ROW = 1_000, 10_000
 
 
+def _key(entry: Column | None = None) -> Column:
+    """What files and listed rows are compared by; null without a season, as that equals none."""
+    season, episode = (F.col(c) if entry is None else entry[c] for c in ("season", "episode"))
+    return F.when(season.isNotNull(), F.struct(season.alias("season"), episode.alias("episode")))
+
+
+def _has(values: str, value: Column) -> Column:
+    return F.coalesce(F.array_contains(values, value), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Reconciled:
     """Reports (one row per show) and the long tables behind them.
@@ -54,49 +65,90 @@ class Reconciled:
         such show and never shuffled for it.  Larger shows, those of several hits or reports and those whose series has a season
         without number or episodes of several blocks of labels are in the second alone, which has the other reports.
         """
+        entry = F.struct("ordinal", "season", "episode", "name", "airdate", is_aired(F.col("airdate"), self.as_of).alias("aired"))
+        met, rest = self._beside(
+            F.array_sort(F.collect_list(F.struct("path", "season", "episode"))),
+            lambda series: series.groupBy("source", "series_id").agg(
+                F.array_sort(F.collect_list(entry)).alias("_listed"), F.collect_set(_key()).alias("_theirs")
+            ),
+            files_in_row, listed_in_row,
+        )
+        lacking = F.filter("_listed", lambda x: x.aired & ~_has("_own", _key(x)))
+        beyond = F.filter("_files", lambda x: ~_has("_theirs", _key(x)))
+        return met.select(
+            *self.reports.columns, F.array_distinct(F.transform("_files", lambda x: x.season)).alias("seasons"),
+            F.transform(lacking, lambda x: F.struct(*[x[c].alias(c) for c in ("season", "episode", "name", "airdate")])).alias("missing"),
+            F.transform(beyond, lambda x: F.struct(*[x[c].alias(c) for c in ("season", "episode", "path")])).alias("extra"),
+        ), rest
+
+    def labels_in_rows(self, files_in_row: int = FILES_IN_ROW, listed_in_row: int = LISTED_IN_ROW) -> tuple[DataFrame, Reconciled]:
+        """The same split, with what a text names only: ``gaps`` and ``extra`` in place of the lists.
+
+        ``gaps`` are (season, entirely, labels) in season order, their labels in episode order; ``extra`` is (season, episode)
+        in that order.  The labels of a series are made and ordered once, not for each show that chose it.
+        """
+        label = season_ep_label(F.col("season"), F.col("episode"))
+        listed = F.when(is_aired(F.col("airdate"), self.as_of), F.struct("episode", label.alias("label")))
+
+        def by_season(series: DataFrame) -> DataFrame:
+            seasons = series.groupBy("source", "series_id", "season").agg(
+                F.sort_array(F.collect_list(listed)).alias("episodes"), F.collect_set(_key()).alias("_keys")
+            )
+            return seasons.groupBy("source", "series_id").agg(
+                F.sort_array(F.collect_list(F.struct("season", "episodes"))).alias("_seasons"),
+                F.flatten(F.collect_list("_keys")).alias("_theirs"),
+            )
+
+        met, rest = self._beside(F.sort_array(F.collect_list(F.struct("season", "episode"))), by_season, files_in_row, listed_in_row)
+
+        def gap(x: Column) -> Column:
+            lacking = F.filter(x.episodes, lambda e: ~_has("_own", F.struct(x.season.alias("season"), e.episode.alias("episode"))))
+            return F.struct(
+                x.season.alias("season"), (~_has("_held", x.season)).alias("entirely"), F.transform(lacking, lambda e: e.label).alias("labels")
+            )
+
+        return met.select(
+            *self.reports.columns, F.filter(F.transform("_seasons", gap), lambda g: F.size(g.labels) > 0).alias("gaps"),
+            F.filter("_files", lambda x: ~_has("_theirs", _key(x))).alias("extra"),
+        ), rest
+
+    def _beside(
+        self, listed_files: Column, lists: Callable[[DataFrame], DataFrame], files_in_row: int, listed_in_row: int
+    ) -> tuple[DataFrame, Reconciled]:
+        """Reports of the shows that fit one row, with the lists of their files and of their series; and all other shows.
+
+        ``_files`` is what ``listed_files`` gives, ``_own`` the files' keys, ``_held`` their seasons; ``lists`` gives the columns
+        of a series, ``_theirs`` among them: its keys.  All are columns of an aggregate or a table, as an expression that a list
+        function names would be worked out anew for each entry.
+        """
         block = F.floor(F.col("episode") / R.LABELS_PER_BLOCK)
         size = self.series.groupBy("source", "series_id").agg(
             F.count(F.lit(1)).alias("_n"), F.bool_and(F.col("season").isNotNull()).alias("_placed"),
             (F.min(block) == F.max(block)).alias("_one_block"),
         )
         small = size.filter((F.col("_n") <= listed_in_row) & F.col("_placed") & F.col("_one_block")).select("source", "series_id")
-        known = R.parsed(self.local).groupBy(SHOW).agg(F.count(F.lit(1)).alias("_known"))
-        usual = known.filter(F.col("_known") <= files_in_row).select(SHOW)
+        large = R.parsed(self.local).groupBy(SHOW).agg(F.count(F.lit(1)).alias("_known")).filter(F.col("_known") > files_in_row)
         single = (
             self.chosen.groupBy(SHOW)
             .agg(F.count(F.lit(1)).alias("_hits"), F.first("series_id").alias("series_id"), F.first("source").alias("source"))
             .filter("_hits = 1").drop("_hits").join(small, ["source", "series_id"], "left_semi")
-            .join(self.usable, SHOW, "left_semi").join(known.filter(F.col("_known") > files_in_row), SHOW, "left_anti")
+            .join(self.usable, SHOW, "left_semi").join(large, SHOW, "left_anti")
         )
         alone = self.reports.groupBy(SHOW).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows = 1")
         single = landed(single.join(alone, SHOW, "left_semi"), self.folders)
-        entry = F.struct("ordinal", "season", "episode", "name", "airdate", is_aired(F.col("airdate"), self.as_of).alias("aired"))
-        lists = self.series.join(small, ["source", "series_id"], "left_semi").groupBy("source", "series_id").agg(
-            F.array_sort(F.collect_list(entry)).alias("_listed")
-        )
-        files = R.parsed(self.local).join(usual, SHOW, "left_semi").groupBy(SHOW).agg(
-            F.array_sort(F.collect_list(F.struct("path", "season", "episode"))).alias("_files")
-        )
-        key = lambda x: F.when(x.season.isNotNull(), F.struct(x.season.alias("season"), x.episode.alias("episode")))
-        met = self.reports.join(single, SHOW).join(files, SHOW, "left").join(landed(lists, self.folders), ["source", "series_id"])
-        none = F.array().cast(files.schema["_files"].dataType)
-        compared = met.withColumn("_files", F.coalesce("_files", none))
-        own, theirs = F.transform("_files", key), F.transform("_listed", key)
-        has = lambda keys, x: F.coalesce(F.array_contains(keys, key(x)), F.lit(False))
-        keyed = compared.withColumns({"_own": own, "_theirs": theirs})
-        lacking = F.filter("_listed", lambda x: x.aired & ~has(F.col("_own"), x))
-        beyond = F.filter("_files", lambda x: ~has(F.col("_theirs"), x))
-        short = keyed.select(
-            *self.reports.columns, F.array_distinct(F.transform("_files", lambda x: x.season)).alias("seasons"),
-            F.transform(lacking, lambda x: F.struct(*[x[c].alias(c) for c in ("season", "episode", "name", "airdate")])).alias("missing"),
-            F.transform(beyond, lambda x: F.struct(*[x[c].alias(c) for c in ("season", "episode", "path")])).alias("extra"),
-        )
+        listed = landed(lists(self.series.join(small, ["source", "series_id"], "left_semi")), self.folders)
         done = single.select(SHOW)
+        files = R.parsed(self.local).join(done, SHOW, "left_semi").groupBy(SHOW).agg(
+            listed_files.alias("_files"), F.collect_set(_key()).alias("_own"), F.collect_set("season").alias("_held")
+        )
+        met = self.reports.join(single, SHOW).join(files, SHOW, "left").join(listed, ["source", "series_id"])
+        for name in ("_files", "_own", "_held"):
+            met = met.withColumn(name, F.coalesce(name, F.array().cast(files.schema[name].dataType)))
         chosen = landed(self.chosen.join(done, SHOW, "left_anti"), self.folders)
         remote = _rows_of(chosen, self.series)
-        rest = self.local.join(chosen.select(SHOW).distinct(), SHOW, "left_semi")
+        local = self.local.join(chosen.select(SHOW).distinct(), SHOW, "left_semi")
         reports = self.reports.join(done, SHOW, "left_anti")
-        return short, replace(_reconciled_rows(self, remote, rest, chosen), reports=reports)
+        return met, replace(_reconciled_rows(self, remote, local, chosen), reports=reports)
 
     def landed_reports(self) -> Reconciled:
         """The same with its reports landed, for those who read them several times."""

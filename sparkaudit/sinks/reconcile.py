@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkaudit.sinks.audit import CSV
 from sparkaudit.functions.episodes import season_ep_label
-from sparkaudit.functions.text import two_digits
+from sparkaudit.functions.text import bind, two_digits
+from sparkaudit.landing import landed
 from sparkaudit.operators import reconcile as R
 from sparkaudit.operators.ordering import ranked
 from sparkaudit.plans.reconcile import FILES_IN_ROW, LISTED_IN_ROW, Reconciled
@@ -72,20 +73,20 @@ def write_reconcile_json(result: Reconciled, path: str) -> None:
 
 
 def reconcile_text_lines(result: Reconciled, missing_only: bool = False) -> DataFrame:
-    """Report lines in order: totals, then per show its heading, gaps by season and extras."""
+    """Report lines in order: totals, then per show its heading, gaps by season and extras.
+
+    A show compared in one row has all its lines in one row, others a row for each line.
+    """
     result = result.landed_reports()
-    reports = R.only_issues(result.reports) if missing_only else result.reports
     totals = R.reconcile_totals(result.reports).select(
         F.lit(0).alias("group"),
-        F.posexplode(
-            F.array(
-                F.concat(F.lit("TV Library Report — "), F.col("shows"), F.lit(" shows scanned")),
-                F.lit("─" * 60),
-                F.concat(F.lit("  ✓ Complete:  "), F.col("ok")),
-                F.concat(F.lit("  ✗ Issues:    "), F.col("issues")),
-                F.lit(""),
-            )
-        ).alias("step", "value"),
+        F.array(
+            F.concat(F.lit("TV Library Report — "), F.col("shows"), F.lit(" shows scanned")),
+            F.lit("─" * 60),
+            F.concat(F.lit("  ✓ Complete:  "), F.col("ok")),
+            F.concat(F.lit("  ✗ Issues:    "), F.col("issues")),
+            F.lit(""),
+        ).alias("lines"),
     )
     label = F.upper("source_used")
     retitled = F.col("matched_title").isNotNull() & ~F.col("matched_title").isin("") & (
@@ -102,47 +103,39 @@ def reconcile_text_lines(result: Reconciled, missing_only: bool = False) -> Data
         F.lit(" (aired): "), F.col("remote_episodes"), F.lit(" episodes"),
     )
     complete = (F.col("missing_count") == 0) & (F.col("extra_count") == 0)
-    heads = reports.select(
-        F.lit(1).alias("group"), SHOW,
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("step"), title.alias("value")),
-                F.struct(F.lit(1).alias("step"), F.coalesce(error, counts).alias("value")),
-                F.struct(
-                    F.lit(2).alias("step"),
-                    F.when(F.col("lookup_error").isNull() & complete, "    ✓ All aired episodes present").alias("value"),
-                ),
-                F.struct(F.lit(5).alias("step"), F.lit("").alias("value")),
-            )
-        ),
-    ).filter(F.col("value").isNotNull())
-    short, rest = result.in_rows()
+    all_present = F.when(F.col("lookup_error").isNull() & complete, "    ✓ All aired episodes present")
+    head = [title, F.coalesce(error, counts), all_present]
 
     def gap_text(season: Column, n: Column, entirely: Column, labels: Column) -> Column:
         number, many = two_digits(season), F.when(n != 1, "s").otherwise("")
         whole = F.concat(F.lit("    ✗ Season "), number, F.lit(" entirely missing ("), n, F.lit(" episode"), many, F.lit(")"))
         return F.when(entirely, whole).otherwise(F.concat(F.lit("    ✗ Missing S"), number, F.lit(": "), labels))
 
+    def extra_text(source: Column, labels: Column) -> Column:
+        return F.concat(F.lit("    ? Extra (not in "), source, F.lit("): "), labels)
+
+    def joined(beyond: Column) -> Column:
+        labels = F.transform(beyond, lambda x: season_ep_label(x.season, x.episode))
+        return F.when(F.size(beyond) > 0, extra_text(label, F.array_join(labels, ", ")))
+
+    short, rest = result.labels_in_rows()
+    reported = rest.reports
+    if missing_only:
+        short, reported = R.only_issues(short), R.only_issues(reported)
+    gaps_in_row = F.transform("gaps", lambda g: gap_text(g.season, F.size(g.labels), g.entirely, F.array_join(g.labels, ", ")))
+    in_row = F.concat(F.array(*head), gaps_in_row, F.array(bind(F.col("extra"), joined), F.lit("")))
+    shows = short.select(F.lit(1).alias("group"), SHOW, F.array_compact(in_row).alias("lines"))
+    heads = reported.select(
+        F.lit(1).alias("group"), SHOW,
+        F.inline(F.array(*[
+            F.struct(F.lit(step).alias("step"), value.alias("value")) for step, value in zip((0, 1, 2, 5), [*head, F.lit("")])
+        ])),
+    ).filter(F.col("value").isNotNull())
     gaps = R.missing_by_season(rest.missing, rest.local)
     gap_lines = gaps.filter(~F.col("entirely_missing") | F.col("first_block")).select(
         F.lit(1).alias("group"), SHOW, F.lit(3).alias("step"), "season", "block",
         gap_text(F.col("season"), F.col("n_missing"), F.col("entirely_missing"), R.label_list(F.col("labels"))).alias("value"),
     )
-
-    def season_gap(season: Column) -> Column:
-        numbers = F.array_sort(F.transform(F.filter("missing", lambda x: x.season == season), lambda x: x.episode))
-        labels = F.array_join(F.transform(numbers, lambda e: season_ep_label(season, e)), ", ")
-        entirely = ~F.coalesce(F.array_contains("seasons", season), F.lit(False))
-        return F.struct(
-            season.alias("season"), F.floor(F.element_at(numbers, 1) / R.LABELS_PER_BLOCK).alias("block"),
-            gap_text(season, F.size(numbers), entirely, labels).alias("value"),
-        )
-
-    found = short.filter(F.size("missing") > 0)
-    lacking = F.array_distinct(F.transform("missing", lambda x: x.season))
-    short_gaps = found.select(
-        F.lit(1).alias("group"), SHOW, F.lit(3).alias("step"), F.inline(F.transform(lacking, season_gap))
-    )
     # At most 99 seasons of 299 parsed episodes: the labels of one show are bounded.
     beyond = rest.extra.groupBy(*R.KEYS).agg(F.count(F.lit(1)).alias("copies"))
     entry = F.struct("season", "episode", season_ep_label(F.col("season"), F.col("episode")).alias("label"), "copies")
@@ -150,23 +143,18 @@ def reconcile_text_lines(result: Reconciled, missing_only: bool = False) -> Data
         beyond.groupBy(SHOW)
         .agg(F.array_sort(F.collect_list(entry)).alias("labels"))
         .join(rest.reports.select(SHOW, label.alias("source")), SHOW)
-        .select(SHOW, "source", R.label_list(F.col("labels")).alias("labels"))
-    )
-    beside = F.array_sort(F.transform("extra", lambda x: F.struct(x.season, x.episode)))
-    short_extra = short.filter(F.size("extra") > 0).select(
-        SHOW, label.alias("source"),
-        F.array_join(F.transform(beside, lambda x: season_ep_label(x.season, x.episode)), ", ").alias("labels"),
-    )
-    extra_lines = extra_lines.unionByName(short_extra).select(
-        F.lit(1).alias("group"), SHOW, F.lit(4).alias("step"),
-        F.concat(F.lit("    ? Extra (not in "), F.col("source"), F.lit("): "), F.col("labels")).alias("value"),
+        .select(F.lit(1).alias("group"), SHOW, F.lit(4).alias("step"), extra_text(F.col("source"), R.label_list(F.col("labels"))).alias("value"))
     )
     if missing_only:
-        extra_lines = extra_lines.join(reports.select(SHOW), SHOW, "left_semi")
-    lines = heads
-    for other in (gap_lines, short_gaps, extra_lines, totals):
+        extra_lines = extra_lines.join(reported.select(SHOW), SHOW, "left_semi")
+    single = heads.unionByName(gap_lines, allowMissingColumns=True).unionByName(extra_lines, allowMissingColumns=True)
+    lines = single.withColumn("lines", F.array("value")).drop("value")
+    for other in (shows, totals):
         lines = lines.unionByName(other, allowMissingColumns=True)
-    return lines.orderBy("group", F.lower(SHOW), SHOW, "step", "season", "block").select("value")
+    # The sort reads its input twice, once to sample it: the lines are made before, once.
+    ready = landed(lines, result.folders)
+    ordered = ready.orderBy("group", F.lower(SHOW), SHOW, "step", "season", "block")
+    return ordered.select(F.explode("lines").alias("value"))
 
 
 def write_reconcile_text(result: Reconciled, path: str, missing_only: bool = False) -> None:

@@ -3,7 +3,7 @@ import json
 
 from sparkaudit.operators import reconcile as R
 from sparkaudit.operators.pages import contiguous_pages
-from sparkaudit.plans.reconcile import reconcile_both, reconcile_one
+from sparkaudit.plans.reconcile import Reconciled, reconcile_both, reconcile_one
 from sparkaudit.sinks import reconcile as sinks
 from sparkaudit.sources import shows as S
 
@@ -191,3 +191,47 @@ def test_pages_are_parsed_once(spark):
     out = S.read_catalog_paged(pages)
     assert "from_json" not in out._jdf.queryExecution().toString()
     assert sorted((r["series_id"], r["ordinal"] >> 32) for r in out.collect()) == [(1, 0), (1, 1)]
+
+
+def odd_shows(spark):
+    local = spark.createDataFrame(
+        [("s", 2, 3, "p"), ("s", 1, 1, "q"), ("s", 1, 9, "r"), ("s", 1, 9, "r2"), ("s", 1, 0, "u"), ("s", None, 2, "v"), ("S", 1, 1, "p"),
+         ("t", 1, 0, "u"), ("none", 1, 1, "p")], LOCAL)
+    eps = spark.createDataFrame(
+        [(1, 1, 2, 3, "a", "2020-01-01"), (1, 2, 2, 1, "b", "2020-01-01"), (1, 3, 2, 1, "c", "2020-01-01"), (1, 4, 10, 7, "d", "2020-01-01"),
+         (1, 5, 2, 8, "e", ""), (1, 6, 1, 1, "f", "2020-01-01"), (2, 1, 1, 1, "g", "2020-01-01")], EPISODES)
+    hits = spark.createDataFrame([("s", 1, 1, "s", "Ended"), ("S", 1, 2, "Other", None), ("t", 1, 1, "t", "")], HITS)
+    return reconcile_one(local, hits, eps, AS_OF)
+
+
+ODD_TEXT = [
+    "TV Library Report — 4 shows scanned", "─" * 60, "  ✓ Complete:  1", "  ✗ Issues:    3", "",
+    "► none", "    ⚠ No TVmaze match found", "",
+    "► S  [TVMAZE: Other]  (Unknown)", "    Local: 1 episodes  |  TVMAZE (aired): 1 episodes", "    ✓ All aired episodes present", "",
+    "► s  (Ended)", "    Local: 6 episodes  |  TVMAZE (aired): 6 episodes", "    ✗ Missing S02: S02E01, S02E01",
+    "    ✗ Season 10 entirely missing (1 episode)", "    ? Extra (not in TVMAZE): S01E09, S01E09", "",
+    "► t", "    Local: 1 episodes  |  TVMAZE (aired): 6 episodes", "    ✗ Season 01 entirely missing (1 episode)",
+    "    ✗ Season 02 entirely missing (3 episodes)", "    ✗ Season 10 entirely missing (1 episode)", "",
+]
+
+
+def test_text_is_made_once_and_whole(spark, monkeypatch):
+    result = odd_shows(spark)
+    lines = sinks.reconcile_text_lines(result)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Join" not in plan and "array_contains" not in plan
+    assert [r[0] for r in lines.collect()] == ODD_TEXT
+    issues = [r[0] for r in sinks.reconcile_text_lines(result, missing_only=True).collect()]
+    assert issues == ODD_TEXT[:8] + ODD_TEXT[12:]
+    whole = Reconciled.labels_in_rows
+    monkeypatch.setattr(Reconciled, "labels_in_rows", lambda self: whole(self, 0, 0))
+    assert [r[0] for r in sinks.reconcile_text_lines(result).collect()] == ODD_TEXT
+    result.unpersist()
+
+
+def test_lists_are_not_worked_out_for_each_entry(spark):
+    result = odd_shows(spark)
+    short, _ = result.in_rows()
+    plan = short.filter(F.size("missing") > 0).select("missing", "extra")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan and "array_contains(transform" not in plan
+    result.unpersist()

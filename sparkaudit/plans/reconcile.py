@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.functions.episodes import is_aired, report_ok, season_ep_label
+from sparkaudit.functions.text import bind
 from sparkaudit.landing import forget_landed, landed
 from sparkaudit.operators import reconcile as R
 
@@ -34,6 +35,11 @@ def _key(entry: Column | None = None) -> Column:
     return F.when(season.isNotNull(), F.struct(season.alias("season"), episode.alias("episode")))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """These columns too, worked out once a row: as plain columns they would be merged into list functions, once for each entry."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _has(values: str, value: Column) -> Column:
     return F.coalesce(F.array_contains(values, value), F.lit(False))
 
@@ -73,6 +79,7 @@ class Reconciled:
             ),
             files_in_row, listed_in_row,
         )
+        met = _once(met, _own=F.transform("_files", _key))
         lacking = F.filter("_listed", lambda x: x.aired & ~_has("_own", _key(x)))
         beyond = F.filter("_files", lambda x: ~_has("_theirs", _key(x)))
         return met.select(
@@ -84,32 +91,47 @@ class Reconciled:
     def labels_in_rows(self, files_in_row: int = FILES_IN_ROW, listed_in_row: int = LISTED_IN_ROW) -> tuple[DataFrame, Reconciled]:
         """The same split, with what a text names only: ``gaps`` and ``extra`` in place of the lists.
 
-        ``gaps`` are (season, entirely, labels) in season order, their labels in episode order; ``extra`` is (season, episode)
-        in that order.  The labels of a series are made and ordered once, not for each show that chose it.
+        ``gaps`` are (season, entirely, n, labels) in season order, their labels joined in episode order; ``extra`` is
+        (season, episode) in that order.  The labels of a series are made once; they are looked through only for
+        seasons that a show has listed files of.
         """
         label = season_ep_label(F.col("season"), F.col("episode"))
         listed = F.when(is_aired(F.col("airdate"), self.as_of), F.struct("episode", label.alias("label")))
 
+        def joined(episodes: Column) -> Column:
+            return F.array_join(F.transform(episodes, lambda e: e.label), ", ")
+
         def by_season(series: DataFrame) -> DataFrame:
             seasons = series.groupBy("source", "series_id", "season").agg(
                 F.sort_array(F.collect_list(listed)).alias("episodes"), F.collect_set(_key()).alias("_keys")
             )
-            return seasons.groupBy("source", "series_id").agg(
-                F.sort_array(F.collect_list(F.struct("season", "episodes"))).alias("_seasons"),
+            whole = seasons.withColumns({"n": F.size("episodes"), "labels": joined(F.col("episodes"))})
+            return whole.groupBy("source", "series_id").agg(
+                F.sort_array(F.collect_list(F.struct("season", "episodes", "n", "labels"))).alias("_seasons"),
                 F.flatten(F.collect_list("_keys")).alias("_theirs"),
             )
 
         met, rest = self._beside(F.sort_array(F.collect_list(F.struct("season", "episode"))), by_season, files_in_row, listed_in_row)
+        place = lambda x: F.struct(x.season.alias("season"), x.episode.alias("episode"), _has("_theirs", _key(x)).alias("listed"))
+        met = _once(
+            met, _placed=F.transform("_files", place), _held=F.array_distinct(F.transform("_files", lambda x: x.season))
+        )
 
         def gap(x: Column) -> Column:
-            lacking = F.filter(x.episodes, lambda e: ~_has("_own", F.struct(x.season.alias("season"), e.episode.alias("episode"))))
-            return F.struct(
-                x.season.alias("season"), (~_has("_held", x.season)).alias("entirely"), F.transform(lacking, lambda e: e.label).alias("labels")
-            )
+            def lacking(n: Column, labels: Column) -> Column:
+                return F.struct(x.season.alias("season"), (~_has("_held", x.season)).alias("entirely"), n.alias("n"), labels.alias("labels"))
+
+            def beside(own: Column) -> Column:
+                left = F.filter(x.episodes, lambda e: ~F.array_contains(own, e.episode))
+                some = bind(left, lambda episodes: lacking(F.size(episodes), joined(episodes)))
+                return F.when(F.size(own) == 0, lacking(x.n, x.labels)).otherwise(some)
+
+            listed_files = F.filter("_placed", lambda f: f.listed & (f.season == x.season))
+            return bind(F.transform(listed_files, lambda f: f.episode), beside)
 
         return met.select(
-            *self.reports.columns, F.filter(F.transform("_seasons", gap), lambda g: F.size(g.labels) > 0).alias("gaps"),
-            F.filter("_files", lambda x: ~_has("_theirs", _key(x))).alias("extra"),
+            *self.reports.columns, F.filter(F.transform("_seasons", gap), lambda g: g.n > 0).alias("gaps"),
+            F.filter("_placed", lambda f: ~f.listed).alias("extra"),
         ), rest
 
     def _beside(
@@ -117,9 +139,7 @@ class Reconciled:
     ) -> tuple[DataFrame, Reconciled]:
         """Reports of the shows that fit one row, with the lists of their files and of their series; and all other shows.
 
-        ``_files`` is what ``listed_files`` gives, ``_own`` the files' keys, ``_held`` their seasons; ``lists`` gives the columns
-        of a series, ``_theirs`` among them: its keys.  All are columns of an aggregate or a table, as an expression that a list
-        function names would be worked out anew for each entry.
+        ``_files`` is what ``listed_files`` gives, or empty; ``lists`` gives the columns of a series, ``_theirs`` among them: its keys.
         """
         block = F.floor(F.col("episode") / R.LABELS_PER_BLOCK)
         size = self.series.groupBy("source", "series_id").agg(
@@ -127,23 +147,24 @@ class Reconciled:
             (F.min(block) == F.max(block)).alias("_one_block"),
         )
         small = size.filter((F.col("_n") <= listed_in_row) & F.col("_placed") & F.col("_one_block")).select("source", "series_id")
-        large = R.parsed(self.local).groupBy(SHOW).agg(F.count(F.lit(1)).alias("_known")).filter(F.col("_known") > files_in_row)
+        # Only shows of so many files, parsed or not, are counted.
+        many = self.reports.filter(F.col("local_episodes") > files_in_row).select(SHOW).distinct()
+        known = R.parsed(self.local).join(many, SHOW, "left_semi").groupBy(SHOW).agg(F.count(F.lit(1)).alias("_known"))
+        large = known.filter(F.col("_known") > files_in_row)
+        usable = F.bool_and(F.col("lookup_error").isNull()).alias("_usable")
+        alone = self.reports.groupBy(SHOW).agg(F.count(F.lit(1)).alias("_rows"), usable).filter("_rows = 1 AND _usable").select(SHOW)
         single = (
             self.chosen.groupBy(SHOW)
             .agg(F.count(F.lit(1)).alias("_hits"), F.first("series_id").alias("series_id"), F.first("source").alias("source"))
             .filter("_hits = 1").drop("_hits").join(small, ["source", "series_id"], "left_semi")
-            .join(self.usable, SHOW, "left_semi").join(large, SHOW, "left_anti")
+            .join(alone, SHOW, "left_semi").join(large, SHOW, "left_anti")
         )
-        alone = self.reports.groupBy(SHOW).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows = 1")
-        single = landed(single.join(alone, SHOW, "left_semi"), self.folders)
+        single = landed(single, self.folders)
         listed = landed(lists(self.series.join(small, ["source", "series_id"], "left_semi")), self.folders)
         done = single.select(SHOW)
-        files = R.parsed(self.local).join(done, SHOW, "left_semi").groupBy(SHOW).agg(
-            listed_files.alias("_files"), F.collect_set(_key()).alias("_own"), F.collect_set("season").alias("_held")
-        )
+        files = R.parsed(self.local).join(done, SHOW, "left_semi").groupBy(SHOW).agg(listed_files.alias("_files"))
         met = self.reports.join(single, SHOW).join(files, SHOW, "left").join(listed, ["source", "series_id"])
-        for name in ("_files", "_own", "_held"):
-            met = met.withColumn(name, F.coalesce(name, F.array().cast(files.schema[name].dataType)))
+        met = met.withColumn("_files", F.coalesce("_files", F.array().cast(files.schema["_files"].dataType)))
         chosen = landed(self.chosen.join(done, SHOW, "left_anti"), self.folders)
         remote = _rows_of(chosen, self.series)
         local = self.local.join(chosen.select(SHOW).distinct(), SHOW, "left_semi")

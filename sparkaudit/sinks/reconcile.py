@@ -122,7 +122,7 @@ def reconcile_text_lines(result: Reconciled, missing_only: bool = False) -> Data
     reported = rest.reports
     if missing_only:
         short, reported = R.only_issues(short), R.only_issues(reported)
-    gaps_in_row = F.transform("gaps", lambda g: gap_text(g.season, F.size(g.labels), g.entirely, F.array_join(g.labels, ", ")))
+    gaps_in_row = F.transform("gaps", lambda g: gap_text(g.season, g.n, g.entirely, g.labels))
     in_row = F.concat(F.array(*head), gaps_in_row, F.array(bind(F.col("extra"), joined), F.lit("")))
     shows = short.select(F.lit(1).alias("group"), SHOW, F.array_compact(in_row).alias("lines"))
     heads = reported.select(
